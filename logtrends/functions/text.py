@@ -63,15 +63,22 @@ def tokens(line: Column) -> Column:
 
 
 def variable_regex(extra: tuple[str, ...] = ()) -> str:
-    classes = "|".join([VARIABLE, *(OPTIONAL_CLASSES[name] for name in extra)])
-    return f"(?i)^(?:{classes})$"
+    """One variable token; a token that already is the wildcard counts as one."""
+    return "(?:" + "|".join([VARIABLE, *(OPTIONAL_CLASSES[name] for name in extra), r"<\*>"]) + ")"
+
+
+def single_spaced(line: Column) -> Column:
+    return F.regexp_replace(strip(line), " {2,}", " ")
 
 
 def shape(line: Column, extra: tuple[str, ...] = ()) -> Column:
-    """The line with every variable token masked and runs of masks collapsed."""
-    regex = variable_regex(extra)
-    masked = F.transform(tokens(line), lambda t: F.when(t.rlike(regex), F.lit(WILDCARD)).otherwise(t))
-    return F.regexp_replace(F.array_join(masked, " "), r"(^| )<\*>(?: <\*>)+(?= |$)", "$1<*>")
+    """The line with every variable token masked and runs of masks collapsed.
+
+    Each token is its own match, and a mask right behind a mask is removed: a long run of
+    variables must not become one long repetition, which Java handles by recursion.
+    """
+    masked = F.regexp_replace(single_spaced(line), f"(?i)(^| ){variable_regex(extra)}(?= |$)", "$1<*>")
+    return F.regexp_replace(masked, r"(?:(?<= <\*>)|(?<=^<\*>)) <\*>(?= |$)", "")
 
 
 def verb_key(line: Column, verbs: tuple[str, ...] = VERBS) -> Column:
@@ -117,11 +124,12 @@ def text_to_regex(pattern: Column) -> Column:
 
 
 def shape_to_regex(masked: Column) -> Column:
-    """Regular expression of an inferred template: a wildcard is zero or more tokens and the
-    whole line has to match. Inner pieces are atomic for the same reason as above."""
+    """Regular expression of an inferred template, for single-spaced lines: a wildcard is zero
+    or more tokens and the whole line has to match. Inner pieces are atomic for the same
+    reason as above."""
     words = F.transform(F.split(masked, " "), lambda t: F.when(t == WILDCARD, t).otherwise(escape(t)))
     pieces = F.split(F.array_join(words, " "), r"(?:^| )<\*>(?= |$)", -1)
-    spaced = F.transform(pieces, lambda p: F.regexp_replace(F.ltrim(p), " +", " +"))
+    spaced = F.transform(pieces, lambda p: F.ltrim(p))
     first, last = F.element_at(spaced, 1), F.element_at(spaced, -1)
     inner = F.array_join(
         F.transform(

@@ -9,27 +9,40 @@ from logtrends.operators import sets
 from logtrends.operators.order import ROWS_PER_BLOCK, with_next
 
 
-def mfg_nodes(assigned: DataFrame) -> DataFrame:
-    """Templates of each log with the line of their first occurrence."""
-    return assigned.groupBy("log_id", "template_id").agg(F.min("line_no").alias("first_pos"))
-
-
-def mfg_edges(assigned: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Distinct transitions (template to next template) of each log.
+def transitions(assigned: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Per log each pair (template, next template) with first line and count; ``dst`` is null
+    for the last line of the log.
 
-    Lines without a template are not in ``assigned``, so a transition spans them.
+    Lines without a template are not in ``assigned``, so a transition spans them. The table
+    grows with logs and templates, not with lines.
     """
     pairs = with_next(
         assigned.select("log_id", "line_no", "template_id"), ["log_id"], "line_no",
         {"dst": "template_id"}, rows_per_block,
     )
-    return (
-        pairs.filter("dst is not null")
-        .groupBy("log_id", F.col("template_id").alias("src"), "dst")
-        .agg(F.min("line_no").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("log_id", F.col("template_id").alias("src"), "dst").agg(
+        F.min("line_no").alias("first_pos"), F.count(F.lit(1)).alias("n")
     )
 
 
+def nodes_of(steps: DataFrame) -> DataFrame:
+    return steps.groupBy("log_id", F.col("src").alias("template_id")).agg(F.min("first_pos").alias("first_pos"))
+
+
+def edges_of(steps: DataFrame) -> DataFrame:
+    return steps.filter("dst is not null")
+
+
+def mfg_nodes(assigned: DataFrame) -> DataFrame:
+    """Templates of each log with the line of their first occurrence."""
+    return assigned.groupBy("log_id", "template_id").agg(F.min("line_no").alias("first_pos"))
+
+
+def mfg_edges(assigned: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Distinct transitions (template to next template) of each log."""
+    return edges_of(transitions(assigned, rows_per_block))
+
+
 def out_degree(edges: DataFrame) -> DataFrame:
     """Number of different successors of each vertex."""
     return edges.groupBy("log_id", "src").agg(F.count(F.lit(1)).alias("degree"))

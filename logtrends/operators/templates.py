@@ -15,7 +15,7 @@ from logtrends.session import cut_lineage
 
 SHAPES_PER_TASK = 2_000
 INLINE_TEMPLATES = 256
-POLICIES = ("all", "first", "last", "most_specific")
+POLICIES = ("first", "last", "most_specific")
 
 
 # -- shapes ---------------------------------------------------------------------------------
@@ -141,9 +141,11 @@ def infer_templates(lines: DataFrame, shapes_per_task: int = SHAPES_PER_TASK) ->
         sliced = open_.join(sizes, "verb_key").withColumn(
             "_slice", F.pmod(F.xxhash64("shape", F.lit(round_)), F.col("_slices"))
         )
+        alone = sliced.filter("_n = 1").select("verb_key", "shape")
         merged = (
-            sliced.select("verb_key", "shape", "_slice").groupBy("verb_key", "_slice")
+            sliced.filter("_n > 1").select("verb_key", "shape", "_slice").groupBy("verb_key", "_slice")
             .applyInPandas(_merge_slice, "verb_key string, shape string").distinct()
+            .unionByName(alone)
         )
         # a key is finished when it had one slice or when the round did not shrink it
         after = cut_lineage(merged.join(sizes, "verb_key"))
@@ -170,7 +172,7 @@ def number_templates(found: DataFrame) -> DataFrame:
     ranked = number_all(counted, [F.col("n_literals").desc(), F.col("pattern")], "template_id")
     return ranked.select(
         F.col("template_id").cast("int"), "pattern", "n_literals",
-        T.shape_to_regex(F.col("pattern")).alias("regex"),
+        T.shape_to_regex(F.col("pattern")).alias("regex"), F.lit(True).alias("single_spaced"),
         _anchor(F.col("pattern"), T.WILDCARD, whole_line=True).alias("anchor"),
     )
 
@@ -203,51 +205,67 @@ def compile_templates(patterns: DataFrame) -> DataFrame:
     return patterns.select(
         "*",
         T.literal_count(F.col("pattern"), "*").alias("n_literals"),
-        T.text_to_regex(F.col("pattern")).alias("regex"),
+        T.text_to_regex(F.col("pattern")).alias("regex"), F.lit(False).alias("single_spaced"),
         _anchor(F.col("pattern"), "*", whole_line=False).alias("anchor"),
     )
 
 
-def _preference(policy: str, row) -> tuple:
-    return {
-        "first": (row["template_id"],),
-        "last": (-row["template_id"],),
-        "most_specific": (-row["n_literals"], row["template_id"]),
-        "all": (row["template_id"],),
-    }[policy]
+def _preference(policy: str, template_id, n_literals) -> tuple:
+    return {"first": (template_id,), "last": (-template_id,), "most_specific": (-n_literals, template_id)}[policy]
 
 
 def match_lines(lines: DataFrame, templates: DataFrame, policy: str = "most_specific",
                 inline_limit: int = INLINE_TEMPLATES) -> DataFrame:
-    """Lines with a matching template: one row per match (``all``) or the preferred one.
+    """Lines with a matching template: one row per match (``all``) or the preferred one."""
+    if policy == "all":
+        matched = match_sets(lines, templates, inline_limit=inline_limit)
+        return matched.withColumn("template_id", F.explode("template_ids")).drop("template_ids")
+    lines = _with_texts(lines)
+    small = _small_table(templates, inline_limit)
+    if small is None:
+        matched = _match_by_anchor(lines, templates, policy).withColumn("template_id", F.col("template_ids")[0])
+        return matched.drop("template_ids", "_text", "_spaced")
+    tests = _tests(small, policy)
+    chosen = F.coalesce(*tests) if tests else F.lit(None).cast("int")
+    return lines.withColumn("template_id", chosen).filter("template_id is not null").drop("_text", "_spaced")
+
+
+def match_sets(lines: DataFrame, templates: DataFrame, policy: str = "most_specific",
+               inline_limit: int = INLINE_TEMPLATES) -> DataFrame:
+    """Lines with at least one matching template and all matches in ``template_ids``, the
+    preferred one first.
 
     A template table of at most ``inline_limit`` rows becomes part of the projection: no
     join, no shuffle, and each regular expression is compiled once. A larger table is
     joined on the anchor of each template, so a line meets only templates whose anchor it
     contains; Spark broadcasts that table if it is small enough.
     """
+    lines = _with_texts(lines)
+    small = _small_table(templates, inline_limit)
+    if small is None:
+        return _match_by_anchor(lines, templates, policy).drop("_text", "_spaced")
+    found = F.array_compact(F.array(*_tests(small, policy))) if small else F.array().cast("array<int>")
+    return lines.withColumn("template_ids", found).filter(F.size("template_ids") > 0).drop("_text", "_spaced")
+
+
+def _small_table(templates: DataFrame, limit: int) -> list | None:
+    """The template table if it has at most ``limit`` rows."""
+    head = templates.select("template_id", "n_literals", "regex", "single_spaced").limit(limit + 1).collect()
+    return head if len(head) <= limit else None
+
+
+def _tests(templates: list, policy: str) -> list[Column]:
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    lines = lines.withColumn("_text", T.strip(F.col("line")))
-    columns = ["template_id", "n_literals", "regex"]
-    head = templates.select(*columns).limit(inline_limit + 1).collect()
-    if len(head) <= inline_limit:
-        matched = _match_inline(lines, head, policy)
-    else:
-        matched = _match_by_anchor(lines, templates, policy)
-    return matched.drop("_text")
-
-
-def _match_inline(lines: DataFrame, templates: list, policy: str) -> DataFrame:
-    if not templates:
-        return lines.withColumn("template_id", F.lit(None).cast("int")).filter("false")
-    tests = [
-        F.when(F.col("_text").rlike(t["regex"]), F.lit(t["template_id"]).cast("int"))
-        for t in sorted(templates, key=lambda t: _preference(policy, t))
+    ordered = sorted(templates, key=lambda t: _preference(policy, t["template_id"], t["n_literals"]))
+    texts = {False: F.col("_text"), True: F.col("_spaced")}
+    return [
+        F.when(texts[t["single_spaced"]].rlike(t["regex"]), F.lit(t["template_id"]).cast("int")) for t in ordered
     ]
-    if policy == "all":
-        return lines.withColumn("template_id", F.explode(F.array_compact(F.array(*tests))))
-    return lines.withColumn("template_id", F.coalesce(*tests)).filter("template_id is not null")
+
+
+def _with_texts(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"_text": T.strip(F.col("line")), "_spaced": T.single_spaced(F.col("line"))})
 
 
 def _match_by_anchor(lines: DataFrame, templates: DataFrame, policy: str) -> DataFrame:
@@ -265,21 +283,16 @@ def _match_by_anchor(lines: DataFrame, templates: DataFrame, policy: str) -> Dat
             pieces = F.transform(starts, lambda i, n=n: F.concat(F.lit("g:"), F.substring(F.col("_text"), i, F.lit(n))))
             keys.append(F.array_distinct(pieces))
     keyed = lines.withColumn("anchor", F.explode(F.concat(*keys)))
-    pairs = keyed.join(templates.select("anchor", "template_id", "n_literals", "regex"), "anchor").filter(
-        F.expr("_text rlike regex")
-    ).drop("anchor", "regex")
-    if policy == "all":
-        return pairs.drop("n_literals")
-    best = {
-        "first": F.col("template_id"),
-        "last": -F.col("template_id"),
-        "most_specific": F.struct(-F.col("n_literals"), F.col("template_id")),
-    }[policy]
+    pairs = keyed.join(templates.select("anchor", "template_id", "n_literals", "regex", "single_spaced"), "anchor").filter(
+        F.expr("CASE WHEN single_spaced THEN _spaced ELSE _text END rlike regex")
+    )
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_preference(policy, F.col("template_id"), F.col("n_literals")))],
+                     F.col("template_id").alias("id"))
     rest = [c for c in lines.columns if c not in ("log_id", "line_no")]
     return (
         pairs.groupBy("log_id", "line_no")
-        .agg(F.min_by("template_id", best).cast("int").alias("template_id"), *[F.first(c).alias(c) for c in rest])
-        .select(*lines.columns, "template_id")
+        .agg(F.array_sort(F.collect_list(order)).alias("_found"), *[F.first(c).alias(c) for c in rest])
+        .select(*lines.columns, F.transform("_found", lambda f: f["id"].cast("int")).alias("template_ids"))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtrends.operators import cluster, difflog, graphs, patterns, templates, vectors
-from logtrends.session import cut_lineage
+from logtrends.session import cut_lineage, store_table
 
 # Thresholds of the sweep, 0.1 to 2.9 in steps of 0.1.
 SWEEP = tuple(round(0.1 * i, 1) for i in range(1, 30))
@@ -18,14 +18,26 @@ def clusters_at(vectors_: DataFrame, thresholds: list[float], small: int = 4) ->
     return cluster.cluster_verdict(cluster.cut_tree(tree, vectors_, thresholds), small)
 
 
+def matched_lines(lines: DataFrame, templates_: DataFrame, policy: str = "most_specific") -> DataFrame:
+    """Every line's templates, tested once and stored: ``log_id, line_no, template_ids``."""
+    matched = templates.match_sets(lines, templates_, policy)
+    return store_table(matched.select("log_id", "line_no", "template_ids"), "matched")
+
+
+def assigned_lines(matched: DataFrame) -> DataFrame:
+    return matched.select("log_id", "line_no", F.col("template_ids")[0].alias("template_id"))
+
+
 def behaviour(lines: DataFrame, templates_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vectors, nodes and edges of all logs, each materialised once.
+    """Vectors, nodes and edges of all logs.
 
-    These tables are small beside the lines: they grow with logs and templates only.
+    The lines are read once. The three tables grow with logs and templates only.
     """
-    vectors_ = cut_lineage(vectors.mav(templates.match_lines(lines, templates_, "all")))
-    assigned = templates.match_lines(lines, templates_)
-    return vectors_, cut_lineage(graphs.mfg_nodes(assigned)), cut_lineage(graphs.mfg_edges(assigned))
+    matched = matched_lines(lines, templates_)
+    every = matched.select("log_id", F.explode("template_ids").alias("template_id"))
+    vectors_ = cut_lineage(vectors.mav(every))
+    steps = cut_lineage(graphs.transitions(assigned_lines(matched)))
+    return vectors_, graphs.nodes_of(steps), graphs.edges_of(steps)
 
 
 def find_abnormal(vectors_: DataFrame, edges: DataFrame, thresholds: list[float], small: int = 4,

@@ -11,9 +11,22 @@ from logtrends.operators.order import number_rows
 from logtrends.operators.templates import compile_templates
 
 
+def few_splits(df: DataFrame) -> bool:
+    """Whether a scan has fewer tasks than there are cores, as with one small file."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the scan alone would leave most of them idle.
+
+    Large inputs have splits enough and are not shuffled.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_splits(df) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table; time columns without zone become timestamps of the session zone."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
     for field, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(field, F.col(field).cast("timestamp"))
@@ -113,6 +126,8 @@ def post_records(posts: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if few_splits(events):
+        raw = raw.repartition(spark.sparkContext.defaultParallelism)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,7 +32,7 @@ def drop_replays(posts: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def _counts_schema(kind: str) -> str:
     counters = ", ".join(f"{name} bigint" for name in COUNTERS[kind].values())
-    return f"minute timestamp, keyword string, {counters}, hour string, batch bigint"
+    return f"minute timestamp, keyword string, {counters}, batch bigint, day string"
 
 
 def start_counts(posts: DataFrame, kind: str, path: str, checkpoint: str, delay: str = "10 minutes",
@@ -38,11 +40,12 @@ def start_counts(posts: DataFrame, kind: str, path: str, checkpoint: str, delay:
     """Keep the running counters in ``path``.
 
     Each micro-batch has its own folder, so a replayed batch replaces its first attempt.
-    Hours are folders too, so the current ranking reads only the current hour.
+    Days are folders too and files are sorted by minute, so the current ranking reads little
+    more than the current hour.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        hourly = batch.withColumn("hour", F.date_format("minute", "yyyy-MM-dd-HH"))
-        hourly.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/batch={batch_id}")
+        daily = batch.withColumn("day", F.date_format("minute", "yyyy-MM-dd")).sortWithinPartitions("day", "minute")
+        daily.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
 
     writer = (
         keyword_counts(posts, kind, delay).writeStream.outputMode("update")
@@ -51,20 +54,23 @@ def start_counts(posts: DataFrame, kind: str, path: str, checkpoint: str, delay:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_counts(spark: SparkSession, kind: str, path: str, hour: str | None = None) -> DataFrame:
-    """Latest counters per minute and keyword, of all hours or of one."""
+def read_counts(spark: SparkSession, kind: str, path: str, hour: datetime | None = None) -> DataFrame:
+    """Latest counters per minute and keyword, of everything or of the hour of ``hour``."""
     versions = spark.read.schema(_counts_schema(kind)).parquet(path)
     if hour is not None:
-        versions = versions.filter(F.col("hour") == hour)
-    latest = upsert_latest(versions.drop("hour"), ["minute", "keyword"], ["batch"])
-    return latest.drop("batch")
+        start = F.date_trunc("hour", F.lit(hour).cast("timestamp"))
+        versions = versions.filter(
+            (F.col("day") == hour.strftime("%Y-%m-%d"))
+            & (F.col("minute") >= start) & (F.col("minute") < start + F.expr("INTERVAL 1 HOUR"))
+        )
+    return upsert_latest(versions.drop("day"), ["minute", "keyword"], ["batch"]).drop("batch")
 
 
-def refresh_trend(spark: SparkSession, reddit_path: str, twitter_path: str, as_of, out: str, merge: str = "overwrite") -> None:
-    """Replace the current ranking by that of the hour of ``as_of`` (a datetime)."""
-    hour, now = as_of.strftime("%Y-%m-%d-%H"), F.lit(as_of).cast("timestamp")
+def refresh_trend(spark: SparkSession, reddit_path: str, twitter_path: str, as_of: datetime, out: str, merge: str = "overwrite") -> None:
+    """Replace the current ranking by that of the hour of ``as_of``."""
+    now = F.lit(as_of).cast("timestamp")
     scores = minute_scores(
-        read_counts(spark, "reddit", reddit_path, hour), read_counts(spark, "twitter", twitter_path, hour), now, merge
+        read_counts(spark, "reddit", reddit_path, as_of), read_counts(spark, "twitter", twitter_path, as_of), now, merge
     )
     replace_ranking(trend_now(scores, now), out)
 
