@@ -99,6 +99,8 @@ def visit_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, fn, schema: str) -
     chosen = pairs.select(*key)
     left = chosen.join(a.withColumnRenamed("block", "a_block"), ["cluster_id", "a_block"])
     right = chosen.join(b.withColumnRenamed("block", "b_block"), ["cluster_id", "b_block"])
+    # both sides come from the same tables: new columns keep them apart
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, schema)
 
 

@@ -112,7 +112,8 @@ def merge_shapes(group: list[str]) -> list[str]:
                     break
         if merged:
             matcher = template_matcher(merged)
-            rest = [s for s in rest if not matcher.fullmatch(s)]
+            needed = frozenset(merged.split(" ")) - {T.WILDCARD}
+            rest = [s for s in rest if not (needed <= literals[s] and matcher.fullmatch(s))]
         found.append(merged or seed)
         pending = rest
     return found
@@ -123,6 +124,17 @@ def _merge_slice(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"verb_key": pdf["verb_key"].iloc[0], "shape": merged})
 
 
+def without_partner(groups: DataFrame) -> DataFrame:
+    """Shapes that share no literal word with another shape of their key: nothing can merge them."""
+    words = groups.select(
+        "verb_key", "shape",
+        F.explode(F.array_distinct(F.filter(F.split("shape", " "), lambda w: w != T.WILDCARD))).alias("word"),
+    )
+    shared = words.groupBy("verb_key", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("verb_key", "word")
+    meeting = words.join(shared, ["verb_key", "word"], "left_semi").select("verb_key", "shape").distinct()
+    return groups.join(meeting, ["verb_key", "shape"], "left_anti")
+
+
 def infer_templates(lines: DataFrame, shapes_per_task: int = SHAPES_PER_TASK) -> DataFrame:
     """Templates of all lines.
 
@@ -133,13 +145,12 @@ def infer_templates(lines: DataFrame, shapes_per_task: int = SHAPES_PER_TASK) ->
     """
     open_ = cut_lineage(shapes(lines).select("verb_key", "shape").distinct())
     done: list[DataFrame] = []
-    round_ = 0
-    while True:
+    while not open_.isEmpty():
         sizes = open_.groupBy("verb_key").agg(
             F.count(F.lit(1)).alias("_n"), F.ceil(F.count(F.lit(1)) / shapes_per_task).alias("_slices")
         )
         sliced = open_.join(sizes, "verb_key").withColumn(
-            "_slice", F.pmod(F.xxhash64("shape", F.lit(round_)), F.col("_slices"))
+            "_slice", F.pmod(F.xxhash64("shape", F.lit(len(done))), F.col("_slices"))
         )
         alone = sliced.filter("_n = 1").select("verb_key", "shape")
         merged = (
@@ -153,11 +164,12 @@ def infer_templates(lines: DataFrame, shapes_per_task: int = SHAPES_PER_TASK) ->
         judged = after.join(left, "verb_key").withColumn(
             "_open", (F.col("_slices") > 1) & (F.col("_left") < F.col("_n"))
         )
-        done.append(judged.filter("not _open").select("shape"))
-        open_ = judged.filter("_open").select("verb_key", "shape")
-        round_ += 1
-        if open_.isEmpty():
-            break
+        unfinished = judged.filter("_open").select("verb_key", "shape")
+        lonely = cut_lineage(without_partner(unfinished))
+        done += [judged.filter("not _open").select("shape"), lonely.select("shape")]
+        open_ = cut_lineage(unfinished.join(lonely, ["verb_key", "shape"], "left_anti"))
+    if not done:
+        return number_templates(open_.select("shape"))
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
@@ -227,7 +239,8 @@ def match_lines(lines: DataFrame, templates: DataFrame, policy: str = "most_spec
         return matched.drop("template_ids", "_text", "_spaced")
     tests = _tests(small, policy)
     chosen = F.coalesce(*tests) if tests else F.lit(None).cast("int")
-    return lines.withColumn("template_id", chosen).filter("template_id is not null").drop("_text", "_spaced")
+    # explode drops the lines without template; a filter would be pushed down with a second copy of all tests
+    return lines.withColumn("template_id", F.explode(F.array_compact(F.array(chosen)))).drop("_text", "_spaced")
 
 
 def match_sets(lines: DataFrame, templates: DataFrame, policy: str = "most_specific",
@@ -245,7 +258,8 @@ def match_sets(lines: DataFrame, templates: DataFrame, policy: str = "most_speci
     if small is None:
         return _match_by_anchor(lines, templates, policy).drop("_text", "_spaced")
     found = F.array_compact(F.array(*_tests(small, policy))) if small else F.array().cast("array<int>")
-    return lines.withColumn("template_ids", found).filter(F.size("template_ids") > 0).drop("_text", "_spaced")
+    kept = F.explode(F.filter(F.array(found), lambda ids: F.size(ids) > 0))  # see match_lines
+    return lines.withColumn("template_ids", kept).drop("_text", "_spaced")
 
 
 def _small_table(templates: DataFrame, limit: int) -> list | None:
@@ -268,21 +282,26 @@ def _with_texts(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"_text": T.strip(F.col("line")), "_spaced": T.single_spaced(F.col("line"))})
 
 
+def _grams(line: Column, n: int) -> Column:
+    """Keys for all different pieces of n characters (the empty one for n = 0)."""
+    if n == 0:
+        return F.array(F.lit("g:"))
+    letters = F.split(line, "")
+    pieces = F.transform(letters, lambda c: F.concat(F.lit("g:"), c))
+    for shift in range(1, n):
+        # the shifted array is shorter; what has no continuation becomes null and is dropped
+        shifted = F.slice(letters, shift + 1, F.size(letters))
+        pieces = F.zip_with(pieces, shifted, lambda left, right: F.concat(left, right))
+    return F.array_compact(F.array_distinct(pieces))
+
+
 def _match_by_anchor(lines: DataFrame, templates: DataFrame, policy: str) -> DataFrame:
     words = F.transform(F.array_distinct(F.split("_text", " +")), lambda w: F.concat(F.lit("w:"), w))
     grams = [
         r["n"] for r in templates.filter("anchor like 'g:%'")
         .select((F.length("anchor") - 2).alias("n")).distinct().orderBy("n").collect()  # at most 0..3
     ]
-    keys = [words]
-    for n in grams:
-        if n == 0:
-            keys.append(F.array(F.lit("g:")))
-        else:
-            starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1)))
-            pieces = F.transform(starts, lambda i, n=n: F.concat(F.lit("g:"), F.substring(F.col("_text"), i, F.lit(n))))
-            keys.append(F.array_distinct(pieces))
-    keyed = lines.withColumn("anchor", F.explode(F.concat(*keys)))
+    keyed = lines.withColumn("anchor", F.explode(F.concat(words, *[_grams(F.col("_text"), n) for n in grams])))
     pairs = keyed.join(templates.select("anchor", "template_id", "n_literals", "regex", "single_spaced"), "anchor").filter(
         F.expr("CASE WHEN single_spaced THEN _spaced ELSE _text END rlike regex")
     )
