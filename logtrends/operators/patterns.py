@@ -20,17 +20,10 @@ def pattern_matches(assigned: DataFrame, patterns: DataFrame, rows_per_block: in
         assigned.select("log_id", "line_no", "template_id", *(["line"] if with_lines else [])),
         ["log_id"], ["line_no"], F.floor(F.col("line_no") / rows_per_block), "ordinal",
     )
-    steps = (
-        patterns.select("pattern_id", F.size("path").alias("_length"), F.posexplode("path").alias("step", "template_id"))
-        .groupBy("template_id").agg(F.collect_list(F.struct("pattern_id", "_length", "step")).alias("_uses"))
-    )
-    votes = (
-        ordinals.join(steps, "template_id").withColumn("_use", F.explode("_uses"))
-        .select(
-            "log_id", "line_no", F.col("_use.pattern_id").alias("pattern_id"), F.col("_use._length").alias("_length"),
-            (F.col("ordinal") - F.col("_use.step")).alias("_start"),
-            *(["line"] if with_lines else []),
-        )
+    steps = patterns.select("pattern_id", F.size("path").alias("_length"), F.posexplode("path").alias("_step", "template_id"))
+    votes = ordinals.join(steps, "template_id").select(
+        "log_id", "line_no", "pattern_id", "_length", (F.col("ordinal") - F.col("_step")).alias("_start"),
+        *(["line"] if with_lines else []),
     )
     lines = [F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines")] if with_lines else []
     return (
