@@ -5,30 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.operators.order import ROWS_PER_BLOCK, number_rows
+from logtrends.operators.order import ROWS_PER_BLOCK, number_rows, with_next
 
 
 def pattern_matches(assigned: DataFrame, patterns: DataFrame, rows_per_block: int = ROWS_PER_BLOCK,
                     with_lines: bool = False) -> DataFrame:
     """All spans of lines that match a pattern, in every log.
 
-    ``patterns``: ``pattern_id, path``. Lines without a template do not break a run. A line
-    that is step s of a pattern votes for the start s lines before it; a start with votes
-    for all steps is a match.
+    ``patterns``: ``pattern_id, path``. Lines without a template do not break a run. A pair
+    of neighbouring lines that is pair s of a pattern votes for the start s lines before it;
+    a start with votes for all pairs is a match. Lines whose neighbour does not fit never
+    leave the join.
     """
+    text = ["line"] if with_lines else []
     ordinals = number_rows(
-        assigned.select("log_id", "line_no", "template_id", *(["line"] if with_lines else [])),
+        assigned.select("log_id", "line_no", "template_id", *text),
         ["log_id"], ["line_no"], F.floor(F.col("line_no") / rows_per_block), "ordinal",
     )
-    steps = patterns.select("pattern_id", F.size("path").alias("_length"), F.posexplode("path").alias("_step", "template_id"))
-    votes = ordinals.join(steps, "template_id").select(
-        "log_id", "line_no", "pattern_id", "_length", (F.col("ordinal") - F.col("_step")).alias("_start"),
-        *(["line"] if with_lines else []),
+    following = {"dst": "template_id", "next_line": "line_no", **({"next_text": "line"} if with_lines else {})}
+    pairs = with_next(ordinals, ["log_id"], "ordinal", following, rows_per_block).withColumnRenamed("template_id", "src")
+
+    # a pattern of one line is a pair without second half
+    size = F.size("path")
+    steps = patterns.select(
+        "pattern_id", size.alias("_size"), "path", F.explode(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0)))).alias("_step")
+    ).select(
+        "pattern_id", "_size", "_step", F.element_at("path", F.col("_step") + 1).alias("src"),
+        F.when(F.col("_size") > 1, F.try_element_at("path", F.col("_step") + 2)).alias("dst"),
+    )
+    last = F.col("next_line")
+    votes = (
+        pairs.join(steps.filter("_size > 1"), ["src", "dst"]).withColumn("_end", last)
+        .unionByName(
+            pairs.drop("dst").join(steps.filter("_size = 1").drop("dst"), "src")
+            .withColumn("dst", F.lit(None).cast("int")).withColumn("_end", F.col("line_no"))
+        )
+        .withColumn("_start", F.col("ordinal") - F.col("_step"))
     )
-    lines = [F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines")] if with_lines else []
+    lines = []
+    if with_lines:
+        here = F.struct("line_no", "line")
+        there = F.when(F.col("_size") > 1, F.struct(last.alias("line_no"), F.col("next_text").alias("line")))
+        both = F.flatten(F.array(F.collect_list(here), F.collect_list(there)))
+        lines = [F.array_sort(F.array_distinct(both)).alias("lines")]
     return (
-        votes.groupBy("log_id", "pattern_id", "_start", "_length")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), *lines)
-        .filter("n_lines = _length")
-        .select("pattern_id", "log_id", "start_line", "end_line", "n_lines", *(["lines"] if with_lines else []))
+        votes.groupBy("log_id", "pattern_id", "_start", "_size")
+        .agg(F.count(F.lit(1)).alias("_votes"), F.min("line_no").alias("start_line"), F.max("_end").alias("end_line"), *lines)
+        .filter(F.col("_votes") == F.greatest(F.col("_size") - 1, F.lit(1)))
+        .select("pattern_id", "log_id", "start_line", "end_line", F.col("_size").cast("bigint").alias("n_lines"),
+                *(["lines"] if with_lines else []))
     )
