@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: what a document's text says, weighed with what is known of its host and path.
 
 1. A bounded sample of labelled documents (at most ``SAMPLE``, those with the smallest hash of their id) fits two models of the
-   text: a logistic regression on shares of characters and repeated words for quality, and a short list of words, each chosen for toxic
+   text: a logistic regression on shares of characters and repeated words for quality, and a short list of words and beginnings of words, each chosen for toxic
    documents that the words before it do not explain.
 2. Every document gets its own evidence from its whole text.
 3. Evidence is summed per path and per host. A host's rate is drawn towards the global rate, a path's towards its host's; the strength
@@ -18,6 +18,7 @@ other columns are carried along where asked for. Sums are whole numbers, so that
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from logtrends.llm.common import Workspace, small, text_bytes, word_hashes
 
 #: Labelled documents that the models are fitted on, at most; words looked at for toxicity; the smallest number of documents for a word.
-SAMPLE, CANDIDATES, SUPPORT = 20_000, 400, 8
+SAMPLE, CANDIDATES, SUPPORT = 20_000, 2_000, 4
+#: Words are also looked at by their beginnings of so many letters, which catches what is derived from one stem.
+BEGINNINGS = (5, 6, 7)
 #: Unit of the whole-number sums of probabilities.
 UNIT = 1_000_000
 #: A part of a text this long is also looked at by itself.
@@ -74,7 +77,14 @@ def features(raw: np.ndarray) -> np.ndarray:
 
 
 def lower_words(raw: np.ndarray) -> set[str]:
-    return set(WORDS.findall(raw.tobytes().decode("utf-8", "replace").lower()))
+    """The different words of a text, and their beginnings: marked by a star, and once more if two, or three, words share one."""
+    words = set(WORDS.findall(raw.tobytes().decode("utf-8", "replace").lower()))
+    found = set(words)
+    for n in BEGINNINGS:
+        times = Counter([w[:n] for w in words if len(w) > n])
+        for least, mark in ((1, "*"), (2, "**"), (3, "***")):
+            found.update([w + mark for w, t in times.items() if t >= least])
+    return found
 
 
 @dataclass
