@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, components, mix, run_hashes, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, components, mix, run_hashes, small, text_bytes, word_hashes
 
 #: N-grams of one block of a family; columns of the block products.
 BLOCK, COLUMNS = 1 << 20, 4_096
@@ -213,8 +213,9 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
         F.when(block == j, 2).when(block < j, 0).otherwise(1).alias("side")))
     sent = placed.select("v", "family", "copies", "first", F.explode(meet).alias("m"), 
         F.when(alone, F.pmod(F.xxhash64("family"), F.lit(tasks))).alias("shared"), F.when(~alone, F.col("family")).alias("large"))
-    # whole texts are read once more for the vertices that have a family
-    chosen = texts.join(placed.select(F.col("first.doc_id").alias("f_id"), F.col("first.uid").alias("f_uid"), "v"), F.expr("doc_id <=> f_id and uid = f_uid")).select("v", "text")
+    # whole texts are read once more for the vertices that have a family; only these are shuffled, if the list of them is counted to be small
+    wanted = small(placed.select(F.col("first.doc_id").alias("f_id"), F.col("first.uid").alias("f_uid"), "v"))
+    chosen = texts.join(wanted, F.expr("doc_id <=> f_id and uid = f_uid")).select("v", "text")
     sets = work.store(gram_sets(chosen.dropDuplicates(["v"]), n), "sets")
     tasked = sent.join(sets, "v").select(
         "shared", "large", "m.i", "m.j", "m.side", "family", "v", "copies", "grams")
