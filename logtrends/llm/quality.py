@@ -190,17 +190,21 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
 
 def evidence(docs: DataFrame, model: Model, carry: list[str], text: str, host: Column, path: Column) -> DataFrame:
     """The columns of ``carry`` and _host, _path, _good, _toxic (log odds) of every row."""
-    rows = docs.select(F.col(text).cast("string").alias("_text"), *carry, host.cast("string").alias("_host"), path.cast("string").alias("_path"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    names = rows.columns[1:]
+    sites = [host.cast("string").alias("_host"), path.cast("string").alias("_path")]
+    # a text that is carried along is sent to Python once
+    own = [] if text in carry else [text]
+    rows = docs.select(*carry, *sites, *own)
+    names, at, kept = rows.columns, rows.columns.index(text), len(carry) + len(sites)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, toxic = [], []
-            for raw in text_bytes(batch.column(0)):
+            for raw in text_bytes(batch.column(at)):
                 good.append(model.good(features(raw)) if len(raw) else 0.0)
                 toxic.append(model.toxic(lower_words(raw)) if model.words else -20.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], [*names, "_good", "_toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:kept], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], [*names[:kept], "_good", "_toxic"])
 
     return rows.mapInArrow(run, f"{kinds}, _good double, _toxic double")
 
