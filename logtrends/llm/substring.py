@@ -103,7 +103,8 @@ def repeated_spans(docs: DataFrame, window: int, work: Workspace, minimizer: int
     in_order = Window.partitionBy("src_doc").orderBy("src_start")
     chained = linked.groupBy("anchor", "src_doc", "src_start").agg(F.max(F.col("b_end").isNull()).alias("opens")).withColumn(
         "path", F.last(F.when(F.col("opens"), F.col("src_start")), ignorenulls=True).over(in_order))
-    marks = nodes.select("anchor", "branches", "src").join(chained.select("anchor", "path"), "anchor", "left")
+    # stored, so that the next join reads both sides from plain exchanges, of which adaptive execution can split hot keys
+    marks = work.store(nodes.select("anchor", "branches", "src").join(chained.select("anchor", "path"), "anchor", "left"), "marks")
     seen = work.store(kept.join(marks, "anchor").where(F.col("branches") | (F.col("src") != _place())).select(
         "anchor", "doc_id", "uid", "start", "n", "branches", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"), "path",
         F.when(F.col("branches"), F.col("windows")).alias("windows")), "seen")
@@ -120,6 +121,7 @@ def repeated_spans(docs: DataFrame, window: int, work: Workspace, minimizer: int
     single = seen.where("branches").select("anchor", "doc_id", "uid", "start", "windows", F.explode(F.expr("sequence(0, n - 1)")).alias("i")).select(
         "anchor", F.expr(f"substr(windows, {WIDTH} * i + 1, {WIDTH})").alias("w"), "doc_id", "uid", (F.col("start") + F.col("i")).alias("start"))
     sources = single.groupBy("anchor", "w").agg(F.min(_place()).alias("src"), F.count("*").alias("times")).where("times > 1").select("anchor", "w", "src")
+    sources = work.store(sources, "sources")
     later = single.join(sources, ["anchor", "w"]).where(F.col("src") != _place()).select(
         "doc_id", "uid", "start", F.lit(1).alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"))
     return spans.unionByName(later)
@@ -133,7 +135,7 @@ def with_kept(docs: DataFrame, window: int, key: str = "doc_id", text: str = "te
     keyed = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_uid", F.xxhash64(F.col(text)))
     rows = keyed.select(F.col("_key").alias("doc_id"), F.col("_uid").alias("uid"), F.col(text).cast("string").alias("text"))
     spans = work.store(repeated_spans(rows, window, work), "spans")
-    work.drop("often", "nodes", "seen")
+    work.drop("often", "nodes", "seen", "marks", "sources")
     marks = spans.groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u")).agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_spans"))
     joined = keyed.join(marks, F.expr("_key <=> _d and _uid = _u"), "left").drop("_d", "_u", "_key", "_uid")
     names = joined.columns
