@@ -136,9 +136,10 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def cut_batches(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def read_tasks(index: DataFrame, each: int = 1 << 24) -> int:
+    """Tasks that read the byte ranges of an index with a column ``size``, about ``each`` bytes at a time."""
+    total = index.agg(F.sum("size")).first()[0] or 0
+    return max(index.sparkSession.sparkContext.defaultParallelism, -(-total // each))
 
 
 # -- connected components ------------------------------------------------------------------------

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.llm.bpe import library_encoder
-from logtrends.llm.common import Workspace, file_system, small
+from logtrends.llm.bpe import library, library_encoder
+from logtrends.llm.common import Workspace, file_system, read_tasks, small
 
 _HEAD, _HEAD_BYTES = "<QQ", 16
 #: Byte lengths of the four values of each control byte.
@@ -56,26 +56,31 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return values
 
 
+def id_kind(path: str, end_id: int) -> str:
+    return "<u2" if max(library(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
 def encode_documents(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) with the end id appended; ids as little-endian unsigned 32-bit integers."""
+    """(key, ids) with the end id appended; ids as little-endian unsigned integers of the narrowest kind that holds the vocabulary."""
+    narrow = id_kind(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = library_encoder(path), array("I", [end_id]).tobytes()
         for batch in batches:
-            ids = pa.array([encode(t) + end for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
+            ids = [np.frombuffer(encode(t) + end, "<u4").astype(narrow).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{key}` long, ids binary")
 
 
-def id_counts(coded: DataFrame) -> DataFrame:
+def id_counts(coded: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents; every task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                found = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found
@@ -85,13 +90,13 @@ def id_counts(coded: DataFrame) -> DataFrame:
     return coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_files(coded: DataFrame, folder: str, work: Workspace, key: str = "doc_id", block_values: int = 1 << 16) -> tuple[DataFrame, np.ndarray]:
-    """Write (key, ids) rows to files below ``folder``; (index, id of each rank).
+def write_files(coded: DataFrame, folder: str, work: Workspace, kind: str, key: str = "doc_id", block_values: int = 1 << 16) -> tuple[DataFrame, np.ndarray]:
+    """Write (key, ids) rows, ids of the given kind, to files below ``folder``; (index, id of each rank).
 
     The rank table has at most one row per vocabulary entry, so it is collected and sent to the tasks. Blocks close at
     ``block_values`` ids; a longer document is one block.
     """
-    by_rank = np.array([r["id"] for r in id_counts(coded).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
+    by_rank = np.array([r["id"] for r in id_counts(coded, kind).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     ranks = coded.sparkSession.sparkContext.broadcast(rank_of)
@@ -124,7 +129,7 @@ def write_files(coded: DataFrame, folder: str, work: Workspace, key: str = "doc_
         for batch in batches:
             for k, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys.append(k)
-                held.append(np.frombuffer(ids.as_py(), "<u4"))
+                held.append(np.frombuffer(ids.as_py(), kind))
                 size += len(held[-1])
                 if size >= block_values:
                     close_block()
@@ -152,6 +157,8 @@ def read_files(index: DataFrame, folder: str, by_rank: np.ndarray, key: str = "d
     files = files.select("part", (F.sum("values").over(Window.orderBy("part")) - F.col("values")).alias("first"))
     blocks = index.withColumn("before", before).join(small(files), "part").select(
         "file", "at", "size", (F.col("first") + F.col("before")).alias("first"))
+    # the index is tiny beside the files: the number of tasks follows the bytes to read
+    blocks = blocks.repartition(read_tasks(index), "file", "at")
     table = blocks.sparkSession.sparkContext.broadcast(by_rank.astype("<u4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +187,6 @@ def token_files(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", te
     work = Workspace(docs.sparkSession, "token-files")
     folder = f"{work.root}/files"
     coded = work.store(encode_documents(docs, path, end_id, key, text), "coded")
-    index, by_rank = write_files(coded, folder, work, key)
+    index, by_rank = write_files(coded, folder, work, id_kind(path, end_id), key)
     work.drop("coded")
     return read_files(index, folder, by_rank, key)
