@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, file_system, small
+from logtrends.llm.common import Workspace, file_system, read_tasks, small
 
 # fixed values of the format
 VERSION = "WARC/1.1"
@@ -153,7 +153,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    places = index.select("file", "at", "size").repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    # the index is tiny beside the archives: the number of tasks follows the bytes to read
+    places = index.select("file", "at", "size").repartitionByRange(read_tasks(index), "file", "at").sortWithinPartitions("file", "at")
     return places.mapInArrow(run, RECORD)
 
 
