@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtrends.functions.scores import REDDIT_WEIGHTS, TWITTER_WEIGHTS, weighted_score
 
+# fixed value
 TOP = 10
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logtrends.functions import text as T
 from logtrends.operators.order import join_null_safe, number_all
 
+# fixed value
 EXPORT_MARKER = "aws-logs-write-test"
 _LEADING_TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)"
 
@@ -93,7 +94,8 @@ def chunk_lines(lines: DataFrame, n: int = 200, per_log: bool = False) -> DataFr
 
 
 def write_chunks(chunked: DataFrame, path: str) -> None:
-    chunked.repartition("chunk_id").write.mode("overwrite").partitionBy("chunk_id").parquet(path)
+    """Chunks in order, the number as a column: few files with many chunks each, of which a reader skips all but its own."""
+    chunked.repartitionByRange("chunk_id", "log_id").sortWithinPartitions("chunk_id", "log_id", "line_no").write.mode("overwrite").parquet(path)
 
 
 def save_templates(templates: DataFrame, path: str) -> None:
@@ -115,4 +117,5 @@ def read_template_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_matches(matches: DataFrame, path: str, format: str = "parquet") -> None:
-    matches.write.mode("overwrite").partitionBy("log_id").format(format).save(path)
+    """Spans in the order of their logs, the log as a column: no folder per log."""
+    matches.repartitionByRange("log_id", "start_line").sortWithinPartitions("log_id", "start_line").write.mode("overwrite").format(format).save(path)

@@ -84,3 +84,13 @@ def test_bad_records_are_marked(spark, rows):
     found = posts.parse_json(df)
     assert rows(found.filter("not is_corrupt"), "title", "score") == [("a", 1), ("b", None)]
     assert found.filter("is_corrupt").count() == 1
+
+
+def test_chunks_and_matches_are_written_without_folders(spark, rows, tmp_path):
+    chunked = logs.chunk_lines(spark.createDataFrame([(f"l{i}", j, f"x{j}") for i in range(3) for j in range(1, 8)], "log_id string, line_no long, line string"), 5)
+    logs.write_chunks(chunked, str(tmp_path / "chunks"))
+    assert rows(spark.read.parquet(str(tmp_path / "chunks")), "chunk_id", "log_id", "line_no") == rows(chunked, "chunk_id", "log_id", "line_no")
+    found = spark.createDataFrame([(0, "b/c", 3, 4), (1, "a", 1, 2)], "pattern_id int, log_id string, start_line long, end_line long")
+    logs.write_matches(found, str(tmp_path / "matches"))
+    assert rows(spark.read.parquet(str(tmp_path / "matches"))) == rows(found)
+    assert not [p for p in tmp_path.glob("*/*") if p.is_dir()]
