@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtrends.llm.bpe import Vocabulary, WordCache, vocabulary
+from logtrends.llm.common import slices
 
 
 def joined_pairs(vocab: Vocabulary) -> set[bytes]:
@@ -63,7 +64,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = text_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([to_ids(t) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
 
@@ -77,7 +78,7 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path).bytes
-        for batch in batches:
+        for batch in slices(batches):
             texts = [
                 b"".join(map(token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
                 for ids in batch.column(1).to_pylist()]

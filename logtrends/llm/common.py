@@ -120,8 +120,11 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield raw[at[i] : at[i] if nulls[i] else at[i + 1]]
 
 
-def binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is made of a batch stays small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
