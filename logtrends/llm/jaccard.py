@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, components, mix, run_hashes, small, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, components, mix, run_hashes, text_bytes, word_hashes
 
 #: N-grams of one block of a family; columns of the block products.
 BLOCK, COLUMNS = 1 << 20, 4_096
@@ -213,8 +213,9 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
         F.when(block == j, 2).when(block < j, 0).otherwise(1).alias("side")))
     sent = placed.select("v", "family", "copies", "first", F.explode(meet).alias("m"), 
         F.when(alone, F.pmod(F.xxhash64("family"), F.lit(tasks))).alias("shared"), F.when(~alone, F.col("family")).alias("large"))
-    # whole texts are read once more for the vertices that have a family; only these are shuffled, if the list of them is counted to be small
-    wanted = small(placed.select(F.col("first.doc_id").alias("f_id"), F.col("first.uid").alias("f_uid"), "v"))
+    # whole texts are read and shuffled once more for the vertices that have a family: the list of them grows with the input, so
+    # that every size takes the plan of the large ones; the texts are probed as they come, without a sort
+    wanted = placed.select(F.col("first.doc_id").alias("f_id"), F.col("first.uid").alias("f_uid"), "v").hint("shuffle_hash")
     chosen = texts.join(wanted, F.expr("doc_id <=> f_id and uid = f_uid")).select("v", "text")
     sets = work.store(gram_sets(chosen.dropDuplicates(["v"]), n), "sets")
     tasked = sent.join(sets, "v").select(
@@ -241,5 +242,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     same = F.col(key).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(F.col(text)) == F.col("_keep_uid"))
     blank = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
     # rows that repeat id and text are copies of each other, unless they are blank
-    kept = docs.join(found, same).withColumn("_each", F.when(blank, F.monotonically_increasing_id()))
+    kept = docs.join(found.hint("shuffle_hash"), same).withColumn("_each", F.when(blank, F.monotonically_increasing_id()))
     return kept.dropDuplicates(["_keep_id", "_keep_uid", "_each"]).drop("_keep_id", "_keep_uid", "_each")
