@@ -151,12 +151,19 @@ def normal_vertices(abnormal: DataFrame, clusters: DataFrame, nodes: DataFrame)
 
 # -- what difflogs of a cluster share -------------------------------------------------------
 
+def _keys(difflog_clusters: DataFrame) -> tuple[list[str], list[str]]:
+    """Columns that name a difflog cluster and those that name a difflog; clusters of one analysis may leave out its thresholds."""
+    thresholds = [c for c in ("threshold", "diff_threshold") if c in difflog_clusters.columns]
+    return [*thresholds, "cluster_id"], [*thresholds[:1], "log_id"]
+
+
 def common_edges(difflog_clusters: DataFrame, difflog: DataFrame) -> DataFrame:
     """Transitions that are missing in every log of a difflog cluster."""
-    members = difflog_clusters.select("cluster_id", "log_id", "size")
+    group, log = _keys(difflog_clusters)
+    members = difflog_clusters.select(*group, "log_id", "size")
     return (
-        members.join(difflog.select("log_id", "src", "dst").distinct(), "log_id")
-        .groupBy("cluster_id", "src", "dst").agg(F.count(F.lit(1)).alias("n_logs"), F.max("size").alias("_size"))
+        members.join(difflog.select(*log, "src", "dst").distinct(), log)
+        .groupBy(*group, "src", "dst").agg(F.count(F.lit(1)).alias("n_logs"), F.max("size").alias("_size"))
         .filter("n_logs = _size").drop("_size")
     )
 
@@ -164,25 +171,25 @@ def common_edges(difflog_clusters: DataFrame, difflog: DataFrame) -> DataFrame:
 def common_paths(difflog_clusters: DataFrame, difflog: DataFrame, paths: DataFrame) -> DataFrame:
     """Common sequences of a difflog cluster: the paths of its smallest difflog, cut to runs of
     common transitions."""
-    members = difflog_clusters.select("cluster_id", "log_id")
-    length = paths.groupBy("log_id").agg(F.sum(F.size("path")).alias("_length"))
-    pivots = members.join(length, "log_id").groupBy("cluster_id").agg(
+    group, log = _keys(difflog_clusters)
+    length = paths.groupBy(*log).agg(F.sum(F.size("path")).alias("_length"))
+    pivots = difflog_clusters.select(*group, "log_id").join(length, log).groupBy(*group).agg(
         F.min_by("log_id", F.struct("_length", "log_id")).alias("log_id")
     )
     steps = (
-        pivots.join(paths.select("log_id", "path_id", "path"), "log_id")
-        .select("cluster_id", "log_id", "path_id", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("step"))
-        .select("cluster_id", "log_id", "path_id", "step",
+        pivots.join(paths.select(*log, "path_id", "path"), log)
+        .select(*group, "log_id", "path_id", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("step"))
+        .select(*group, "log_id", "path_id", "step",
                 F.element_at("path", F.col("step")).alias("src"), F.element_at("path", F.col("step") + 1).alias("dst"))
     )
-    kept = steps.join(common_edges(difflog_clusters, difflog), ["cluster_id", "src", "dst"], "left_semi")
-    along = Window.partitionBy("cluster_id", "log_id", "path_id").orderBy("step")  # one path, at most one step per template
+    kept = steps.join(common_edges(difflog_clusters, difflog), [*group, "src", "dst"], "left_semi")
+    along = Window.partitionBy(*group, "log_id", "path_id").orderBy("step")  # one path, at most one step per template
     runs = kept.withColumn("_run", F.col("step") - F.row_number().over(along))
     return (
-        runs.groupBy("cluster_id", "log_id", "path_id", "_run")
+        runs.groupBy(*group, "log_id", "path_id", "_run")
         .agg(F.array_sort(F.collect_list(F.struct("step", "src", "dst"))).alias("_edges"))
         .select(
-            "cluster_id",
+            *group,
             F.concat(F.array(F.col("_edges")[0]["src"]), F.transform("_edges", lambda e: e["dst"])).alias("path"),
         ).distinct()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -47,9 +48,18 @@ def shape_groups(lines: DataFrame) -> DataFrame:
 def lcs_table(left: list[str], right: list[str]) -> np.ndarray:
     """Lengths of the longest common subsequences of all prefixes."""
     codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in left])
-    b = np.array([codes.setdefault(w, len(codes)) for w in right])
+    a, b = _codes(left, codes), _codes(right, codes)
+    return _lcs_rows(a, b, np.zeros(len(b) + 1, np.int32))
+
+
+def _codes(words: list[str], codes: dict[str, int]) -> np.ndarray:
+    return np.array([codes.setdefault(w, len(codes)) for w in words])
+
+
+def _lcs_rows(a: np.ndarray, b: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The row ``above`` and the rows of the table that follow it, one for each word of ``a``."""
     table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    table[0] = above
     for i, word in enumerate(a, start=1):
         grown = np.where(b == word, table[i - 1, :-1] + 1, table[i - 1, 1:])
         table[i, 1:] = np.maximum.accumulate(grown)
@@ -57,9 +67,19 @@ def lcs_table(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def common_template(left: str, right: str) -> str | None:
-    """The template covering both shapes, or None when only a wildcard would remain."""
+    """The template covering both shapes, or None when only a wildcard would remain.
+
+    Of the table of subsequence lengths only every n-th row is kept, n the square root of their number; the rows between are
+    worked out again on the way back. Memory grows with the words of one shape times the root of those of the other.
+    """
     a, b = left.split(" "), right.split(" ")
-    table = lcs_table(a, b)
+    codes: dict[str, int] = {}
+    x, y = _codes(a, codes), _codes(b, codes)
+    step = math.isqrt(len(a)) + 1
+    kept = [np.zeros(len(b) + 1, np.int32)]
+    for at in range(0, len(a), step):
+        kept.append(_lcs_rows(x[at : at + step], y, kept[-1])[-1].copy())
+    base, table = len(a) + 1, np.empty((0, 0), np.int32)
     i, j = len(a), len(b)
     reversed_words: list[str] = []
 
@@ -73,7 +93,10 @@ def common_template(left: str, right: str) -> str | None:
             i, j = i - 1, j - 1
         else:
             put(T.WILDCARD)
-            if j and (not i or table[i, j - 1] > table[i - 1, j]):
+            if i and i <= base:
+                base = (i - 1) // step * step
+                table = _lcs_rows(x[base : base + step], y, kept[base // step])
+            if j and (not i or table[i - base, j - 1] > table[i - 1 - base, j]):
                 j -= 1
             else:
                 i -= 1

@@ -21,8 +21,11 @@ def mav(matches: DataFrame) -> DataFrame:
 
 
 def difflog_mav(difflog_edges: DataFrame) -> DataFrame:
-    """Sorted set of the templates on the missing transitions of each log."""
-    return mav(difflog_edges.select("log_id", F.explode(F.array("src", "dst")).alias("template_id")))
+    """Sorted set of the templates on the missing transitions of each log, at each threshold."""
+    return (
+        difflog_edges.select("threshold", "log_id", F.explode(F.array("src", "dst")).alias("template_id")).distinct()
+        .groupBy("threshold", "log_id").agg(F.array_sort(F.collect_list("template_id")).alias("template_ids"))
+    )
 
 
 def patterns(vectors: DataFrame) -> DataFrame:

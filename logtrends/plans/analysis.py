@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,13 @@ def assigned_lines(matched: DataFrame) -> DataFrame:
 def behaviour(lines: DataFrame, templates_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vectors, nodes and edges of all logs.
 
-    The lines are read once. The three tables grow with logs and templates only.
+    The three tables grow with logs and templates only.
     """
-    matched = matched_lines(lines, templates_)
+    return behaviour_of(matched_lines(lines, templates_))
+
+
+def behaviour_of(matched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from stored matches."""
     every = matched.select("log_id", F.explode("template_ids").alias("template_id"))
     vectors_ = cut_lineage(vectors.mav(every))
     steps = cut_lineage(graphs.transitions(assigned_lines(matched)))
@@ -50,35 +57,50 @@ def all_difflog_edges(abnormal: DataFrame, clusters: DataFrame, edges: DataFrame
     return difflog.difflog_edges(abnormal, edges).unionByName(difflog.difflog_edges_all(abnormal, clusters, edges))
 
 
-def cluster_difflogs(difflog_edges: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Difflogs regrouped by the templates on their missing transitions."""
+def cluster_difflogs(difflog_edges: DataFrame, thresholds: Sequence[float], diff_thresholds: Sequence[float]) -> DataFrame:
+    """Difflogs of each threshold regrouped by the templates on their missing transitions, at each ``diff_threshold``.
+
+    The difflogs of a threshold are clustered by themselves: one tree for each threshold, cut at all ``diff_thresholds``.
+    """
     vectors_ = cut_lineage(vectors.difflog_mav(difflog_edges))
-    return cluster.cut_tree(cluster.cluster_tree(vectors_, thresholds), vectors_, thresholds)
+    found = []
+    for t in dict.fromkeys(float(t) for t in thresholds):
+        own = vectors_.filter(F.col("threshold") == t).select("log_id", "template_ids")
+        cut = cluster.cut_tree(cluster.cluster_tree(own, list(diff_thresholds)), own, list(dict.fromkeys(diff_thresholds)))
+        found.append(cut.withColumnRenamed("threshold", "diff_threshold").withColumn("threshold", F.lit(t)))
+    return reduce(DataFrame.unionByName, found)
+
 
+def analyze(lines: DataFrame, templates_: DataFrame | None = None, thresholds: Sequence[float] = (0.5,),
+            diff_thresholds: Sequence[float] = (0.5,), small: int = 4, metric: str = "edges", k: float = 2.0) -> dict[str, DataFrame]:
+    """From lines to the spans of lines that show the common abnormal sequences.
 
-def analyze(lines: DataFrame, templates_: DataFrame | None = None, threshold: float = 0.5,
-            diff_threshold: float = 0.5, small: int = 4, metric: str = "edges", k: float = 2.0) -> dict[str, DataFrame]:
-    """From lines to the spans of lines that show the common abnormal sequences."""
+    Every pair of a threshold and a ``diff_threshold`` is an analysis of its own; both are columns of the results. The lines are
+    matched once, and patterns are searched in the stored matches; texts are joined to the spans found.
+    """
     if templates_ is None:
         templates_ = cut_lineage(templates.infer_templates(lines))
-    vectors_, nodes, edges = behaviour(lines, templates_)
-    clusters, abnormal = find_abnormal(vectors_, edges, [threshold], small, metric, k)
+    matched = matched_lines(lines, templates_)
+    vectors_, nodes, edges = behaviour_of(matched)
+    clusters, abnormal = find_abnormal(vectors_, edges, list(dict.fromkeys(thresholds)), small, metric, k)
     missing = cut_lineage(all_difflog_edges(abnormal, clusters, edges))
     result = {
         "templates": templates_, "vectors": vectors_, "nodes": nodes, "edges": edges,
         "clusters": clusters, "abnormal": abnormal, "difflog_edges": missing,
     }
     paths = cut_lineage(difflog.difflog_paths(missing, edges, difflog.normal_vertices(abnormal, clusters, nodes)))
-    groups = cut_lineage(cluster_difflogs(missing, [diff_threshold]))
+    groups = cut_lineage(cluster_difflogs(missing, thresholds, diff_thresholds))
     common = cut_lineage(difflog.common_paths(groups, missing, paths))
-    named = common.select("cluster_id", F.array_join("path", ">").alias("pattern_id"), "path")
+    group = ["threshold", "diff_threshold", "cluster_id"]
+    named = common.select(*group, F.array_join("path", ">").alias("pattern_id"), "path")
     spans = patterns.pattern_matches(
         # only logs that belong to a difflog cluster are searched
-        templates.match_lines(lines, templates_).join(groups.select("log_id").distinct(), "log_id", "left_semi"),
-        named.select("pattern_id", "path").distinct(), with_lines=True,
+        assigned_lines(matched).join(groups.select("log_id").distinct(), "log_id", "left_semi"),
+        named.select("pattern_id", "path").distinct(), with_line_nos=True,
     )
-    members = groups.select("cluster_id", "log_id")
-    matches = spans.join(members, "log_id").join(named.select("cluster_id", "pattern_id"), ["cluster_id", "pattern_id"])
+    shown = patterns.with_texts(store_table(spans, "spans"), lines)
+    members = groups.select(*group, "log_id")
+    matches = shown.join(members, "log_id").join(named.select(*group, "pattern_id"), [*group, "pattern_id"])
     return result | {"difflog_paths": paths, "difflog_clusters": groups, "common_paths": common, "matches": matches}
 
 

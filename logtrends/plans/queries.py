@@ -303,20 +303,20 @@ def difflog_paths(spark, sf):
 
 @query
 def difflog_clusters(spark, sf):
-    groups = analysis.cluster_difflogs(_missing(spark, sf)[-1], [THRESHOLD])
+    groups = analysis.cluster_difflogs(_missing(spark, sf)[-1], [THRESHOLD], [THRESHOLD])
     return groups.select("cluster_id", "log_id", "size")
 
 
 @query
 def common_edges(spark, sf):
     missing = _missing(spark, sf)[-1]
-    return difflog.common_edges(analysis.cluster_difflogs(missing, [THRESHOLD]), missing)
+    return difflog.common_edges(analysis.cluster_difflogs(missing, [THRESHOLD], [THRESHOLD]), missing).select("cluster_id", "src", "dst", "n_logs")
 
 
 @query
 def common_paths(spark, sf):
     missing, paths = _paths(spark, sf)
-    groups = cut_lineage(analysis.cluster_difflogs(missing, [THRESHOLD]))
+    groups = cut_lineage(analysis.cluster_difflogs(missing, [THRESHOLD], [THRESHOLD]))
     return difflog.common_paths(groups, missing, cut_lineage(paths)).select("cluster_id", _joined("path", ">"))
 
 
@@ -348,7 +348,7 @@ def threshold_sweep(spark, sf):
 
 @query
 def analyze(spark, sf):
-    result = analysis.analyze(B.event_lines(spark, sf), B.event_templates(spark, sf), THRESHOLD, THRESHOLD)
+    result = analysis.analyze(B.event_lines(spark, sf), B.event_templates(spark, sf), [THRESHOLD], [THRESHOLD])
     return result["matches"].select("cluster_id", "pattern_id", "log_id", "start_line", "end_line", "n_lines")
 
 

@@ -120,6 +120,25 @@ def test_whole_analysis(spark, rows):
     assert rows(counts) == [(0.5, 2, 0), (2.9, 2, 0)]
 
 
+def test_several_thresholds_are_one_analysis_each(spark, rows):
+    lines, table = make_lines(spark, normal_and_strange()), pattern_df(spark, "close *", "open *", "work *")
+    both = analysis.analyze(lines, table, [0.5, 1.5], [0.5, 2.5], small=1)
+    keys = {(0.5, 0.5), (0.5, 2.5), (1.5, 0.5), (1.5, 2.5)}
+    assert {tuple(r) for r in both["matches"].select("threshold", "diff_threshold").distinct().collect()} == keys
+    single = analysis.analyze(lines, table, [1.5], [2.5], small=1)
+    for name in ("difflog_clusters", "common_paths", "matches"):
+        of_one = both[name].filter("threshold = 1.5 and diff_threshold = 2.5").select(single[name].columns)
+        assert single[name].count() > 0 and rows(of_one) == rows(single[name]), name
+
+
+def test_common_edges_keep_thresholds_apart(spark, rows):
+    missing, _ = paths_of(spark, {"a": [1, 5, 2], "b": [1, 5, 2]}, [1, 2])
+    missing = missing.unionByName(missing.withColumn("threshold", F.lit(1.0)))
+    groups = analysis.cluster_difflogs(missing, [0.5, 1.0], [0.5])
+    found = difflog.common_edges(groups, missing)
+    assert rows(found, "threshold", "src", "dst", "n_logs") == [(0.5, 1, 5, 2), (0.5, 5, 2, 2), (1.0, 1, 5, 2), (1.0, 5, 2, 2)]
+
+
 def test_nothing_abnormal(spark):
     lines = make_lines(spark, {f"log_{i}": ["open 1", "close 2"] for i in range(6)})
     result = analysis.analyze(lines)

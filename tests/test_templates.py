@@ -77,6 +77,28 @@ def test_lcs_table_matches_plain_recursion():
         assert templates.lcs_table(a, b)[-1, -1] == best
 
 
+def test_common_template_matches_the_whole_table():
+    rng = random.Random(3)
+
+    def with_whole_table(a, b):
+        table, i, j, out = templates.lcs_table(a, b), len(a), len(b), []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                word, i, j = a[i - 1], i - 1, j - 1
+            elif j and (not i or table[i, j - 1] > table[i - 1, j]):
+                word, j = "<*>", j - 1
+            else:
+                word, i = "<*>", i - 1
+            out.append(word)
+        return collapse(" ".join(out[::-1]))
+
+    for longest in (1, 3, 12, 80):
+        for _ in range(150):
+            a, b = [[rng.choice("abcdef") for _ in range(rng.randint(1, longest))] for _ in range(2)]
+            found = templates.common_template(" ".join(a), " ".join(b))
+            assert (found or "<*>") == with_whole_table(a, b)
+
+
 def test_mask(spark, rows):
     df = lines_df(
         spark, "at 12:30 2018-04-01 done 5", "10ms 10.0.0.1 id=5 5h 3rd 40% +1,000.5", "May be Monday, now", "x<*> <*> 7 y",
