@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.functions import text as T
 from logtrends.operators.order import number_all
-from logtrends.session import cut_lineage
+from logtrends.session import Scratch
 
-SHAPES_PER_TASK = 2_000
+#: Words that one task of the template inference holds; shapes looked at for each word of a seed in one round. Neither changes a result.
+WORDS_PER_TASK, PER_WORD = 200_000, 16
+NO_LIMIT = 2**62
+#: In place of a position: a template that two shapes made, a shape without partner.
+MERGED, ALONE = -1, -2
 INLINE_TEMPLATES = 256
 POLICIES = ("first", "last", "most_specific")
 
@@ -116,35 +123,114 @@ def template_matcher(template: str) -> re.Pattern:
     return re.compile(head + inner + tail, re.DOTALL)
 
 
-def merge_shapes(group: list[str]) -> list[str]:
-    """Greedy merge of the shapes of one group, in the fixed order (words, text).
-
-    The first shape is paired with the first later shape that yields a template; everything
-    the template covers is done. A shape without partner is its own template.
+class ShapeIndex:
+    """Shapes by position, found by their literal words; covered ones are taken out."""
+
+    def __init__(self, shapes_: Iterable[tuple[int, str]]):
+        self.text = dict(sorted(shapes_))
+        self.words = {p: _literals(s) for p, s in self.text.items()}
+        self.open = set(self.text)
+        self._by_word: dict[str, list[int]] = {}
+        self._first: dict[str, int] = {}
+        for p, words in self.words.items():
+            for w in words:
+                self._by_word.setdefault(w, []).append(p)
+
+    def sharing_a_word(self, at: int, above: int) -> Iterator[int]:
+        """Open positions above ``above`` that share a literal with the one at ``at``, in order.
+
+        Only the smallest open position and later ones may be asked for: what lies before is skipped for good.
+        """
+        last = above
+        for p in heapq.merge(*(self._from(w) for w in self.words[at])):
+            if p > last and p in self.open:
+                last = p
+                yield p
+
+    def _from(self, word: str) -> Iterator[int]:
+        listed, i = self._by_word[word], self._first.get(word, 0)
+        while i < len(listed) and listed[i] not in self.open:
+            i += 1
+        self._first[word] = i
+        return (listed[k] for k in range(i, len(listed)))
+
+    def take_out(self, template: str) -> None:
+        """Remove what the template covers."""
+        needed = _literals(template)
+        rarest = min(needed, key=lambda w: len(self._by_word.get(w, ())))
+        listed = [p for p in self._by_word.get(rarest, ()) if p in self.open]
+        self._by_word[rarest], self._first[rarest] = listed, 0
+        likely = [p for p in listed if needed <= self.words[p]]
+        if likely:
+            matcher = template_matcher(template)
+            self.open.difference_update([p for p in likely if matcher.fullmatch(self.text[p])])
+
+
+def _literals(shape: str) -> frozenset[str]:
+    return frozenset(shape.split(" ")) - {T.WILDCARD}
+
+
+def merge_seeds(seeds: list[tuple[int, str]], later: list[tuple[int, str]], known_to: dict[str, int], cut: int,
+                after: int) -> tuple[list[tuple[str, bool]], list[int], int]:
+    """The greedy rule over ``seeds``, as far as ``later`` tells: (templates and whether two shapes made them, positions left, where to go on).
+
+    The first open shape is paired with the first later shape that yields a template; everything the template covers
+    is done. A shape without partner is its own template.
+
+    ``later`` holds further shapes, all behind the seeds. Those with a word of ``known_to`` are complete up to its position only, and
+    all of them up to ``cut``. A seed that needs to look further ends the run; if it is the first one, the position it
+    has looked up to is returned, and comes back as ``after`` with the shapes behind that. Such a run decides that seed only.
     """
-    pending = sorted(set(group), key=lambda s: (s.count(" "), s))
-    literals = {s: frozenset(s.split(" ")) - {T.WILDCARD} for s in pending}
-    found: list[str] = []
-    while pending:
-        seed, rest = pending[0], pending[1:]
+    index = ShapeIndex([*seeds, *later])
+    found: list[tuple[str, bool]] = []
+    order = sorted(p for p, _ in seeds)
+
+    def left() -> list[int]:
+        return [p for p in order if p in index.open]
+
+    for at in order:
+        if at not in index.open:
+            continue
+        limit = min([cut, *(known_to[w] for w in index.words[at] if w in known_to)])
         merged = None
-        for partner in rest:
-            if not literals[seed].isdisjoint(literals[partner]):
-                merged = common_template(seed, partner)
-                if merged:
-                    break
+        for partner in index.sharing_a_word(at, max(at, after)):
+            if partner > limit:
+                break
+            merged = common_template(index.text[at], index.text[partner])
+            if merged:
+                break
+        if not merged and limit < NO_LIMIT:
+            return found, left(), -1 if found else limit
+        index.open.discard(at)
+        found.append((merged or index.text[at], bool(merged)))
         if merged:
-            matcher = template_matcher(merged)
-            needed = frozenset(merged.split(" ")) - {T.WILDCARD}
-            rest = [s for s in rest if not (needed <= literals[s] and matcher.fullmatch(s))]
-        found.append(merged or seed)
-        pending = rest
-    return found
+            index.take_out(merged)
+        if after >= 0:
+            break
+    return found, left(), -1
+
+
+def _merge_round(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows(kind: str) -> list[tuple[int, str]]:
+        part = pdf[pdf["kind"] == kind]
+        return list(zip(part["pos"].tolist(), part["shape"].tolist(), strict=True))
+
+    seeds, cut = rows("seed"), rows("cut")
+    found, left, after = merge_seeds(
+        seeds, rows("later"), {word: p for p, word in rows("word")}, cut[0][0] if cut else NO_LIMIT, int(pdf["after"].max()))
+    text = dict(seeds)
+    return pd.DataFrame({
+        "verb_key": pdf["verb_key"].iloc[0],
+        "pos": [MERGED if merged else ALONE for _, merged in found] + left,
+        "shape": [template for template, _ in found] + [text[p] for p in left],
+        "after": [-1] * len(found) + [after if i == 0 else -1 for i in range(len(left))]})
 
 
-def _merge_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-    merged = merge_shapes(pdf["shape"].tolist())
-    return pd.DataFrame({"verb_key": pdf["verb_key"].iloc[0], "shape": merged})
+def _uncovered(shapes_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    index = ShapeIndex(zip(shapes_["pos"].tolist(), shapes_["shape"].tolist(), strict=True))
+    for template in found["template"]:
+        index.take_out(template)
+    return shapes_.loc[shapes_["pos"].isin(index.open), ["verb_key", "pos", "shape"]]
 
 
 def without_partner(groups: DataFrame) -> DataFrame:
@@ -158,45 +244,66 @@ def without_partner(groups: DataFrame) -> DataFrame:
     return groups.join(meeting, ["verb_key", "shape"], "left_anti")
 
 
-def infer_templates(lines: DataFrame, shapes_per_task: int = SHAPES_PER_TASK) -> DataFrame:
-    """Templates of all lines.
+def _words(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per shape and different literal word."""
+    literals = F.filter(F.split("shape", " "), lambda w: w != T.WILDCARD)
+    return df.select("verb_key", *columns, F.explode(F.array_distinct(literals)).alias("word"))
 
-    Distinct shapes are merged per verb key. A key with more shapes than one task should
-    hold is cut into slices by hash; the templates of the slices are shapes again and are
-    merged in the next round, until the key fits into one slice or its number of templates
-    stops falling. At every point each line is covered by at least one template.
+
+def infer_templates(lines: DataFrame, words_per_task: int = WORDS_PER_TASK, per_word: int = PER_WORD) -> DataFrame:
+    """Templates of all lines: the greedy rule of ``merge_seeds`` over the distinct shapes of each verb key, in the order (words, text).
+
+    A shape's position is the number of words before it. In each round every key takes the shapes of its next ``words_per_task``
+    words as seeds, and for each of their words the first ``per_word`` shapes behind them. One task decides as many seeds as these
+    tell, which is what a task with all shapes would decide too; then the shapes behind lose, part by part, what the new templates cover.
+    Neither number changes the result, and no task holds more than ``words_per_task`` words of seeds, partners or shapes behind, and
+    one shape.
     """
-    open_ = cut_lineage(shapes(lines).select("verb_key", "shape").distinct())
-    done: list[DataFrame] = []
-    while not open_.isEmpty():
-        sizes = open_.groupBy("verb_key").agg(
-            F.count(F.lit(1)).alias("_n"), F.ceil(F.count(F.lit(1)) / shapes_per_task).alias("_slices")
-        )
-        sliced = open_.join(sizes, "verb_key").withColumn(
-            "_slice", F.pmod(F.xxhash64("shape", F.lit(len(done))), F.col("_slices"))
-        )
-        alone = sliced.filter("_n = 1").select("verb_key", "shape")
-        merged = (
-            sliced.filter("_n > 1").select("verb_key", "shape", "_slice").groupBy("verb_key", "_slice")
-            .applyInPandas(_merge_slice, "verb_key string, shape string").distinct()
-            .unionByName(alone)
-        )
-        # a key is finished when it had one slice or when the round did not shrink it
-        after = cut_lineage(merged.join(sizes, "verb_key"))
-        left = after.groupBy("verb_key").agg(F.count(F.lit(1)).alias("_left"))
-        judged = after.join(left, "verb_key").withColumn(
-            "_open", (F.col("_slices") > 1) & (F.col("_left") < F.col("_n"))
-        )
-        unfinished = judged.filter("_open").select("verb_key", "shape")
-        lonely = cut_lineage(without_partner(unfinished))
-        done += [judged.filter("not _open").select("shape"), lonely.select("shape")]
-        open_ = cut_lineage(unfinished.join(lonely, ["verb_key", "shape"], "left_anti"))
-    if not done:
-        return number_templates(open_.select("shape"))
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return number_templates(result.distinct())
+    work = Scratch(lines.sparkSession, "infer")
+    every = work.store(shapes(lines).select("verb_key", "shape").distinct())
+    alone = without_partner(every)
+    meeting = every.join(alone, ["verb_key", "shape"], "left_anti").withColumn("n_words", F.size(F.split("shape", " ")))
+    numbered = number_all(meeting, [F.col("verb_key"), F.col("n_words"), F.col("shape")], "pos", "n_words")
+    columns = ["verb_key", "pos", "shape", "after"]
+    pending = work.store(numbered.withColumns({"pos": F.col("pos").cast("long"), "after": F.lit(-1).cast("long")}).select(columns))
+    done = [alone.select("shape")]
+    while not pending.isEmpty():
+        heads = pending.groupBy("verb_key").agg(F.min("pos").alias("_head"), F.max("after").alias("_after"))
+        marked = pending.join(heads, "verb_key").withColumn("_seed", F.col("pos") < F.col("_head") + words_per_task)
+        seeds, behind = marked.filter("_seed"), marked.filter("not _seed")
+        decided = work.store(_round(seeds, behind, words_per_task, per_word))
+        done.append(decided.filter("pos < 0").select("shape"))
+        part = F.floor(F.col("pos") / words_per_task).alias("part")
+        parted = behind.select("verb_key", "pos", "shape", part)
+        found = decided.filter(F.col("pos") == MERGED).select("verb_key", F.col("shape").alias("template"))
+        found = found.join(parted.select("verb_key", "part").distinct(), "verb_key").toDF("_key", "template", "_part")
+        kept = parted.groupBy("verb_key", "part").cogroup(found.groupBy("_key", "_part")).applyInPandas(
+            _uncovered, "verb_key string, pos long, shape string")
+        left = decided.filter("pos >= 0").select(columns)
+        before, pending = pending, work.store(left.unionByName(kept.withColumn("after", F.lit(-1).cast("long"))))
+        work.drop(before)
+    result = number_templates(reduce(DataFrame.unionByName, done).distinct())
+    work.drop_all()
+    return result
+
+
+def _round(seeds: DataFrame, behind: DataFrame, words_per_task: int, per_word: int) -> DataFrame:
+    """What ``merge_seeds`` says of the seeds of every key: templates (``MERGED`` or ``ALONE`` for a position) and the seeds left."""
+    asked = _words(seeds).distinct()
+    listed = _words(behind.filter("pos > _after").withColumn("n_words", F.size(F.split("shape", " "))), "pos", "n_words").join(
+        asked, ["verb_key", "word"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("verb_key", "word").orderBy("pos"))
+    listed = listed.withColumn("_rank", rank).filter(F.col("_rank") <= per_word)
+    full = listed.filter(F.col("_rank") == per_word).select("verb_key", F.lit("word").alias("kind"), "pos", F.col("word").alias("shape"))
+    total = F.sum("n_words").over(Window.partitionBy("verb_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = listed.select("verb_key", "pos", "n_words").distinct().withColumn("_fits", F.coalesce(total, F.lit(0)) < words_per_task)
+    later = behind.select("verb_key", "pos", "shape").join(ranked.filter("_fits").select("verb_key", "pos"), ["verb_key", "pos"]).select(
+        "verb_key", F.lit("later").alias("kind"), "pos", "shape")
+    cut = ranked.groupBy("verb_key").agg(F.max(F.when(F.col("_fits"), F.col("pos"))).alias("pos"), F.bool_and("_fits").alias("_all")).filter(
+        "not _all").select("verb_key", F.lit("cut").alias("kind"), "pos", F.lit("").alias("shape"))
+    told = later.unionByName(full).unionByName(cut).withColumn("after", F.lit(-1).cast("long"))
+    rows = seeds.select("verb_key", F.lit("seed").alias("kind"), "pos", "shape", "after").unionByName(told)
+    return rows.groupBy("verb_key").applyInPandas(_merge_round, "verb_key string, pos long, shape string, after long")
 
 
 def number_templates(found: DataFrame) -> DataFrame:

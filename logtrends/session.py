@@ -68,3 +68,28 @@ def store_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one run in the shared folder, to be dropped as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self._paths = spark, scratch_path(spark, name), {}
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self._paths)}"
+        df.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(stored)] = (stored, path)
+        return stored
+
+    def drop(self, stored: DataFrame) -> None:
+        self._delete(self._paths[id(stored)][1])
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -16,6 +16,54 @@ WORDS = ["A", "B", "C", "D", "<*>"]
 shape_lists = st.lists(st.lists(st.sampled_from(WORDS), min_size=1, max_size=6).map(" ".join), min_size=1, max_size=12)
 
 
+def merge_shapes(group):
+    """The greedy rule in its plainest form: all shapes of a group in one list."""
+    pending = sorted(set(group), key=lambda s: (s.count(" "), s))
+    found = []
+    while pending:
+        seed, pending = pending[0], pending[1:]
+        shared = (p for p in pending if (set(seed.split(" ")) & set(p.split(" "))) - {"<*>"})
+        merged = next((m for m in (templates.common_template(seed, p) for p in shared) if m), None)
+        if merged:
+            pending = [s for s in pending if not templates.template_matcher(merged).fullmatch(s)]
+        found.append(merged or seed)
+    return found
+
+
+def merge_in_rounds(group, words, per_word):
+    """The rounds of ``infer_templates`` on plain lists."""
+    pending, found, at = [], [], 0
+    for shape in sorted(set(group), key=lambda s: (s.count(" "), s)):
+        pending.append((at, shape))
+        at += len(shape.split(" "))
+    after = -1
+    while pending:
+        seeds = [x for x in pending if x[0] < pending[0][0] + words]
+        behind = [x for x in pending[len(seeds):] if x[0] > after]
+        listed, full = {}, {}
+        for word in {w for _, s in seeds for w in s.split(" ")} - {"<*>"}:
+            first = [x for x in behind if word in x[1].split(" ")][:per_word]
+            listed.update(first)
+            if len(first) == per_word:
+                full[word] = first[-1][0]
+        later, size, cut = [], 0, templates.NO_LIMIT
+        for p, s in sorted(listed.items()):
+            if size >= words:
+                cut = later[-1][0]
+                break
+            later.append((p, s))
+            size += len(s.split(" "))
+        new, left, after = templates.merge_seeds(seeds, later, full, cut, after)
+        assert new or after >= 0
+        found += [t for t, _ in new]
+        rest = templates.ShapeIndex(pending[len(seeds):])
+        for t, merged in new:
+            if merged:
+                rest.take_out(t)
+        pending = [x for x in seeds if x[0] in set(left)] + [x for x in pending[len(seeds):] if x[0] in rest.open]
+    return found
+
+
 def lines_df(spark, *texts, log="log1"):
     return spark.createDataFrame([(log, i, t) for i, t in enumerate(texts, 1)], "log_id string, line_no bigint, line string")
 
@@ -44,10 +92,10 @@ def test_common_template(left, right, expected):
 @given(shape_lists)
 def test_merge_covers_everything(shape_list):
     shape_list = [collapse(s) for s in shape_list]
-    merged = templates.merge_shapes(shape_list)
+    merged = merge_shapes(shape_list)
     matchers = [templates.template_matcher(m) for m in merged]
     assert all(any(m.fullmatch(s) for m in matchers) for s in shape_list)
-    assert merged == templates.merge_shapes(shape_list[::-1])
+    assert merged == merge_shapes(shape_list[::-1])
 
 
 @settings(max_examples=400, deadline=None)
@@ -162,19 +210,29 @@ def test_unmatched(spark, rows, limit):
     assert templates.unmatched_lines(df, pattern_df(spark, "job *").limit(0), limit).count() == 3
 
 
-@pytest.mark.parametrize("per_task", [2_000, 3])
-def test_infer_covers_every_line(spark, per_task):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*WORDS, "E", "F", "G"]), min_size=1, max_size=6).map(" ".join), min_size=1, max_size=25),
+       st.sampled_from([1, 4, 10, 40]), st.integers(1, 3))
+def test_rounds_give_what_one_list_gives(shape_list, words, per_word):
+    assert merge_in_rounds(shape_list, words, per_word) == merge_shapes(shape_list)
+
+
+def test_infer_is_the_greedy_rule_at_every_size(spark):
+    rng = random.Random(7)
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["start", "stop", "node", "5", "disk", "is", "full", "10:30", f"w{i % 9}"]) for _ in range(rng.randint(1, 7)))
              for i in range(300)]
     texts += ["same  line  here"] * 50
     df = lines_df(spark, *texts)
-    found = templates.infer_templates(df, per_task)
+    groups = {}
+    for key, shape in templates.shapes(df).select("verb_key", "shape").collect():
+        groups.setdefault(key, []).append(shape)
+    expected = sorted({t for group in groups.values() for t in merge_shapes(group)})
+    for words, per_word in ((200_000, 16), (400, 4), (150, 1)):
+        found = templates.infer_templates(df.repartition(7), words, per_word)
+        assert sorted(r.pattern for r in found.collect()) == expected
     assert templates.unmatched_lines(df, found).count() == 0
     assert templates.unmatched_lines(df, found, 0).count() == 0
-    again = templates.infer_templates(df.repartition(7), per_task)
-    if per_task > 300:
-        assert sorted(r.pattern for r in found.collect()) == sorted(r.pattern for r in again.collect())
     ids = [r.template_id for r in found.orderBy(F.col("n_literals").desc(), "pattern").collect()]
     assert ids == list(range(len(ids)))
 
