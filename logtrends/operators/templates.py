@@ -18,7 +18,7 @@ from logtrends.operators.order import number_all
 from logtrends.session import Scratch
 
 #: Words that one task of the template inference holds; shapes looked at for each word of a seed in one round. Neither changes a result.
-WORDS_PER_TASK, PER_WORD = 200_000, 16
+WORDS_PER_TASK, PER_WORD = 1_000_000, 1_000
 NO_LIMIT = 2**62
 #: In place of a position: a template that two shapes made, a shape without partner.
 MERGED, ALONE = -1, -2
