@@ -246,6 +246,7 @@ SELECT keyword, strftime(period, {shown}) AS period, score, rank FROM ranked WHE
 
 ORACLE: dict[str, str] = {
     "log_lines": f"WITH {DOCS} SELECT log_id, line_no, line FROM doc_lines",
+    "infer_then_match": f"WITH {DOCS} SELECT log_id, line_no, line FROM doc_lines",
     "recent_lines": f"""WITH {EVENTS} SELECT log_id, line_no, line, strftime(ts, {MICROS}) AS ts FROM lines
         WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""",
     "chunk_lines": f"""WITH {DOC_ALL} SELECT log_id, line_no,

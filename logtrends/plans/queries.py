@@ -120,6 +120,13 @@ def infer_templates(spark, sf):
     return found.select("template_id", "pattern", "n_literals")
 
 
+@query
+def infer_then_match(spark, sf):
+    """Lines that an inferred template matches: all of them."""
+    lines = logs.clean_lines(B.document_lines(spark, sf))
+    return templates.match_lines(lines, templates.infer_templates(lines), "first").select("log_id", "line_no", "line")
+
+
 @query
 def templates_roundtrip(spark, sf):
     path = scratch_path(spark, "templates")
