@@ -35,8 +35,8 @@ SAMPLE, CANDIDATES, SUPPORT = 20_000, 2_000, 4
 BEGINNINGS = (5, 6, 7)
 #: Unit of the whole-number sums of probabilities.
 UNIT = 1_000_000
-#: A part of a text this long is also looked at by itself.
-PART = 2_000
+#: A part of a text this long is also looked at by itself; different words are counted in stretches of so many words.
+PART, STRETCH = 2_000, 400
 WORDS = re.compile(r"[^\W\d_]+")
 
 _CLASSES = ("upper", "lower", "digit", "space", "mark", "stop", "line", "high")
@@ -53,7 +53,22 @@ def _class_of_byte() -> np.ndarray:
 
 
 _CLASS = _class_of_byte()
-N_FEATURES = 2 * (len(_CLASSES) + 4)
+N_FEATURES = 3 * (len(_CLASSES) + 4)
+
+
+def diversity(words: np.ndarray) -> float:
+    """The mean share of different words over all stretches of ``STRETCH`` words, which does not fall with the length of a text.
+
+    The last stretch ends with the text and may overlap the one before, so that every word is seen and all stretches are equally long."""
+    n = min(len(words), STRETCH)
+    if not n:
+        return 0.0
+    starts = np.append(np.arange(0, len(words) - n, n), len(words) - n)
+    found = 0
+    for at in range(0, len(starts), 4_096):
+        rows = np.sort(np.lib.stride_tricks.sliding_window_view(words, n)[starts[at : at + 4_096]], axis=1)
+        found += len(rows) + int((rows[:, 1:] != rows[:, :-1]).sum())
+    return found / (n * len(starts))
 
 
 def _shares(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -63,17 +78,17 @@ def _shares(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
     w = max(1, len(words))
     once = (words[1:] == words[:-1]).sum() / w
     twice = (words[2:] == words[:-2]).sum() / w
-    return np.concatenate([chars, [once, twice, len(np.unique(words[:400])) / min(w, 400), min(30.0, n / w)]])
+    return np.concatenate([chars, [once, twice, diversity(words), min(30.0, n / w)]])
 
 
 def features(raw: np.ndarray) -> np.ndarray:
-    """Of the whole text, and the largest of each over its parts."""
+    """Of the whole text, and the largest and the smallest of each over its parts."""
     words = word_hashes(raw)
     whole = _shares(raw, words)
     if len(raw) <= PART:
-        return np.concatenate([whole, whole])
+        return np.concatenate([whole, whole, whole])
     parts = [_shares(p, word_hashes(p)) for p in np.array_split(raw, -(-len(raw) // PART))]
-    return np.concatenate([whole, np.max(parts, axis=0)])
+    return np.concatenate([whole, np.max(parts, axis=0), np.min(parts, axis=0)])
 
 
 def lower_words(raw: np.ndarray) -> set[str]:

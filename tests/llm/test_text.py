@@ -243,6 +243,25 @@ def test_quality(spark):
     assert clean[0] < 0.02 and bad[0] > 0.9 and toxic[0] > 0.85, (clean, bad, toxic)
 
 
+def test_diversity_sees_every_word():
+    """Junk that cycles over five words behind a clean opening lowers the evidence, wherever it stands and however long the text is."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(4_000)]
+    cycle = [w for _ in range(400) for w in words[:5]]
+    opening, whole = (np.frombuffer(" ".join(found).encode(), np.uint8) for found in (words[:500], words[:500] + cycle))
+    assert quality._shares(whole, word_hashes(whole))[-2] < 0.5 < quality._shares(opening, word_hashes(opening))[-2]
+    at = len(quality.features(np.empty(0, np.uint8))) // 3 - 2
+    of = lambda found: quality.features(np.frombuffer(" ".join(found).encode(), np.uint8)).reshape(3, -1)[:, at]
+    clean, tail, middle = of(words), of(words[:500] + cycle), of(words[:500] + cycle + words[500:1_000])
+    assert (clean > 0.99).all() and tail[0] < 0.5 and middle[0] < 0.6
+    assert tail[1] > 0.99 and tail[2] < 0.1 and middle[2] < 0.1
+    few = [draw.choice(words[:300]) for _ in range(40_000)]
+    assert abs(of(few[:400])[0] - of(few)[0]) < 0.05
+    short = ["x"] * 900 + ["y"] * 99  # one part of more than a stretch
+    assert of([f"{i}" for i in range(400)] + short[:50])[0] < of([f"{i}" for i in range(400)])[0] and quality.diversity(np.empty(0, np.uint64)) == 0
+    assert quality.diversity(np.arange(400, dtype=np.uint64).repeat(2)) == 0.5
+
+
 def test_quality_of_odd_rows(spark, odd, odd_docs):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, None), (7, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.where("false")):
