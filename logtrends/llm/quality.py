@@ -1,17 +1,17 @@
 """Quality by hierarchical empirical Bayes: what a document's text says, weighed with what is known of its host and path.
 
 1. A bounded sample of labelled documents (at most ``SAMPLE``, those with the smallest hash of their id) fits two models of the
-   text: a logistic regression on shares of characters and repeated words for quality, and a short list of words and beginnings of words, each chosen for toxic
-   documents that the words before it do not explain.
+   text: a logistic regression on shares of characters and repeated words for quality, and one on words and beginnings of words for toxicity, whose
+   evidence adds up over all listed words of a text.
 2. Every document gets its own evidence from its whole text.
-3. Evidence is summed per path and per host. A host's rate is drawn towards the global rate, a path's towards its host's; the strength
+3. Evidence, of quality and of toxicity, is summed per path and per host. A host's rate is drawn towards the global rate, a path's towards its host's; the strength
    comes from how much sites differ (moments of a beta distribution), so that a sparse site keeps close to what lies above it.
    A document's own evidence is left out of the rate of its path.
 4. The document's posterior odds are its own evidence times the odds of its path. It is rejected if it is more likely bad than
    good, or more likely toxic than not.
 
 Defined cases: a null text counts as empty; empty texts have the evidence of the prior; null hosts and paths are sites of their own; labels
-may be null or repeat (the worst counts); without labels of both kinds a model knows the prior only and rejects nothing; an empty table gives no rows;
+may be null or repeat (the worst counts); without labels of both kinds (for toxicity: or without a listed word) a model rejects nothing; an empty table gives no rows;
 other columns are carried along where asked for. Sums are whole numbers, so that results do not depend on the order of addition.
 """
 
@@ -112,15 +112,16 @@ class Model:
     scale: np.ndarray = field(default_factory=lambda: np.ones(N_FEATURES))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES + 1))
     words: dict[str, float] = field(default_factory=dict)
+    word_bias: float = 0.0
 
     def good(self, x: np.ndarray) -> float:
         """Log odds of a good text, the prior of the sample taken off."""
         return float(np.clip(np.append((x - self.mean) / self.scale, 1.0) @ self.weights - logit(self.prior), -20, 20))
 
     def toxic(self, words: set[str]) -> float:
-        """Log odds of a toxic text: the strongest of its listed words, on the prior."""
-        found = self.words.keys() & words
-        return logit(self.toxic_prior) + (max(self.words[w] for w in found) if found else 0.0)
+        """Log odds of a toxic text from all its listed words, the prior of the sample taken off."""
+        total = self.word_bias + sum(self.words[w] for w in sorted(self.words.keys() & words))
+        return float(np.clip(total - logit(self.toxic_prior), -20, 20))
 
 
 def logit(p: float) -> float:
@@ -143,18 +144,44 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return mean, scale, weights
 
 
-def choose_words(has: np.ndarray, toxic: np.ndarray, names: list[str]) -> dict[str, float]:
-    """Words with their log odds, one after the other, each for toxic documents that no word before it is in."""
-    open_, chosen = toxic.copy(), {}
-    bad, clean = max(1, toxic.sum()), max(1, (~toxic).sum())
-    odds = np.log((has[toxic].sum(axis=0) + 0.5) / bad) - np.log((has[~toxic].sum(axis=0) + 0.5) / clean)
-    while True:
-        gain = has[open_].sum(axis=0) * np.clip(odds - 3, 0, None) if len(names) else np.zeros(1)
-        best = int(np.argmax(gain))
-        if gain[best] <= 0 or has[open_][:, best].sum() < SUPPORT:
-            return chosen
-        chosen[names[best]] = float(odds[best])
-        open_ &= ~has[:, best]
+def fit_words(has: list[list[int]], toxic: np.ndarray, n: int, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of ``n`` words and the constant of a logistic regression on lists of words, by Newton's method with conjugate gradients:
+    memory grows with the lengths of the lists only."""
+    at = np.array([i for one in has for i in (*one, n)], np.int64)
+    row = np.repeat(np.arange(len(has)), [len(one) + 1 for one in has])
+    held = np.append(np.full(n, ridge), 1e-6)
+    times = lambda w: np.bincount(row, w[at], len(has))
+    back = lambda r: np.bincount(at, r[row], n + 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = times(w)
+        return float((np.logaddexp(0, z) - toxic * z).sum() + (held * w * w).sum() / 2)
+
+    weights = np.zeros(n + 1)
+    weights[n] = logit(toxic.mean())
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(times(weights), -30, 30)))
+        curve = p * (1 - p)
+        scale = back(curve) + held  # the diagonal: words are listed once
+        rest = back(toxic - p) - held * weights
+        step, way, far = np.zeros(n + 1), rest / scale, float(rest @ (rest / scale))
+        least = 1e-8 * far
+        for _ in range(100):
+            if far <= least:
+                break
+            bent = back(curve * times(way)) + held * way
+            size = far / float(way @ bent)
+            step += size * way
+            rest = rest - size * bent
+            before, far = far, float(rest @ (rest / scale))
+            way = rest / scale + far / before * way
+        now, share = loss(weights), 1.0
+        while share > 1e-4 and loss(weights + share * step) > now:
+            share /= 2
+        weights = weights + share * step
+        if np.abs(step).max(initial=0) < 1e-5:
+            break
+    return weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str) -> Model:
@@ -165,13 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
     sample = work.store(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(
         F.broadcast(chosen), "_id").select("_text", "_quality", "_toxic"), "sample")
 
+    # documents that are clean or toxic, for the odds of a word among them
+    judged_n, bad_n = sample.agg(F.count("_toxic"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, int(t or 0)) for raw, t in zip(text_bytes(batch.column(0)), batch.column(2).to_pylist(), strict=True) for w in sorted(lower_words(raw))]
+            found = [(w, int(t)) for raw, t in zip(text_bytes(batch.column(0)), batch.column(2).to_pylist(), strict=True) if t is not None for w in sorted(lower_words(raw))]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], pa.int64())], ["word", "toxic"])
 
     counts = sample.mapInArrow(words, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    score = F.col("bad") * (F.log(F.col("bad") + 0.5) - F.log(F.col("n") - F.col("bad") + 0.5))
+    score = F.col("bad") * (F.log((F.col("bad") + 0.5) / F.lit(bad_n + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(judged_n - bad_n + 1.0)))
     names = [r["word"] for r in counts.where(F.col("bad") >= SUPPORT).orderBy(F.desc(score), "word").limit(CANDIDATES).collect()]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
         model.prior = float(y.mean())
     judged = [r for r in rows if r["toxic"] is not None]
     toxic = np.array([bool(r["toxic"]) for r in judged])
-    if 0 < toxic.sum() < len(toxic):
-        has = np.zeros((len(judged), len(names)), bool)
-        for at, r in enumerate(judged):
-            has[at, r["has"]] = True
-        model.words, model.toxic_prior = choose_words(has, toxic, names), float(toxic.mean())
+    if names and 0 < toxic.sum() < len(toxic):
+        *found, model.word_bias = fit_words([r["has"] for r in judged], toxic.astype(float), len(names)).tolist()
+        model.words, model.toxic_prior = dict(zip(names, found, strict=True)), float(toxic.mean())
     return model
 
 
@@ -217,7 +245,7 @@ def evidence(docs: DataFrame, model: Model, carry: list[str], text: str, host: C
             good, toxic = [], []
             for raw in text_bytes(batch.column(at)):
                 good.append(model.good(features(raw)) if len(raw) else 0.0)
-                toxic.append(model.toxic(lower_words(raw)) if model.words else -20.0)
+                toxic.append(model.toxic(lower_words(raw)) if model.words and len(raw) else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:kept], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], [*names[:kept], "_good", "_toxic"])
 
@@ -233,28 +261,32 @@ def _strength(rates: DataFrame, mean: float) -> float:
     return float(min(max(mean * (1 - mean) / spread - 1, 2.0), 10_000.0))
 
 
-def posteriors(scored: DataFrame, prior: float, work: Workspace) -> DataFrame:
-    """``scored`` and _p_good, _p_toxic, _rejected."""
-    odds = F.col("_good") + F.lit(logit(prior))
-    marked = scored.withColumn("_p", F.round(F.lit(UNIT) / (1 + F.exp(-odds))).cast("long"))
-    paths = work.store(marked.groupBy("_host", "_path").agg(F.sum("_p").alias("good"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("good").alias("h_good"), F.sum("n").alias("h_n"))
-    total = hosts.agg(F.sum("h_good").alias("good"), F.sum("h_n").alias("n")).first()
-    mean = min(max((total["good"] or 0) / UNIT / max(1, total["n"] or 0), 1e-6), 1 - 1e-6)
-    rate = F.col("good") / UNIT / F.col("n")
-    k_host = _strength(hosts.select(F.col("h_n").alias("n"), (F.col("h_good") / UNIT / F.col("h_n")).alias("rate")), mean)
-    k_path = _strength(paths.select("n", rate.alias("rate")), mean)
-    hosts = hosts.withColumn("h_rate", (F.col("h_good") / UNIT + F.lit(k_host * mean)) / (F.col("h_n") + F.lit(k_host)))
-    sites = paths.join(hosts.select(F.col("_host").alias("h"), "h_rate"), F.col("_host").eqNullSafe(F.col("h"))).select(
-        F.col("_host").alias("s_host"), F.col("_path").alias("s_path"), F.col("good").alias("s_good"), F.col("n").alias("s_n"), F.col("h_rate").alias("s_rate"))
+def posteriors(scored: DataFrame, prior: float, work: Workspace, toxic_prior: float = 0.0) -> DataFrame:
+    """``scored`` and _p_good, _p_toxic, _rejected; both kinds of evidence by the same rates of hosts and paths."""
+    kinds = {"good": prior, "toxic": toxic_prior}
+    marked = scored.withColumns({
+        f"_u_{k}": F.round(F.lit(UNIT) / (1 + F.exp(-(F.col(f"_{k}") + F.lit(logit(p)))))).cast("long") for k, p in kinds.items()})
+    paths = work.store(marked.groupBy("_host", "_path").agg(*[F.sum(f"_u_{k}").alias(k) for k in kinds], F.count("*").alias("n")), "paths")
+    hosts = paths.groupBy("_host").agg(*[F.sum(k).alias(f"h_{k}") for k in kinds], F.sum("n").alias("h_n"))
+    total = hosts.agg(*[F.sum(f"h_{k}").alias(k) for k in kinds], F.sum("h_n").alias("n")).first()
+    rates, k_path = hosts, {}
+    for k in kinds:
+        mean = min(max((total[k] or 0) / UNIT / max(1, total["n"] or 0), 1e-6), 1 - 1e-6)
+        k_host = _strength(hosts.select(F.col("h_n").alias("n"), (F.col(f"h_{k}") / UNIT / F.col("h_n")).alias("rate")), mean)
+        k_path[k] = _strength(paths.select("n", (F.col(k) / UNIT / F.col("n")).alias("rate")), mean)
+        rates = rates.withColumn(f"r_{k}", (F.col(f"h_{k}") / UNIT + F.lit(k_host * mean)) / (F.col("h_n") + F.lit(k_host)))
+    sites = paths.join(rates.select(F.col("_host").alias("h"), *[f"r_{k}" for k in kinds]), F.col("_host").eqNullSafe(F.col("h"))).select(
+        F.col("_host").alias("s_host"), F.col("_path").alias("s_path"), F.col("n").alias("s_n"),
+        *[F.col(k).alias(f"s_{k}") for k in kinds], *[F.col(f"r_{k}").alias(f"s_r_{k}") for k in kinds])
     sites = work.store(sites, "sites")
     same = F.col("_host").eqNullSafe(F.col("s_host")) & F.col("_path").eqNullSafe(F.col("s_path"))
     joined = marked.join(small(sites), same)
-    site = ((F.col("s_good") - F.col("_p")) / UNIT + F.lit(k_path) * F.col("s_rate")) / (F.col("s_n") - 1 + F.lit(k_path))
-    site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
-    p_good = 1 / (1 + F.exp(-(F.col("_good") + F.log(site / (1 - site)))))
-    return joined.withColumn("_p_good", p_good).withColumn("_p_toxic", 1 / (1 + F.exp(-F.col("_toxic")))).withColumn(
-        "_rejected", (F.col("_p_good") < 0.5) | (F.col("_p_toxic") > 0.5)).drop("s_host", "s_path", "s_good", "s_n", "s_rate", "_p", "_good", "_toxic")
+    for k in kinds:
+        site = ((F.col(f"s_{k}") - F.col(f"_u_{k}")) / UNIT + F.lit(k_path[k]) * F.col(f"s_r_{k}")) / (F.col("s_n") - 1 + F.lit(k_path[k]))
+        site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
+        joined = joined.withColumn(f"_p_{k}", 1 / (1 + F.exp(-(F.col(f"_{k}") + F.log(site / (1 - site))))))
+    left = [f"{name}{k}" for k in kinds for name in ("_", "_u_", "s_", "s_r_")]
+    return joined.withColumn("_rejected", (F.col("_p_good") < 0.5) | (F.col("_p_toxic") > 0.5)).drop("s_host", "s_path", "s_n", *left)
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str], host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,4 +294,4 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str], host: Column,
     work = Workspace(docs.sparkSession, "quality")
     model = fit(docs, labels, work, key, text)
     scored = work.store(evidence(docs, model, carry, text, host, path), "scored")
-    return posteriors(scored, model.prior, work)
+    return posteriors(scored, model.prior, work, model.toxic_prior)

@@ -273,6 +273,27 @@ def test_diversity_sees_every_word():
     assert quality.diversity(np.arange(400, dtype=np.uint64).repeat(2)) == 0.5
 
 
+def test_moderate_words_for_toxicity_add_up():
+    """Eight words, each three times as frequent in toxic texts, of which there are few: no word tells by itself, many together do."""
+    draw = np.random.default_rng(6)
+    toxic = draw.random(6_000) < 0.03
+    has = [np.flatnonzero(draw.random(8) < (0.75 if t else 0.25)).tolist() for t in toxic]
+    *found, bias = quality.fit_words(has, toxic.astype(float), 8).tolist()
+    model = quality.Model(toxic_prior=float(toxic.mean()), words=dict(zip("abcdefgh", found, strict=True)), word_bias=bias)
+    odds = [model.toxic(set(some)) + quality.logit(model.toxic_prior) for some in ("a", "abcdefgh")]
+    assert odds[0] < 0 < odds[1] and all(1.5 < w < 3 for w in found)
+    x = np.array([[i in one for i in range(8)] for one in has], float)
+    z = np.column_stack([x, np.ones(len(x))]) @ np.array([*found, bias])
+    assert np.abs(x.T @ (toxic - 1 / (1 + np.exp(-z))) - np.array(found)).max() < 1e-3
+
+
+def test_toxicity_is_weighed_with_the_site(spark):
+    rows = [(f"h{h}", f"p{p}", 3.0 if h == 3 else -3.0) for h in range(4) for p in range(3) for _ in range(30)] + [("h0", "new", 0.0), ("h3", "new", 0.0)]
+    scored = spark.createDataFrame([(i, h, p, 9.0, t) for i, (h, p, t) in enumerate(rows)], "doc_id long, _host string, _path string, _good double, _toxic double")
+    found = {r["_host"]: (r["_p_toxic"], r["_rejected"]) for r in quality.posteriors(scored, 0.5, Workspace(spark, "test"), 0.5).where("_path = 'new'").collect()}
+    assert found["h0"][0] < 0.35 < 0.65 < found["h3"][0] and not found["h0"][1] and found["h3"][1]
+
+
 def test_quality_of_odd_rows(spark, odd, odd_docs):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, None), (7, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.where("false")):
