@@ -10,6 +10,9 @@
 4. The document's posterior odds are its own evidence times the odds of its path. It is rejected if it is more likely bad than
    good, or more likely toxic than not.
 
+Host and path are columns of the caller's choice. The table ``documents`` has neither: in op4_quality_bayes and pipeline its ``source`` and ``lang``
+stand in for them.
+
 Defined cases: a null text counts as empty; empty texts have the evidence of the prior; null hosts and paths are sites of their own; labels
 may be null or repeat (the worst counts); without labels of both kinds (for toxicity: or without a listed word) a model rejects nothing; an empty table gives no rows;
 other columns are carried along where asked for. Sums are whole numbers, so that results do not depend on the order of addition.
