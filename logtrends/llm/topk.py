@@ -8,8 +8,7 @@ cosine reaches t / (|q| max|v|), the local threshold. Per bucket and query one o
 * by coordinates, if it is high: with x = v / |v| and y = q / |q| of cosine >= c, the coordinate x_f lies within
   y_f c +- sqrt((1 - c^2) (1 - y_f^2)); the largest coordinates of the query are tested.
 
-What is left is verified by whole-number products. The bound of a query starts as its k-th best score among the longest bucket and
-rises within a task from chunk to chunk.
+What is left is verified by whole-number products. The bound of a query is its k-th best score among the longest bucket.
 
 Queries and candidates meet in blocks of bounded size; a block of queries is sent only to the chunks whose length allows a hit.
 Equal vectors are one candidate: it keeps its k + 1 smallest ids, which is all a list of k can hold, so a group of copies of any size costs one vector.
