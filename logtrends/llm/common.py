@@ -127,6 +127,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``size`` bytes in a column of texts, one row at least; batches without rows are left out."""
+    for batch in batches:
+        texts = batch.column(column)
+        width = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+        ends = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + batch.num_rows + 1] if batch.num_rows else np.zeros(1, width)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + size, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def is_space(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return _SPACE[raw]
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df`` marked for broadcast if it is counted to have at most ``rows`` rows; otherwise as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

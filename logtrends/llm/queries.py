@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrends.llm import ann, bpe_codec, jaccard, packing, quality, substring, token_count, topk, vbyte, warc
+from logtrends.llm import ann, bpe_codec, importance, infill, jaccard, packing, quality, secrets, substring, token_count, topk, vbyte, warc
 from logtrends.llm.bpe import default_path
 from logtrends.llm.common import table
 
@@ -81,4 +81,29 @@ def op10_forced_boundary_bpe(spark, sf):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query
+def op11_owned_secrets(spark, sf):
+    """``documents`` has no repository: a source stands for an owner, its documents in one language for a repository."""
+    owner = F.col("source")
+    found = secrets.scan(table(spark, sf, "documents"), F.concat_ws("/", owner, "lang"), owner)
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["name"] == kind)).cast("long")
+    told = lambda verdict: F.size(F.filter("spans", lambda s: s["verdict"] == verdict)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")], F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"), *[told(verdict).alias(f"n_{verdict}") for verdict in ("live", "shared", "example")])
+
+
+@query
+def op12_importance_resampling(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_fill_in_middle(spark, sf):
+    made = infill.restore(infill.transform(table(spark, sf, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 ORACLE: dict[str, str] = {}
