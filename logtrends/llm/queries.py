@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logtrends.llm import ann, bpe_codec, importance, infill, jaccard, packing, quality, secrets, substring, token_count, topk, vbyte, warc
 from logtrends.llm.bpe import default_path
 from logtrends.llm.common import table
+from logtrends.llm.oracle import ORACLE  # noqa: F401
 
 BYTE_LEVEL, WORD_ENDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 K, EVERY, WINDOW, LIMIT = 5, 50, 20, 2048
@@ -104,6 +105,3 @@ def op13_fill_in_middle(spark, sf):
     made = infill.restore(infill.transform(table(spark, sf, "documents")))
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
-
-
-ORACLE: dict[str, str] = {}
