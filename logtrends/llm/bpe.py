@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -14,8 +15,10 @@ from functools import lru_cache
 
 import regex
 
-#: Entries that a cache of words may hold before it starts anew; longer words are never kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 64
+from logtrends.llm.common import WordCache
+
+#: White space beyond ASCII; ``_agrees`` checks it against the library like every other character.
+WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_path(name: str) -> str:
@@ -44,6 +47,29 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache
+def _characters(kind: str) -> str:
+    """The characters below U+10000 of a general category, as ranges of a character class."""
+    found = [c for c in range(0x10000) if unicodedata.category(chr(c))[0] == kind]
+    first = [c for c, before in zip(found, [-2, *found], strict=False) if c != before + 1]
+    last = [c for c, after in zip(found, [*found[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last, strict=True))
+
+
+def plain_pattern(pattern: str) -> re.Pattern:
+    """A word pattern with Unicode classes as one for Python's faster matcher, right for characters below U+10000."""
+    classes = {r"\p{L}": _characters("L"), r"\p{N}": _characters("N"), r"\s": WHITE}
+    made, inside = [], False
+    for piece in re.findall(r"\\p\{.\}|\\.|.", pattern):
+        inside = piece == "[" or inside and piece != "]"
+        if piece == r"\S" and not inside:
+            piece = f"[^{WHITE}]"
+        elif piece in classes:
+            piece = classes[piece] if inside else f"[{classes[piece]}]"
+        made.append(piece)
+    return re.compile("".join(made))
+
+
 class Vocabulary:
     """Merges, first symbols, special strings and the word pattern of one tokenizer file."""
 
@@ -69,13 +95,13 @@ class Vocabulary:
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         pieces = spec["pre_tokenizer"].get("pretokenizers")
         if pieces:
-            self._word = regex.compile(pieces[0]["pattern"]["Regex"])
+            pattern = pieces[0]["pattern"]["Regex"]
         else:
-            from public_tokenizers import PATTERN
-
-            self._word = regex.compile(PATTERN)
+            from public_tokenizers import PATTERN as pattern
+        self._word = plain_pattern(pattern)
         self.lowers = bool(spec["normalizer"])
-        self._known: dict[str, bool] = {}
+        self._good: set[str] = {chr(c) for c in range(128)}
+        self._odd: set[str] = set()
 
     def _agrees(self, char: str) -> bool:
         """Whether this Python and the library class and lower this character alike (their Unicode versions differ)."""
@@ -90,11 +116,10 @@ class Vocabulary:
         return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
     def _plain_words(self, text: str) -> list[str]:
-        if not text.isascii():
-            known = self._known
-            for char in set(text).difference(known):
-                known[char] = char.isascii() or self._agrees(char)
-            if not all(map(known.__getitem__, set(text))):
+        if not text.isascii() and (new := set(text) - self._good):
+            for char in new - self._odd:
+                (self._good if char < "\U00010000" and self._agrees(char) else self._odd).add(char)
+            if new & self._odd:
                 lib = library(self.path)
                 text = lib.normalizer.normalize_str(text) if self.lowers else text
                 return [text[a:b] for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(text)]
@@ -147,38 +172,57 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class WordCache(dict):
-    """What ``make`` gives for a word, kept for as many words as the bound allows."""
+def word_merger(vocab: Vocabulary) -> Callable[[str], list[int]]:
+    """Word -> ids, merged by the compiled merger of tiktoken.
 
-    def __init__(self, make: Callable):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        made = self.make(word)
-        if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = made
-        return made
-
-
-@lru_cache
-def library_encoder(path: str) -> Callable[[str | None], bytes]:
-    """Text -> its ids as little-endian unsigned 32-bit integers, without added tokens, special strings as the library does.
-
-    The library's model merges each distinct word once per cache; the words are cut as the library cuts them.
+    It merges bytes by the rank of what they make. So each first symbol (a byte; with word ends, also a byte that ends a word) is written as a
+    character of two bytes, which rank before all merges. What a pair makes decides as the pair itself would: every token has one merge.
     """
-    vocab, model, letters = vocabulary(path), library(path).model, _byte_letters()
+    import tiktoken
+
+    ends = bool(vocab.suffix)
+    signs = [chr(0x80 + i) for i in range(512)]
+    of_symbol = {vocab.first[b]: signs[b] for b in range(256)}
+    if ends:
+        of_symbol |= {vocab.last[b]: signs[256 + b] for b in range(256)}
+    spelled, ids = dict(of_symbol), list(of_symbol)
+    for (left, right), (_, new) in sorted(vocab.merges.items(), key=lambda m: m[1][0]):
+        spelled[new] = spelled[left] + spelled[right]
+        ids.append(new)
+    if len(set(ids)) != len(ids):
+        raise ValueError("a token with two merges")
+    ranks = {spelled[i].encode(): rank for rank, i in enumerate(ids)}
+    ranks |= {bytes([b]): len(ids) + b for b in range(256)}
+    merge = tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def of_word(word: str) -> list[int]:
+        raw = word.encode()
+        if not raw:
+            return []
+        last = signs[256 + raw[-1]] if ends else signs[raw[-1]]
+        return [ids[rank] for rank in merge("".join([signs[b] for b in raw[:-1]]) + last)]
 
-    def ids(word: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))]).tobytes()
+    return of_word
 
-    cache = WordCache(ids)
+
+def text_coder(vocab: Vocabulary, of_word: Callable[[str], bytes], kind: str = "I") -> Callable[[str | None], bytes]:
+    """Text -> what its words give and the ids of its special strings, as little-endian unsigned integers of 32 bits (kind I) or 16 (H)."""
+    cache = WordCache(of_word)
 
     def encode(text: str | None) -> bytes:
         return b"".join([
-            array("I", [part]).tobytes() if isinstance(part, int) else b"".join(map(cache.__getitem__, part))
-            for part in vocab.sections(text or "")])
+            array(kind, [found]).tobytes() if isinstance(found, int) else b"".join(map(cache.__getitem__, found))
+            for found in vocab.sections(text or "")])
 
     return encode
+
+
+@lru_cache
+def library_encoder(path: str, kind: str = "I") -> Callable[[str | None], bytes]:
+    """Text -> its ids as the tokenizers library gives them, without added tokens, special strings as it does by default.
+
+    The words are cut as the library cuts them; each is merged once while it stays in the cache.
+    """
+    vocab = vocabulary(path)
+    merge = word_merger(vocab)
+    return text_coder(vocab, lambda word: array(kind, merge(word)).tobytes(), kind)

@@ -18,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.bpe import Vocabulary, WordCache, vocabulary
-from logtrends.llm.common import slices
+from logtrends.llm.bpe import Vocabulary, text_coder, vocabulary
+from logtrends.llm.common import WordCache, byte_slices
+
+
+#: Bytes of texts, or of ids, that are worked on at once.
+SLICE = 1 << 22
 
 
 def joined_pairs(vocab: Vocabulary) -> set[bytes]:
@@ -49,14 +53,7 @@ def text_encoder(path: str):
     def of_word(word: str) -> bytes:
         return b"".join(map(known.__getitem__, fragments(word.encode(), joined)))
 
-    cache = WordCache(of_word)
-
-    def encode(text: str | None) -> bytes:
-        return b"".join([
-            array("I", [part]).tobytes() if isinstance(part, int) else b"".join(map(cache.__getitem__, part))
-            for part in vocab.sections(text or "")])
-
-    return encode
+    return text_coder(vocab, of_word)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,7 +61,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = text_encoder(path)
-        for batch in slices(batches):
+        for batch in byte_slices(batches, 1, SLICE):
             ids = pa.array([to_ids(t) for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
 
@@ -78,7 +75,7 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path).bytes
-        for batch in slices(batches):
+        for batch in byte_slices(batches, 1, SLICE):
             texts = [
                 b"".join(map(token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
                 for ids in batch.column(1).to_pylist()]

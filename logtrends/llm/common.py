@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,29 @@ class Workspace:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Words of one generation of a cache, of which it holds two; longer words are never kept.
+CACHE_WORDS, CACHE_LENGTH = 250_000, 64
+
+
+class WordCache(dict):
+    """What ``make`` gives for a word. Words that were not asked for while ``CACHE_WORDS`` others came up are forgotten."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, word):
+        made = self.before.pop(word, None)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[word] = made
+        return made
+
+
 # -- hashes of words and of runs of words ------------------------------------------------------
 
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

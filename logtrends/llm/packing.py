@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.llm.bpe import library_encoder
-from logtrends.llm.common import Workspace, small
+from logtrends.llm.common import Workspace, byte_slices
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -40,7 +40,7 @@ def pack(docs: DataFrame, path: str, longest: int = 1024, end_id: int = 0, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, made = library_encoder(path), TaskContext.get().partitionId(), defaultdict(int)
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in byte_slices(batches, 1, 1 << 24):
             rows: list[list] = [[] for _ in range(6)]
             held = 0
             for row, text_ in enumerate(batch.column(1).to_pylist()):
@@ -77,5 +77,5 @@ def pack(docs: DataFrame, path: str, longest: int = 1024, end_id: int = 0, key:
     offsets = counts.select("length", "part", within.alias("before")).join(F.broadcast(bucket), "length").select(
         "length", "part", (F.col("first") + F.col("before")).alias("first"))
     offsets = work.store(offsets, "offsets")
-    return pieces.join(small(offsets), ["length", "part"]).select(
+    return pieces.join(offsets, ["length", "part"]).select(
         key, "start", "length", "ids", "doc_tokens", (F.col("first") + F.col("local")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

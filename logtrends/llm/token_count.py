@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.bpe import WordCache, vocabulary
+from logtrends.llm.bpe import vocabulary
+from logtrends.llm.common import WordCache, byte_slices
 
 
 @lru_cache
@@ -42,7 +43,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = text_counter(path)
-        for batch in batches:
+        for batch in byte_slices(batches, 1, 1 << 24):
             texts = batch.column(1)
             found = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.llm.bpe import library, library_encoder
-from logtrends.llm.common import Workspace, file_system, read_tasks, small
+from logtrends.llm.common import Workspace, byte_slices, file_system, read_tasks
 
 _HEAD, _HEAD_BYTES = "<QQ", 16
+#: Bytes of texts that are coded at once.
+SLICE = 1 << 24
 #: Byte lengths of the four values of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -62,12 +64,12 @@ def id_kind(path: str, end_id: int) -> str:
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) with the end id appended; ids as little-endian unsigned integers of the narrowest kind that holds the vocabulary."""
-    narrow = id_kind(path, end_id)
+    kind = "H" if id_kind(path, end_id) == "<u2" else "I"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = library_encoder(path), array("I", [end_id]).tobytes()
-        for batch in batches:
-            ids = [np.frombuffer(encode(t) + end, "<u4").astype(narrow).tobytes() for t in batch.column(1).to_pylist()]
+        encode, end = library_encoder(path, kind), array(kind, [end_id]).tobytes()
+        for batch in byte_slices(batches, 1, SLICE):
+            ids = [encode(t) + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{key}` long, ids binary")
@@ -155,7 +157,7 @@ def read_files(index: DataFrame, folder: str, by_rank: np.ndarray, key: str = "d
     before = F.sum("values").over(Window.partitionBy("part").orderBy("block")) - F.col("values")
     files = index.groupBy("part").agg(F.sum("values").alias("values"))
     files = files.select("part", (F.sum("values").over(Window.orderBy("part")) - F.col("values")).alias("first"))
-    blocks = index.withColumn("before", before).join(small(files), "part").select(
+    blocks = index.withColumn("before", before).join(files, "part").select(
         "file", "at", "size", (F.col("first") + F.col("before")).alias("first"))
     # the index is tiny beside the files: the number of tasks follows the bytes to read
     blocks = blocks.repartition(read_tasks(index), "file", "at")
