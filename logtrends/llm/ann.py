@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, small
+from logtrends.llm.common import Workspace
 from logtrends.llm.topk import best_ids, classes, matrix, valid_vectors
 
 PIVOTS, PLACES, SHARE, LEAST = 256, 64, 0.25, 256
@@ -77,16 +77,13 @@ class InvertedFiles:
         return self.places * (self.places + 1) - 2 * saved
 
 
-def search_chunk(queries: pa.Table, chunk: pa.Table, k: int, share: float) -> Iterator[tuple[int, int, float]]:
+def search_chunk(queries: pa.Table, chunk: pa.Table, k: int, share: float, pivots: int) -> Iterator[tuple[int, int, float]]:
     v, near = unit(matrix(chunk["v"])), matrix(chunk["near"])
-    files = InvertedFiles(near, int(near.max()) + 1 if near.size else 0)
+    files = InvertedFiles(near, pivots)  # pivots that no row of the chunk lists have empty files
     ids, take = chunk["ids"].to_pylist(), max(LEAST, k + 1, int(np.ceil(share * chunk.num_rows)))
-    known = len(files.ends) - 1
     for own, q, listed in zip(queries["query_id"].to_pylist(), unit(matrix(queries["v"])), matrix(queries["near"]), strict=True):
         if take < files.rows:
-            # pivots that no row of the chunk lists save nothing
-            far = files.footrule(np.where(listed < known, listed, known - 1)) if listed.max() >= known else files.footrule(listed)
-            rows = np.argpartition(far, take)[:take]
+            rows = np.argpartition(files.footrule(listed), take)[:take]
         else:
             rows = np.arange(files.rows)
         for i, s in best_ids(v[rows] @ q, [ids[r] for r in rows.tolist()], own, k):
@@ -105,19 +102,20 @@ def nearest(df: DataFrame, k: int, is_query: Column, key: str = "vec_id", vector
     every = classes(vectors.select("id", "v"), k).withColumn("dim", F.size("v"))
     every = work.store(with_places(every.select("rep", "v", "ids", "dim"), by_dim, places), "index")
     sizes = every.groupBy("dim").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    placed = every.join(small(sizes), "dim").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    placed = every.join(sizes, "dim").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     queries = vectors.where(is_query).select(F.col("id").alias("query_id"), "v", "dim")
     queries = work.store(with_places(queries, by_dim, places), "queries")
     blocks = max(1, -(-queries.count() // BLOCK))
-    sent = queries.join(small(sizes), "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
+    sent = queries.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("dim", "chunk", "block", "query_id", "v", "near")
     files = placed.select("dim", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v", "ids", "near")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(search_chunk(left, right, k, share)) if left.num_rows and right.num_rows else []
+        rows = list(search_chunk(left, right, k, share, counts[left["dim"][0].as_py()])) if left.num_rows and right.num_rows else []
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
+    counts = {dim: len(found) for dim, found in by_dim.items()}
     by = ["dim", "chunk", "block"]
     hits = sent.groupBy(*by).cogroup(files.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,6 @@ from logtrends.session import scratch_path
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 #: ASCII white space; every other byte belongs to a word.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -51,6 +51,8 @@ class Workspace:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# -- words ---------------------------------------------------------------------------------------
+
 #: Words of one generation of a cache, of which it holds two; longer words are never kept.
 CACHE_WORDS, CACHE_LENGTH = 250_000, 64
 
@@ -74,22 +76,6 @@ class WordCache(dict):
         return made
 
 
-# -- hashes of words and of runs of words ------------------------------------------------------
-
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_POWERS[0]) < n:
-        size = 1 << max(12, n.bit_length())
-        for side, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[side] = np.multiply.accumulate(steps)
-    return _POWERS
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -97,34 +83,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair; equal content gives equal hashes wherever it stands."""
-    up, down = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * down[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+def _hash_of_word(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+_WORD_HASHES = WordCache(_hash_of_word)
 
 
 def word_hashes(data: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
-    """One 64-bit hash per word of UTF-8 bytes, in order. Long texts are walked in pieces cut at white space."""
+    """64 bits of a cryptographic hash per word of UTF-8 bytes, in order. Long texts are walked in pieces cut at white space."""
     found, at = [], 0
     while at < len(data):
         end = min(len(data), at + piece)
         while end < len(data) and not _SPACE[data[end]]:
             stop = np.flatnonzero(_SPACE[data[end : end + piece]])
             end += int(stop[0]) if len(stop) else min(piece, len(data) - end)
-        part = data[at:end]
-        edge = np.diff(~_SPACE[part], prepend=False, append=False)
-        bounds = np.flatnonzero(edge)
-        found.append(_spans(part.astype(np.uint64) + np.uint64(1), bounds[::2], bounds[1::2]))
+        words = data[at:end].tobytes().split()  # bytes are split at ASCII white space only
+        found.append(np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words)))
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two runs that follow each other; for one side held fixed, a bijection of the other."""
+    h = left * np.uint64(_ODD) + right
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive words, by its first word; none if there are fewer words."""
-    starts = np.arange(max(0, len(words) - n + 1))
-    return _spans(words, starts, starts + n)
+    """Hash of every run of ``n`` consecutive words, by its first word; none if there are fewer words.
+
+    Runs of 1, 2, 4 ... words are joined pairwise; the binary digits of ``n`` say which of them make up a run.
+    """
+    count = len(words) - n + 1
+    if n < 1 or count < 1:
+        return np.empty(0, np.uint64)
+    power, size, total, done = mix(words), 1, None, 0
+    while True:
+        if n & size:
+            here = power[done : done + count]
+            total, done = here if total is None else _joined(total, here), done + size
+        if 2 * size > n:
+            return mix(total + np.uint64(n))
+        power, size = _joined(power[:-size], power[size:]), 2 * size
 
 
 def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -143,17 +145,10 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield raw[at[i] : at[i] if nulls[i] else at[i + 1]]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what is made of a batch stays small too."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int | Callable[[pa.RecordBatch], pa.Array], size: int) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about ``size`` bytes in a column of texts, one row at least; batches without rows are left out."""
     for batch in batches:
-        texts = batch.column(column)
+        texts = column(batch) if callable(column) else batch.column(column)
         width = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
         ends = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + batch.num_rows + 1] if batch.num_rows else np.zeros(1, width)
         at = 0
@@ -168,11 +163,6 @@ def is_space(raw: np.ndarray) -> np.ndarray:
     return _SPACE[raw]
 
 
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to have at most ``rows`` rows; otherwise as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def file_system(uri: str):
     """(file system, path) of a folder or file named by a URI or an absolute path; works inside tasks."""
     from pyarrow import fs
@@ -215,22 +205,23 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 
     Star contraction: in turn every vertex hands its larger, then its smaller neighbours to the smallest
     one it knows, until only stars are left. The number of rounds grows with the logarithm of the longest path.
-    Hot vertices meet one aggregated row each. Each round is written to the shared folder.
+    Hot vertices meet one aggregated row each; these rows are stored before they are joined, so that adaptive execution sees plain
+    exchanges on both sides and can split a hot vertex. Each round is written to the shared folder.
     """
     now = work.store(edges.select("a", "b").mapInArrow(_contract, "a long, b long"), f"{name}-0")
     state, step = None, 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        step += 1
+        least = work.store(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), f"{name}-{step}-least")
+        large = work.store(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-{step}-large")
+        least = work.store(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{step}-least-of-large")
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        step += 1
         after = work.store(small, f"{name}-{step}")
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        work.drop(f"{name}-{step - 1}")
+        work.drop(f"{name}-{step - 1}", *[f"{name}-{step}-{part}" for part in ("least", "large", "least-of-large")])
         now = after
         if state == tuple(seen):
             break

@@ -12,8 +12,9 @@ Band and row counts are chosen for a target recall at the threshold. The steps:
 4. Classes are the connected components of the verified links.
 
 Defined cases: a null or blank text has no n-grams and is linked with nothing, not even with other blank texts; ids may be null or
-repeat (rows of equal id and text are copies); a class is named by its smallest id, nulls last; an empty table gives no rows; other columns take no part.
-N-grams are known by 64-bit hashes, sets of them by 128 bits, vertices by the first 64 of these.
+repeat (rows of equal id and text are copies); a class is named by its smallest id, nulls last; an empty table gives no rows; other columns take no part
+and, where they are carried, may have any names. N-grams are known by 64-bit hashes made of cryptographic hashes of their words, sets of
+them by 128 bits, vertices by the first 64 of these.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, components, mix, run_hashes, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, byte_slices, components, mix, run_hashes, text_bytes, word_hashes
 
 #: N-grams of one block of a family; columns of the block products.
 BLOCK, COLUMNS = 1 << 20, 4_096
+#: Bytes of texts worked on at once.
+SLICE = 1 << 24
 KEY, SIGNED = "doc_id long, uid long", "high long, low long, size int, bands array<long>"
 
 
@@ -72,7 +75,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, factors = _functions(bands * rows)
         number = np.arange(bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in byte_slices(batches, 2, SLICE):
             out: list[list] = [[], [], [], []]
             for raw in text_bytes(batch.column(2)):
                 grams = ngram_set(raw, n)
@@ -97,7 +100,7 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     """(v, grams): the sorted n-gram hashes of (v, text) rows, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 1, SLICE):
             v, sets, held = [], [], 0
             for key, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 v.append(key)
@@ -236,11 +239,12 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class, all columns as they are; blank texts stay."""
+    """``docs`` with one row of each class, all columns as they are, whatever their names; blank texts stay."""
     found = near_copies(docs, key=key, text=text, **options).where("first").select(
-        F.col("doc_id").alias("_keep_id"), F.col("uid").alias("_keep_uid")).distinct()
-    same = F.col(key).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(F.col(text)) == F.col("_keep_uid"))
+        F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid")).distinct()
     blank = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("uid"), blank.alias("blank"))
     # rows that repeat id and text are copies of each other, unless they are blank
-    kept = docs.join(found.hint("shuffle_hash"), same).withColumn("_each", F.when(blank, F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["_keep_id", "_keep_uid", "_each"]).drop("_keep_id", "_keep_uid", "_each")
+    kept = rows.join(found.hint("shuffle_hash"), F.expr("id <=> keep_id and uid = keep_uid")).withColumn(
+        "each", F.when(F.col("blank"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["keep_id", "keep_uid", "each"]).select("row.*")

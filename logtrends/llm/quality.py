@@ -15,7 +15,7 @@ stand in for them.
 
 Defined cases: a null text counts as empty; empty texts have the evidence of the prior; null hosts and paths are sites of their own; labels
 may be null or repeat (the worst counts); without labels of both kinds (for toxicity: or without a listed word) a model rejects nothing; an empty table gives no rows;
-other columns are carried along where asked for. Sums are whole numbers, so that results do not depend on the order of addition.
+other columns are carried along in a struct where asked for, so that they may have any names. Sums are whole numbers, so that results do not depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -30,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, small, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, byte_slices, text_bytes, word_hashes
 
-#: Labelled documents that the models are fitted on, at most; words looked at for toxicity; the smallest number of documents for a word.
-SAMPLE, CANDIDATES, SUPPORT = 20_000, 2_000, 4
+#: Labelled documents that the models are fitted on, at most; the evidence that a word of toxic documents has to bring (its log odds, once for
+#: each of these documents). All words with so much evidence are listed: the sample alone bounds their number.
+SAMPLE, EVIDENCE = 20_000, 8.0
+#: Bytes of texts worked on at once.
+SLICE = 1 << 24
 #: Words are also looked at by their beginnings of so many letters, which catches what is derived from one stem.
 BEGINNINGS = (5, 6, 7)
 #: Unit of the whole-number sums of probabilities.
@@ -192,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
     chosen = known.orderBy(F.xxhash64("_id")).limit(SAMPLE)
+    # at most SAMPLE ids: bounded
     sample = work.store(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(
         F.broadcast(chosen), "_id").select("_text", "_quality", "_toxic"), "sample")
 
@@ -205,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
 
     counts = sample.mapInArrow(words, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     score = F.col("bad") * (F.log((F.col("bad") + 0.5) / F.lit(bad_n + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(judged_n - bad_n + 1.0)))
-    names = [r["word"] for r in counts.where(F.col("bad") >= SUPPORT).orderBy(F.desc(score), "word").limit(CANDIDATES).collect()]
+    names = [r["word"] for r in counts.where(score >= EVIDENCE).select("word").orderBy("word").collect()]
+    number = {w: i for i, w in enumerate(names)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
             for raw in text_bytes(batch.column(0)):
                 seen = lower_words(raw)
                 x.append(features(raw).tolist())
-                has.append([i for i, w in enumerate(names) if w in seen])
+                has.append(sorted(number[w] for w in number.keys() & seen))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.list_(pa.float64())), pa.array(has, pa.list_(pa.int32())), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.int64())],
                 ["x", "has", "quality", "toxic"])
@@ -235,22 +240,26 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, key: str, text: str
 
 
 def evidence(docs: DataFrame, model: Model, carry: list[str], text: str, host: Column, path: Column) -> DataFrame:
-    """The columns of ``carry`` and _host, _path, _good, _toxic (log odds) of every row."""
-    sites = [host.cast("string").alias("_host"), path.cast("string").alias("_path")]
+    """(row, _host, _path, _good, _toxic): a struct of the columns of ``carry``, the sites, and log odds of every row."""
     # a text that is carried along is sent to Python once
-    own = [] if text in carry else [text]
-    rows = docs.select(*carry, *sites, *own)
-    names, at, kept = rows.columns, rows.columns.index(text), len(carry) + len(sites)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:kept])
+    inside = text in carry and docs.schema[text].dataType.simpleString() == "string"
+    own = [] if inside else [F.col(text).cast("string").alias("text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    rows = docs.select(row, host.cast("string").alias("_host"), path.cast("string").alias("_path"), *own)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    at = carry.index(text) if inside else None
+
+    def texts(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column(3) if at is None else batch.column(0).field(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, texts, SLICE):
             good, toxic = [], []
-            for raw in text_bytes(batch.column(at)):
+            for raw in text_bytes(texts(batch)):
                 good.append(model.good(features(raw)) if len(raw) else 0.0)
                 toxic.append(model.toxic(lower_words(raw)) if model.words and len(raw) else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:kept], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], [*names[:kept], "_good", "_toxic"])
+                [*batch.columns[:3], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], ["row", "_host", "_path", "_good", "_toxic"])
 
     return rows.mapInArrow(run, f"{kinds}, _good double, _toxic double")
 
@@ -283,7 +292,7 @@ def posteriors(scored: DataFrame, prior: float, work: Workspace, toxic_prior: fl
         *[F.col(k).alias(f"s_{k}") for k in kinds], *[F.col(f"r_{k}").alias(f"s_r_{k}") for k in kinds])
     sites = work.store(sites, "sites")
     same = F.col("_host").eqNullSafe(F.col("s_host")) & F.col("_path").eqNullSafe(F.col("s_path"))
-    joined = marked.join(small(sites), same)
+    joined = marked.join(sites, same)
     for k in kinds:
         site = ((F.col(f"s_{k}") - F.col(f"_u_{k}")) / UNIT + F.lit(k_path[k]) * F.col(f"s_r_{k}")) / (F.col("s_n") - 1 + F.lit(k_path[k]))
         site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -293,7 +302,7 @@ def posteriors(scored: DataFrame, prior: float, work: Workspace, toxic_prior: fl
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str], host: Column, path: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``carry`` of every row and _host, _path, _p_good, _p_toxic, _rejected. Evidence is written once and read twice."""
+    """(row, _host, _path, _p_good, _p_toxic, _rejected) of every row, ``row`` a struct of the columns of ``carry``. Evidence is written once and read twice."""
     work = Workspace(docs.sparkSession, "quality")
     model = fit(docs, labels, work, key, text)
     scored = work.store(evidence(docs, model, carry, text, host, path), "scored")

@@ -45,7 +45,7 @@ def op3_norm_buckets(spark, sf):
 def op4_quality_bayes(spark, sf):
     docs = table(spark, sf, "documents")
     found = quality.classify(docs, table(spark, sf, "labels"), ["doc_id"], F.col("source"), F.col("lang"))
-    return found.select("doc_id", F.round("_p_good", 9).alias("p_good"), F.round("_p_toxic", 9).alias("p_toxic"), F.col("_rejected").alias("rejected"))
+    return found.select("row.doc_id", F.round("_p_good", 9).alias("p_good"), F.round("_p_toxic", 9).alias("p_toxic"), F.col("_rejected").alias("rejected"))
 
 
 @query
@@ -66,7 +66,7 @@ def op7_ngram_jaccard(spark, sf):
 @query
 def op8_repeated_spans(spark, sf):
     kept = substring.with_kept(table(spark, sf, "documents").select("doc_id", "text"), WINDOW)
-    return kept.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, small
+from logtrends.llm.common import Workspace
 
 #: Rows of a chunk of candidates, rows of a block of queries, buckets by length, coordinates tested.
 CHUNK, BLOCK, BUCKETS, FOCUS = 8_192, 4_096, 64, 4
@@ -161,7 +161,7 @@ def top_products(df: DataFrame, k: int, is_query: Column, key: str = "vec_id", v
     sizes = placed.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("length").alias("longest")).withColumn(
         "chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     sizes = work.store(sizes, "buckets")
-    chunked = work.store(placed.join(small(sizes.select("dim", "bucket", "chunks")), ["dim", "bucket"]).withColumn(
+    chunked = work.store(placed.join(sizes.select("dim", "bucket", "chunks"), ["dim", "bucket"]).withColumn(
         "chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select("dim", "bucket", "chunk", "v", "ids"), "chunks")
     queries = vectors.where(is_query).select(F.col("id").alias("query_id"), "v", F.size("v").alias("dim"))
     n_queries = queries.count()
@@ -173,19 +173,19 @@ def top_products(df: DataFrame, k: int, is_query: Column, key: str = "vec_id", v
 
     def meet(asked: DataFrame, spread: DataFrame) -> DataFrame:
         """Queries sent to chunks: ``spread`` has (dim, bucket, chunks, longest) of the buckets."""
-        sent = asked.join(small(spread), "dim")
+        sent = asked.join(spread, "dim")
         # no product of the bucket can reach the bound: left out before anything is sent
         sent = sent.where("bound is null or bound <= 0 or qlen * longest >= bound * 0.999999999")
         sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        right = chunked.join(small(spread.select("dim", "bucket")), ["dim", "bucket"]).select("*", copies)
+        right = chunked.join(spread.select("dim", "bucket"), ["dim", "bucket"]).select("*", copies)
         return _in_chunks(sent.select("dim", "bucket", "chunk", "block", "query_id", "v", "bound"), right, k)
 
     asked = queries.withColumn("qlen", norm)
     first = sizes.groupBy("dim").agg(F.min("bucket").alias("bucket"))
-    seeds = meet(asked.withColumn("bound", F.lit(None).cast("double")), sizes.join(small(first), ["dim", "bucket"]))
+    seeds = meet(asked.withColumn("bound", F.lit(None).cast("double")), sizes.join(first, ["dim", "bucket"]))
     seeds = work.store(_ranked(seeds, k), "seeds")
     bounds = seeds.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    rest = sizes.join(small(first), ["dim", "bucket"], "left_anti")
+    rest = sizes.join(first, ["dim", "bucket"], "left_anti")
     later = meet(asked.join(bounds, "query_id", "left"), rest)
     hits = seeds.select("query_id", "vec_id", "score").unionByName(later)
     return _ranked(hits, k).select("query_id", "rank", "vec_id", "score")

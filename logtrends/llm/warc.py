@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, file_system, read_tasks, small
+from logtrends.llm.common import Workspace, file_system, read_tasks
 
 # fixed values of the format
 VERSION = "WARC/1.1"
@@ -80,15 +80,15 @@ def parse_record(raw: bytes) -> tuple:
 def write_archives(pages: DataFrame, folder: str, work: Workspace, min_revisit_bytes: int = 0) -> DataFrame:
     """Write (page_id, url, html) rows to archives below ``folder``; the committed index.
 
-    Only digests and ids are grouped. Payloads that occur once, nearly all as a rule, need no partner: the list of repeated ones is
-    joined by broadcast while it is counted to be small, otherwise by a shuffle that splits hot digests.
+    Only digests and ids are grouped. The list of repeated digests grows with the input, so pages are shuffled by their digest at every size
+    and probe it as they come, without a sort; it is stored, so that adaptive execution can split hot digests.
     """
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), sha.alias("sha"))
     big = F.octet_length("html") >= min_revisit_bytes
     repeated = work.store(
         rows.where(big).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("sha", "refers_to"), "repeated")
-    marked = rows.join(small(repeated), "sha", "left").select(
+    marked = rows.join(repeated.hint("shuffle_hash"), "sha", "left").select(
         "page_id", "url", "html", "sha", F.when(big, F.col("refers_to")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,17 @@
 """Operators on texts against plain versions, on the smallest tables and on hand-made odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logtrends.llm import bpe, bpe_codec, jaccard, packing, quality, substring, token_count, vbyte
-from logtrends.llm.common import Workspace, components, run_hashes, table, word_hashes
+from logtrends.llm.common import CACHE_WORDS, WordCache, Workspace, byte_slices, components, run_hashes, table, word_hashes
 from logtrends.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -191,7 +193,7 @@ def test_components(spark):
 
 
 def spans(docs, window=20):
-    return as_rows(substring.with_kept(docs, window), "doc_id", "_n_words", "_n_removed", "_kept")
+    return as_rows(substring.with_kept(docs, window), "row.doc_id", "n_words", "n_removed", "kept")
 
 
 @pytest.mark.parametrize("window", [20, 5])
@@ -218,7 +220,7 @@ def test_repeated_spans_of_few_words(spark):
 def test_windows_are_known_by_all_bits_of_their_hash(spark):
     """Two windows with one minimizer whose hashes agree in 40 bits: as the only ones of a node, and window by window in a branching node."""
     base = " ".join(f"w{i}" for i in range(19))
-    one, two = (f"{base} v{i}" for i in (563799, 3003739))
+    one, two = (f"{base} v{i}" for i in (813258, 717063))
     hashes = [run_hashes(word_hashes(np.frombuffer(t.encode(), np.uint8)), 20)[0].tobytes() for t in (one, two)]
     assert hashes[0][:5] == hashes[1][:5] and hashes[0] != hashes[1]
     for docs in ([(1, one), (2, two)], [(1, one), (2, two), (3, f"{base} x"), (4, two)]):
@@ -226,6 +228,128 @@ def test_windows_are_known_by_all_bits_of_their_hash(spark):
         assert spans(made) == sorted(brute.repeated(docs), key=repr)
 
 
+def test_words_of_one_pattern_do_not_collide(spark):
+    """Words that agree under sums of powers of one number modulo 2^64: a and b by the parity of the bits of their place, and the other way round."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest} end"), (4, " ".join(one)), (5, " ".join(two))]
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    assert spans(made) == sorted(brute.repeated(docs), key=repr)
+    assert len({int(word_hashes(np.frombuffer(w.encode(), np.uint8))[0]) for w in (one, two)}) == 2
+
+
+def test_sources_verify(spark, monkeypatch):
+    """The digest of a span is that of the words at its source: it is not that of a document that holds other words. Also with many tasks for a source."""
+    monkeypatch.setattr(substring, "ASKED", 3)
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words), 10), (2, " ".join(words[:50]), 20), (None, "x " + " ".join(words), 30)], "doc_id long, text string, uid long")
+    wanted = [(2, 20, i, 1, 1, 10, i + d) for i in range(30) for d in (0, 1)] + [(2, 20, 0, 20, None, 30, 1)]
+    spans_ = spark.createDataFrame(wanted, "doc_id long, uid long, start int, n int, src_doc long, src_uid long, src_start int")
+    found = substring.verified(docs, spans_, 20).collect()
+    own = [w.encode() for w in words[:50]]
+    assert len(found) == len(wanted)
+    for r in found:
+        true = r["src_doc"] is None or r["start"] == r["src_start"]
+        assert (substring.span_digest(own, r["start"], r["n"], 20) == bytes(r["digest"])) == true
+
+
+CLASHES = ("_key _uid _d _u _spans _n_words _n_removed _kept _keep_id _keep_uid _each _host _path _good _toxic _u_good _u_toxic s_n s_good s_host s_path s_r_good _p_good _p_toxic "
+           "_rejected row uid id each blank keep_id keep_uid d u spans n_words n_removed kept start n words good toxic h_n r_good quality _text _id").split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd):
+    """A column for every name that the operators use inside; each cell says where it belongs."""
+    return spark.createDataFrame([(*row, *[f"{i} {name}" for name in CLASHES]) for i, row in enumerate(odd)],
+                                 "doc_id long, text string, " + ", ".join(f"`{name}` string" for name in CLASHES))
+
+
+def belong(rows, names=CLASHES):
+    return all(r[name].split(" ")[1] == name and len({r[x].split(" ")[0] for x in names}) == 1 for r in rows for name in names)
+
+
+def test_clashing_names(spark, odd, clashing):
+    cut = substring.with_kept(clashing, 20)
+    assert as_rows(cut, "row.doc_id", "n_words", "n_removed", "kept") == sorted(brute.repeated(odd), key=repr) and belong(cut.select("row.*").collect())
+    once = jaccard.one_of_each(clashing)
+    assert once.columns == clashing.columns and belong(once.collect()) and once.count() == jaccard.one_of_each(clashing.select("doc_id", "text")).count()
+    labels = spark.createDataFrame([(4, 1, 0, "x", "y"), (9, 0, 1, "x", "y")], "doc_id long, quality int, toxic int, _id string, _text string")
+    graded = quality.classify(clashing, labels, clashing.columns, F.col("_host"), F.col("_path"))
+    assert belong(graded.select("row.*").collect()) and graded.count() == len(odd)
+    plain = quality.classify(clashing, labels, ["doc_id"], F.col("_host"), F.col("_path"))
+    assert as_rows(graded, "row.doc_id", "_p_good", "_p_toxic") == as_rows(plain, "row.doc_id", "_p_good", "_p_toxic")
+
+
+def test_texts_are_worked_on_in_slices(spark, odd, odd_docs, monkeypatch):
+    """Many slices of a batch give what one does; slices are cut by bytes."""
+    for module in (substring, jaccard, quality, vbyte, bpe_codec):
+        monkeypatch.setattr(module, "SLICE", 1_000)
+    assert spans(odd_docs) == sorted(brute.repeated(odd), key=repr)
+    assert links(odd_docs) == sorted(brute.near_copies(odd), key=repr)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abc", None, "", "d" * 50, "e", "f"])], ["k", "t"]).slice(1)
+    assert [b.column(0).to_pylist() for b in byte_slices(iter([batch, batch.slice(5)]), 1, 10)] == [[1, 2], [3], [4, 5]]
+
+
+def brute_posteriors(rows, prior):
+    """Plain version of the rates of hosts and paths for one kind of evidence: (id, host, path, log odds) -> probability."""
+    share = [round(1_000_000 / (1 + math.exp(-(x + quality.logit(prior))))) / 1e6 for _, _, _, x in rows]
+    paths, hosts = {}, {}
+    for (_, host, path, _), s in zip(rows, share, strict=True):
+        for key, into in (((host, path), paths), (host, hosts)):
+            n, total = into.get(key, (0, 0.0))
+            into[key] = n + 1, total + s
+    mean = min(max(sum(share) / len(share), 1e-6), 1 - 1e-6)
+
+    def strength(sites):
+        if len(sites) < 2:
+            return 10.0
+        n = sum(n for n, _ in sites)
+        spread = max(sum(k * (t / k - mean) ** 2 for k, t in sites) / n - mean * (1 - mean) * len(sites) / n, 1e-6)
+        return min(max(mean * (1 - mean) / spread - 1, 2.0), 10_000.0)
+
+    k_host, k_path = strength(list(hosts.values())), strength(list(paths.values()))
+    for (i, host, path, x), s in zip(rows, share, strict=True):
+        above = (hosts[host][1] + k_host * mean) / (hosts[host][0] + k_host)
+        n, total = paths[host, path]
+        site = min(max((total - s + k_path * above) / (n - 1 + k_path), 1e-6), 1 - 1e-6)
+        yield i, 1 / (1 + math.exp(-(x + math.log(site / (1 - site)))))
+
+
+def test_posteriors(spark):
+    draw = random.Random(12)
+    sites = [(f"h{draw.choice([0, 0, 0, 1, 2, None])}", f"p{draw.randint(0, 4)}" if draw.random() < 0.9 else None) for _ in range(400)] + [("rare", "one"), (None, None)]
+    rows = [(i, h, p, draw.gauss(2.0 if h == "h0" else -1.0, 2), draw.gauss(-4, 3)) for i, (h, p) in enumerate(sites)]
+    scored = spark.createDataFrame(rows, "doc_id long, _host string, _path string, _good double, _toxic double").repartition(4)
+    found = {r["doc_id"]: r for r in quality.posteriors(scored, 0.7, Workspace(spark, "test"), 0.05).collect()}
+    for name, at, prior in (("_p_good", 3, 0.7), ("_p_toxic", 4, 0.05)):
+        for i, p in brute_posteriors([(*r[:3], r[at]) for r in rows], prior):
+            assert abs(found[i][name] - p) < 1e-9
+    assert all(r["_rejected"] == (r["_p_good"] < 0.5 or r["_p_toxic"] > 0.5) for r in found.values())
+
+
+def test_merger_is_the_library():
+    """Words of many kinds, one by one, against the library's model."""
+    draw = random.Random(7)
+    words = ["".join(draw.choices("etaoinsrhldcu", k=draw.randint(1, 30))) for _ in range(4_000)] + ["a" * n for n in range(1, 200)] + ["\x00\x01", "é中\U0001f600" * 9]
+    words += ["".join(chr(draw.choice([draw.randint(1, 0x7FF), draw.randint(0x4E00, 0x9FFF), draw.randint(0x1F300, 0x1F6FF)])) for _ in range(draw.randint(1, 9))) for _ in range(2_000)]
+    for path in (BYTE, WORDS):
+        vocab, letters = bpe.vocabulary(path), bpe._byte_letters()
+        merge, model = bpe.word_merger(vocab), bpe.library(path).model
+        for w in [*words, *[t.removesuffix(vocab.suffix) if vocab.suffix else t for t in list(vocab.ids)[::7]]]:
+            assert merge(w) == [t.id for t in model.tokenize("".join([letters[b] for b in w.encode()]))], w
+        assert merge("") == []
+
+
+def test_caches_forget():
+    made = []
+    cache = WordCache(lambda w: made.append(w) or len(w))
+    for w in [f"w{i}" for i in range(CACHE_WORDS)] + ["w0", "new", "w0", "w1"]:
+        assert cache[w] == len(w)
+    assert made.count("w0") == made.count("w1") == 1 and len(cache) <= CACHE_WORDS
+    assert cache["x" * 65] == 65 and "x" * 65 not in cache
+
+
 def test_spans_are_compacted(spark):
     text = " ".join(f"w{i}" for i in range(500))
     docs = spark.createDataFrame([(1, text, 1), (2, "new " + text, 2)], "doc_id long, text string, uid long")
@@ -247,7 +371,7 @@ def test_quality(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     half = labels.where("doc_id % 2 = 0")
-    found = quality.classify(docs, half, ["doc_id"], F.col("source"), F.col("lang")).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    found = quality.classify(docs, half, ["doc_id"], F.col("source"), F.col("lang")).select("row.doc_id", "_rejected").join(labels.where("doc_id % 2 = 1"), "doc_id")
     clean = found.where("quality = 1 and toxic = 0").agg(F.avg(F.col("_rejected").cast("int")), F.count("*")).first()
     bad = found.where("quality = 0").agg(F.avg(F.col("_rejected").cast("int")), F.count("*")).first()
     toxic = found.where("toxic = 1").agg(F.avg(F.col("_rejected").cast("int")), F.count("*")).first()
@@ -298,7 +422,7 @@ def test_quality_of_odd_rows(spark, odd, odd_docs):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, None), (7, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.where("false")):
         found = quality.classify(odd_docs, some, odd_docs.columns, F.col("family"), F.col("ids"))
-        assert found.columns[: len(odd_docs.columns)] == odd_docs.columns and found.count() == len(odd)
+        assert found.select("row.*").columns == odd_docs.columns and found.count() == len(odd)
     assert found.where("_rejected").count() == 0
     assert quality.classify(empty(odd_docs), labels, ["doc_id"], F.col("family"), F.lit(None)).count() == 0
 
