@@ -16,7 +16,7 @@ from logtrends.llm.common import Workspace, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     found = quality.classify(docs, table(spark, sf_dir, "labels"), docs.columns, F.col("source"), F.col("lang"))
-    return found.where("not _rejected").select(docs.columns)
+    return found.where("not _rejected").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of spans that begin earlier elsewhere; texts without such spans stay byte for byte."""
-    found = substring.with_kept(docs, window=20)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn(
-        "n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    found, cut = substring.with_kept(docs, window=20), F.col("n_removed") > 0
+    own = {c: F.col("row")[c] for c in docs.columns}
+    own["text"] = F.when(cut, F.col("kept")).otherwise(own["text"])
+    own["n_chars"] = F.when(cut, F.length("kept").cast("long")).otherwise(own["n_chars"])
+    return found.select(*[value.alias(name) for name, value in own.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
