@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.session import cut_lineage
+from logtrends.session import store_table
 
 ROWS_PER_BLOCK = 50_000
 _BEFORE_ALL = -(2**62)
@@ -78,11 +78,11 @@ def number_all(df: DataFrame, order_by: Sequence[Column], name: str, weight: str
     """Global 0-based position in sorted order, or the sum of ``weight`` over all earlier rows.
 
     The rows are spread by range, so no task sees more than its share; only one number per
-    range meets in a single window. The ranges are checkpointed, because their borders are
-    sampled and must not be drawn twice.
+    range meets in a single window. The ranges are stored, because their borders are
+    sampled and must not be drawn twice. ``df`` is read twice and should be cheap to read.
     """
     amount = F.col(weight) if weight else F.lit(1)
-    ranged = cut_lineage(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()))
+    ranged = store_table(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_range").agg(F.sum(amount).alias("_n"))

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-import re
-from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.functions import text as T
+from logtrends.operators.inference import NEVER, common_template, lcs_table, left_of, run_blocks, template_matcher  # noqa: F401
 from logtrends.operators.order import number_all
 from logtrends.session import Scratch
 
-#: Words that one task of the template inference holds; shapes looked at for each word of a seed in one round. Neither changes a result.
-WORDS_PER_TASK, PER_WORD = 1_000_000, 1_000
-NO_LIMIT = 2**62
-#: In place of a position: a template that two shapes made, a shape without partner.
-MERGED, ALONE = -1, -2
+#: Words that one task of the template inference looks at; parts of the order in one round. Neither changes a result.
+WORDS_PER_TASK, PARTS = 1_000_000, 4_096
+MERGED, ALONE, LEFT = "merged", "alone", "left"
 INLINE_TEMPLATES = 256
 POLICIES = ("first", "last", "most_specific")
 
@@ -52,196 +46,13 @@ def shape_groups(lines: DataFrame) -> DataFrame:
 
 # -- inference ------------------------------------------------------------------------------
 
-def lcs_table(left: list[str], right: list[str]) -> np.ndarray:
-    """Lengths of the longest common subsequences of all prefixes."""
-    codes: dict[str, int] = {}
-    a, b = _codes(left, codes), _codes(right, codes)
-    return _lcs_rows(a, b, np.zeros(len(b) + 1, np.int32))
+_PENDING = "verb_key string, pos long, shape string, taken long, waits boolean, after long"
+_COLUMNS = [field.split(" ")[0] for field in _PENDING.split(", ")]
+_DECIDED = "verb_key string, pos long, shape string, taken long, kind string"
 
 
-def _codes(words: list[str], codes: dict[str, int]) -> np.ndarray:
-    return np.array([codes.setdefault(w, len(codes)) for w in words])
-
-
-def _lcs_rows(a: np.ndarray, b: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """The row ``above`` and the rows of the table that follow it, one for each word of ``a``."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    table[0] = above
-    for i, word in enumerate(a, start=1):
-        grown = np.where(b == word, table[i - 1, :-1] + 1, table[i - 1, 1:])
-        table[i, 1:] = np.maximum.accumulate(grown)
-    return table
-
-
-def common_template(left: str, right: str) -> str | None:
-    """The template covering both shapes, or None when only a wildcard would remain.
-
-    Of the table of subsequence lengths only every n-th row is kept, n the square root of their number; the rows between are
-    worked out again on the way back. Memory grows with the words of one shape times the root of those of the other.
-    """
-    a, b = left.split(" "), right.split(" ")
-    codes: dict[str, int] = {}
-    x, y = _codes(a, codes), _codes(b, codes)
-    step = math.isqrt(len(a)) + 1
-    kept = [np.zeros(len(b) + 1, np.int32)]
-    for at in range(0, len(a), step):
-        kept.append(_lcs_rows(x[at : at + step], y, kept[-1])[-1].copy())
-    base, table = len(a) + 1, np.empty((0, 0), np.int32)
-    i, j = len(a), len(b)
-    reversed_words: list[str] = []
-
-    def put(word: str) -> None:
-        if word != T.WILDCARD or not reversed_words or reversed_words[-1] != T.WILDCARD:
-            reversed_words.append(word)
-
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            put(a[i - 1])
-            i, j = i - 1, j - 1
-        else:
-            put(T.WILDCARD)
-            if i and i <= base:
-                base = (i - 1) // step * step
-                table = _lcs_rows(x[base : base + step], y, kept[base // step])
-            if j and (not i or table[i - base, j - 1] > table[i - 1 - base, j]):
-                j -= 1
-            else:
-                i -= 1
-    words = reversed_words[::-1]
-    return None if words == [T.WILDCARD] else " ".join(words)
-
-
-def template_matcher(template: str) -> re.Pattern:
-    """Full match of a shape against a template; a wildcard stands for zero or more words."""
-    pieces = re.split(r"(?:^| )<\*>(?= |$)", template)
-    quoted = [re.escape(p.lstrip(" ")) for p in pieces]
-    if len(quoted) == 1:
-        return re.compile(quoted[0])
-    head = quoted[0] and quoted[0] + r"(?= |\Z)"
-    inner = "".join(rf"(?>.*?(?:^| ){p}(?= |\Z))" for p in quoted[1:-1])
-    tail = rf".*(?:^| ){quoted[-1]}" if quoted[-1] else ".*"
-    return re.compile(head + inner + tail, re.DOTALL)
-
-
-class ShapeIndex:
-    """Shapes by position, found by their literal words; covered ones are taken out."""
-
-    def __init__(self, shapes_: Iterable[tuple[int, str]]):
-        self.text = dict(sorted(shapes_))
-        self.words = {p: _literals(s) for p, s in self.text.items()}
-        self.open = set(self.text)
-        self._by_word: dict[str, list[int]] = {}
-        self._first: dict[str, int] = {}
-        for p, words in self.words.items():
-            for w in words:
-                self._by_word.setdefault(w, []).append(p)
-
-    def sharing_a_word(self, at: int, above: int) -> Iterator[int]:
-        """Open positions above ``above`` that share a literal with the one at ``at``, in order.
-
-        Only the smallest open position and later ones may be asked for: what lies before is skipped for good.
-        """
-        last = above
-        for p in heapq.merge(*(self._from(w) for w in self.words[at])):
-            if p > last and p in self.open:
-                last = p
-                yield p
-
-    def _from(self, word: str) -> Iterator[int]:
-        listed, i = self._by_word[word], self._first.get(word, 0)
-        while i < len(listed) and listed[i] not in self.open:
-            i += 1
-        self._first[word] = i
-        return (listed[k] for k in range(i, len(listed)))
-
-    def take_out(self, template: str) -> None:
-        """Remove what the template covers."""
-        needed = _literals(template)
-        rarest = min(needed, key=lambda w: len(self._by_word.get(w, ())))
-        listed = [p for p in self._by_word.get(rarest, ()) if p in self.open]
-        self._by_word[rarest], self._first[rarest] = listed, 0
-        likely = [p for p in listed if needed <= self.words[p]]
-        if likely:
-            matcher = template_matcher(template)
-            self.open.difference_update([p for p in likely if matcher.fullmatch(self.text[p])])
-
-
-def _literals(shape: str) -> frozenset[str]:
-    return frozenset(shape.split(" ")) - {T.WILDCARD}
-
-
-def merge_seeds(seeds: list[tuple[int, str]], later: list[tuple[int, str]], known_to: dict[str, int], cut: int,
-                after: int) -> tuple[list[tuple[str, bool]], list[int], int]:
-    """The greedy rule over ``seeds``, as far as ``later`` tells: (templates and whether two shapes made them, positions left, where to go on).
-
-    The first open shape is paired with the first later shape that yields a template; everything the template covers
-    is done. A shape without partner is its own template.
-
-    ``later`` holds further shapes, all behind the seeds. Those with a word of ``known_to`` are complete up to its position only, and
-    all of them up to ``cut``. A seed that needs to look further ends the run; if it is the first one, the position it
-    has looked up to is returned, and comes back as ``after`` with the shapes behind that. Such a run decides that seed only.
-    """
-    index = ShapeIndex([*seeds, *later])
-    found: list[tuple[str, bool]] = []
-    order = sorted(p for p, _ in seeds)
-
-    def left() -> list[int]:
-        return [p for p in order if p in index.open]
-
-    for at in order:
-        if at not in index.open:
-            continue
-        limit = min([cut, *(known_to[w] for w in index.words[at] if w in known_to)])
-        merged = None
-        for partner in index.sharing_a_word(at, max(at, after)):
-            if partner > limit:
-                break
-            merged = common_template(index.text[at], index.text[partner])
-            if merged:
-                break
-        if not merged and limit < NO_LIMIT:
-            return found, left(), -1 if found else limit
-        index.open.discard(at)
-        found.append((merged or index.text[at], bool(merged)))
-        if merged:
-            index.take_out(merged)
-        if after >= 0:
-            break
-    return found, left(), -1
-
-
-def _merge_round(pdf: pd.DataFrame) -> pd.DataFrame:
-    def rows(kind: str) -> list[tuple[int, str]]:
-        part = pdf[pdf["kind"] == kind]
-        return list(zip(part["pos"].tolist(), part["shape"].tolist(), strict=True))
-
-    seeds, cut = rows("seed"), rows("cut")
-    found, left, after = merge_seeds(
-        seeds, rows("later"), {word: p for p, word in rows("word")}, cut[0][0] if cut else NO_LIMIT, int(pdf["after"].max()))
-    text = dict(seeds)
-    return pd.DataFrame({
-        "verb_key": pdf["verb_key"].iloc[0],
-        "pos": [MERGED if merged else ALONE for _, merged in found] + left,
-        "shape": [template for template, _ in found] + [text[p] for p in left],
-        "after": [-1] * len(found) + [after if i == 0 else -1 for i in range(len(left))]})
-
-
-def _uncovered(shapes_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    index = ShapeIndex(zip(shapes_["pos"].tolist(), shapes_["shape"].tolist(), strict=True))
-    for template in found["template"]:
-        index.take_out(template)
-    return shapes_.loc[shapes_["pos"].isin(index.open), ["verb_key", "pos", "shape"]]
-
-
-def without_partner(groups: DataFrame) -> DataFrame:
-    """Shapes that share no literal word with another shape of their key: nothing can merge them."""
-    words = groups.select(
-        "verb_key", "shape",
-        F.explode(F.array_distinct(F.filter(F.split("shape", " "), lambda w: w != T.WILDCARD))).alias("word"),
-    )
-    shared = words.groupBy("verb_key", "word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("verb_key", "word")
-    meeting = words.join(shared, ["verb_key", "word"], "left_semi").select("verb_key", "shape").distinct()
-    return groups.join(meeting, ["verb_key", "shape"], "left_anti")
+def _n_words() -> Column:
+    return F.size(F.split("shape", " "))
 
 
 def _words(df: DataFrame, *columns: str) -> DataFrame:
@@ -250,60 +61,152 @@ def _words(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("verb_key", *columns, F.explode(F.array_distinct(literals)).alias("word"))
 
 
-def infer_templates(lines: DataFrame, words_per_task: int = WORDS_PER_TASK, per_word: int = PER_WORD) -> DataFrame:
-    """Templates of all lines: the greedy rule of ``merge_seeds`` over the distinct shapes of each verb key, in the order (words, text).
+def infer_templates(lines: DataFrame, words_per_task: int = WORDS_PER_TASK) -> DataFrame:
+    """Templates of all lines: the greedy rule of ``inference`` over the distinct shapes of each verb key, in the order (words, text).
 
-    A shape's position is the number of words before it. In each round every key takes the shapes of its next ``words_per_task``
-    words as seeds, and for each of their words the first ``per_word`` shapes behind them. One task decides as many seeds as these
-    tell, which is what a task with all shapes would decide too; then the shapes behind lose, part by part, what the new templates cover.
-    Neither number changes the result, and no task holds more than ``words_per_task`` words of seeds, partners or shapes behind, and
-    one shape.
+    A shape's position is the number of words before it. In each round every key takes the shapes of its next ``words_per_task`` words, with the
+    seeds that still wait for a partner; one task per key (or for many small keys) decides what these rows tell. Then the shapes behind lose, in
+    parts and in parallel, what the new templates cover, which is most of them. If the seeds that wait become more than one
+    task should hold, they are decided by reservations, in joins. The number does not change the result.
     """
     work = Scratch(lines.sparkSession, "infer")
-    every = work.store(shapes(lines).select("verb_key", "shape").distinct())
-    alone = without_partner(every)
-    meeting = every.join(alone, ["verb_key", "shape"], "left_anti").withColumn("n_words", F.size(F.split("shape", " ")))
-    numbered = number_all(meeting, [F.col("verb_key"), F.col("n_words"), F.col("shape")], "pos", "n_words")
-    columns = ["verb_key", "pos", "shape", "after"]
-    pending = work.store(numbered.withColumns({"pos": F.col("pos").cast("long"), "after": F.lit(-1).cast("long")}).select(columns))
-    done = [alone.select("shape")]
-    while not pending.isEmpty():
-        heads = pending.groupBy("verb_key").agg(F.min("pos").alias("_head"), F.max("after").alias("_after"))
-        marked = pending.join(heads, "verb_key").withColumn("_seed", F.col("pos") < F.col("_head") + words_per_task)
-        seeds, behind = marked.filter("_seed"), marked.filter("not _seed")
-        decided = work.store(_round(seeds, behind, words_per_task, per_word))
-        done.append(decided.filter("pos < 0").select("shape"))
-        part = F.floor(F.col("pos") / words_per_task).alias("part")
-        parted = behind.select("verb_key", "pos", "shape", part)
-        found = decided.filter(F.col("pos") == MERGED).select("verb_key", F.col("shape").alias("template"))
-        found = found.join(parted.select("verb_key", "part").distinct(), "verb_key").toDF("_key", "template", "_part")
-        kept = parted.groupBy("verb_key", "part").cogroup(found.groupBy("_key", "_part")).applyInPandas(
-            _uncovered, "verb_key string, pos long, shape string")
-        left = decided.filter("pos >= 0").select(columns)
-        before, pending = pending, work.store(left.unionByName(kept.withColumn("after", F.lit(-1).cast("long"))))
+    every = work.store(shapes(lines).select("verb_key", "shape").distinct().withColumn("n_words", _n_words()))
+    numbered = number_all(every, [F.col("verb_key"), F.col("n_words"), F.col("shape")], "pos", "n_words")
+    pending = work.store(numbered.select(
+        "verb_key", F.col("pos").cast("long"), "shape", F.lit(NEVER).alias("taken"), F.lit(False).alias("waits"), F.lit(-1).cast("long").alias("after")))
+    done: list[DataFrame] = []
+    while True:
+        plan = work.store(_plan(pending, words_per_task))
+        n_words, ends = plan.agg(F.sum("n_words"), F.bool_and("last")).first()
+        marked = pending.join(plan.withColumnRenamed("n_words", "n_now"), "verb_key", "left").withColumn("now", F.col("waits") | (F.col("pos") < F.col("upto")))
+        decided = work.store(_decide_blocks(marked.filter("now"), n_words or 0, words_per_task))
+        done.append(decided.filter(F.col("kind") != LEFT).select("shape"))
+        if ends is not False:  # nothing lies behind in any key: all is decided
+            break
+        left = decided.filter(F.col("kind") == LEFT).select("verb_key", "pos", "shape", "taken", F.lit(True).alias("waits"), F.lit(-1).cast("long").alias("after"))
+        kept = _without_covered(marked.filter("not now").select(_COLUMNS), decided, words_per_task)
+        before, pending = pending, work.store(left.unionByName(kept))
         work.drop(before)
-    result = number_templates(reduce(DataFrame.unionByName, done).distinct())
+        while not (crowded := _crowded(pending, words_per_task)).isEmpty():
+            found, pending_after = _reserve(pending, crowded, work, words_per_task)
+            done.append(found.filter(F.col("kind") != LEFT).select("shape"))
+            before, pending = pending, pending_after
+            work.drop(before)
+    result = number_templates(work.store(reduce(DataFrame.unionByName, done).distinct()))
     work.drop_all()
     return result
 
 
-def _round(seeds: DataFrame, behind: DataFrame, words_per_task: int, per_word: int) -> DataFrame:
-    """What ``merge_seeds`` says of the seeds of every key: templates (``MERGED`` or ``ALONE`` for a position) and the seeds left."""
-    asked = _words(seeds).distinct()
-    listed = _words(behind.filter("pos > _after").withColumn("n_words", F.size(F.split("shape", " "))), "pos", "n_words").join(
-        asked, ["verb_key", "word"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("verb_key", "word").orderBy("pos"))
-    listed = listed.withColumn("_rank", rank).filter(F.col("_rank") <= per_word)
-    full = listed.filter(F.col("_rank") == per_word).select("verb_key", F.lit("word").alias("kind"), "pos", F.col("word").alias("shape"))
-    total = F.sum("n_words").over(Window.partitionBy("verb_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = listed.select("verb_key", "pos", "n_words").distinct().withColumn("_fits", F.coalesce(total, F.lit(0)) < words_per_task)
-    later = behind.select("verb_key", "pos", "shape").join(ranked.filter("_fits").select("verb_key", "pos"), ["verb_key", "pos"]).select(
-        "verb_key", F.lit("later").alias("kind"), "pos", "shape")
-    cut = ranked.groupBy("verb_key").agg(F.max(F.when(F.col("_fits"), F.col("pos"))).alias("pos"), F.bool_and("_fits").alias("_all")).filter(
-        "not _all").select("verb_key", F.lit("cut").alias("kind"), "pos", F.lit("").alias("shape"))
-    told = later.unionByName(full).unionByName(cut).withColumn("after", F.lit(-1).cast("long"))
-    rows = seeds.select("verb_key", F.lit("seed").alias("kind"), "pos", "shape", "after").unionByName(told)
-    return rows.groupBy("verb_key").applyInPandas(_merge_round, "verb_key string, pos long, shape string, after long")
+def _plan(pending: DataFrame, words: int) -> DataFrame:
+    """(verb_key, upto, last, n_words): the position up to which a key's shapes take part now, whether these are all, and their words.
+
+    Words are counted by stretches of the order, of which at most ``PARTS`` are looked at.
+    """
+    grain = max(1, words // 16)
+    parts = pending.filter("not waits").groupBy("verb_key", F.floor(F.col("pos") / grain).alias("part")).agg(F.sum(_n_words()).alias("n"))
+    number = parts.groupBy("verb_key").agg(F.count(F.lit(1)).alias("parts"))
+    in_order = Window.partitionBy("verb_key").orderBy("part")
+    first = parts.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= PARTS)
+    fits = first.withColumn("before", F.sum("n").over(in_order) - F.col("n")).filter(F.col("before") < words)
+    taken = fits.groupBy("verb_key").agg(
+        ((F.max("part") + 1) * grain).alias("upto"), F.count(F.lit(1)).alias("n_parts"), F.sum("n").alias("n_words"))
+    return taken.join(number, "verb_key").select("verb_key", "upto", (F.col("n_parts") == F.col("parts")).alias("last"), "n_words")
+
+
+def _decide_blocks(block: DataFrame, n_words: int, words: int) -> DataFrame:
+    """What ``run_blocks`` says of the rows of every key. Keys with few words share a task."""
+    tasks = max(1, -(-n_words // words), block.sparkSession.sparkContext.defaultParallelism)
+    small = F.coalesce(F.col("n_now"), F.lit(0)) < words // 8
+    rows = block.select(
+        "verb_key", "pos", "shape", "taken", "waits", F.coalesce("last", F.lit(True)).alias("last"),
+        F.when(small, F.pmod(F.xxhash64("verb_key"), F.lit(tasks))).alias("shared"), F.when(~small, F.col("verb_key")).alias("large"))
+    return rows.groupBy("shared", "large").applyInPandas(_decide, _DECIDED)
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple[int, str, int]]:
+    return list(zip(pdf["pos"].tolist(), pdf["shape"].tolist(), pdf["taken"].tolist(), strict=True))
+
+
+def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys: dict[str, tuple[list, list, bool]] = {}
+    for key, waits, last, row in zip(pdf["verb_key"], pdf["waits"], pdf["last"], _rows(pdf), strict=True):
+        waiting, new, _ = keys.setdefault(key, ([], [], last))
+        (waiting if waits else new).append(row)
+    out: list[tuple] = []
+    for key, (waiting, new, last) in keys.items():
+        found, left = run_blocks(waiting, new, bool(last))
+        out += [(key, seed, template, NEVER, MERGED if merged else ALONE) for seed, template, merged in found]
+        out += [(key, *row, LEFT) for row in left]
+    return pd.DataFrame(out, columns=[field.split(" ")[0] for field in _DECIDED.split(", ")])
+
+
+def _without_covered(rows: DataFrame, decided: DataFrame, words: int) -> DataFrame:
+    """``rows`` that the new templates leave there, or that a waiting seed may still need. Each part of a key's order gets its templates and waiting seeds."""
+    part = F.floor(F.col("pos") / words).alias("part")
+    parted = rows.select(*_COLUMNS, part)
+    told = decided.filter(F.col("kind") != ALONE).join(parted.select("verb_key", "part").distinct(), "verb_key")
+    told = told.select(F.col("verb_key").alias("_key"), F.col("part").alias("_part"), "pos", "shape", "taken", "kind")
+    return parted.groupBy("verb_key", "part").cogroup(told.groupBy("_key", "_part")).applyInPandas(_uncovered, _PENDING)
+
+
+def _uncovered(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    if rows.empty:
+        return rows[_COLUMNS]
+    merged = told[told["kind"] == MERGED]
+    rows = rows.sort_values("pos")
+    kept = left_of(_rows(rows), list(zip(merged["pos"].tolist(), merged["shape"].tolist(), strict=True)), _rows(told[told["kind"] == LEFT]))
+    taken = {at: t for at, _, t in kept}
+    rows = rows[rows["pos"].isin(taken)]
+    return rows.assign(taken=rows["pos"].map(taken).astype("int64"))[_COLUMNS]
+
+
+# -- seeds that wait, by reservations ---------------------------------------------------------
+
+def _crowded(pending: DataFrame, words: int) -> DataFrame:
+    """Keys whose waiting seeds are more than one task should hold."""
+    return pending.filter("waits").groupBy("verb_key").agg(F.sum(_n_words()).alias("n")).filter(F.col("n") > words).select("verb_key")
+
+
+def _reserve(pending: DataFrame, keys: DataFrame, work: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
+    """Decide many waiting seeds of ``keys`` at once: (decided, pending rows of all keys).
+
+    Every word is reserved by the earliest seed that holds it. A seed with reservations of all its words knows its partners: its first one is final
+    if no earlier seed has reserved a word of it. The earliest seed always gets on; as waiting seeds hardly share words, so do nearly all.
+    """
+    mine = work.store(pending.join(keys, "verb_key", "left_semi"))
+    seeds = mine.filter(F.col("waits") & (F.col("taken") == NEVER))
+    held = _words(seeds, "pos")
+    owner = work.store(held.groupBy("verb_key", "word").agg(F.min("pos").alias("owner")))
+    sure = held.join(owner, ["verb_key", "word"]).groupBy("verb_key", "pos").agg(F.bool_and(F.col("owner") == F.col("pos")).alias("all")).filter("all")
+    sure = seeds.join(sure.select("verb_key", "pos"), ["verb_key", "pos"], "left_semi").select("verb_key", F.col("pos").alias("owner"), "after")
+    touched = work.store(_words(mine, "pos", "taken").join(owner, ["verb_key", "word"]).select("verb_key", "pos", "taken", "owner").distinct())
+    earliest = touched.groupBy("verb_key", "pos").agg(F.min("owner").alias("earliest"))
+    first = touched.join(sure, ["verb_key", "owner"]).filter("pos > owner and taken > owner and pos > after").groupBy("verb_key", "owner").agg(F.min("pos").alias("pos"))
+    final = sure.select("verb_key", "owner").join(first, ["verb_key", "owner"], "left").join(earliest, ["verb_key", "pos"], "left").filter(
+        "pos is null or earliest = owner").select("verb_key", F.col("owner").alias("pos"), F.col("pos").alias("partner"))
+    shape = mine.select("verb_key", F.col("pos").alias("partner"), F.col("shape").alias("other"))
+    pairs = final.join(mine.select("verb_key", "pos", "shape"), ["verb_key", "pos"]).join(shape, ["verb_key", "partner"], "left")
+    tried = work.store(pairs.select("verb_key", "pos", "shape", "partner", "other").mapInPandas(_try_pairs, _DECIDED + ", partner long"))
+    decided = tried.filter(F.col("kind") != LEFT)
+    failed = tried.filter(F.col("kind") == LEFT).select("verb_key", "pos", F.col("partner").alias("_after"))
+    rest = mine.join(decided.select("verb_key", "pos"), ["verb_key", "pos"], "left_anti").join(failed, ["verb_key", "pos"], "left").withColumn(
+        "after", F.coalesce("_after", "after")).select(_COLUMNS)
+    rest = work.store(rest)
+    waiting = rest.filter(F.col("waits")).select("verb_key", "pos", "shape", "taken", F.lit(LEFT).alias("kind"))
+    kept = _without_covered(rest, decided.drop("partner").unionByName(waiting), words)
+    return decided, work.store(pending.join(keys, "verb_key", "left_anti").unionByName(kept))
+
+
+def _try_pairs(batches):
+    """Templates of seeds and their partners: MERGED, ALONE without partner, LEFT if the two have nothing in common."""
+    for pdf in batches:
+        out = []
+        for key, pos, shape, partner, other in zip(pdf["verb_key"], pdf["pos"], pdf["shape"], pdf["partner"], pdf["other"], strict=True):
+            alone = other is None
+            merged = None if alone else common_template(shape, other)
+            out.append((key, pos, merged or shape, NEVER, ALONE if alone else MERGED if merged else LEFT, None if alone else int(partner)))
+        found = pd.DataFrame(out, columns=["verb_key", "pos", "shape", "taken", "kind", "partner"])
+        yield found.astype({"partner": "Int64"})
 
 
 def number_templates(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from logtrends.functions import text
-from logtrends.operators import templates
+from logtrends.operators import inference, templates
 from logtrends.sources import logs
 
 WORDS = ["A", "B", "C", "D", "<*>"]
@@ -30,38 +30,23 @@ def merge_shapes(group):
     return found
 
 
-def merge_in_rounds(group, words, per_word):
+def merge_in_rounds(group, words, first_block):
     """The rounds of ``infer_templates`` on plain lists."""
-    pending, found, at = [], [], 0
+    rows, at = [], 0
     for shape in sorted(set(group), key=lambda s: (s.count(" "), s)):
-        pending.append((at, shape))
+        rows.append((at, shape, inference.NEVER))
         at += len(shape.split(" "))
-    after = -1
-    while pending:
-        seeds = [x for x in pending if x[0] < pending[0][0] + words]
-        behind = [x for x in pending[len(seeds):] if x[0] > after]
-        listed, full = {}, {}
-        for word in {w for _, s in seeds for w in s.split(" ")} - {"<*>"}:
-            first = [x for x in behind if word in x[1].split(" ")][:per_word]
-            listed.update(first)
-            if len(first) == per_word:
-                full[word] = first[-1][0]
-        later, size, cut = [], 0, templates.NO_LIMIT
-        for p, s in sorted(listed.items()):
-            if size >= words:
-                cut = later[-1][0]
-                break
-            later.append((p, s))
-            size += len(s.split(" "))
-        new, left, after = templates.merge_seeds(seeds, later, full, cut, after)
-        assert new or after >= 0
-        found += [t for t, _ in new]
-        rest = templates.ShapeIndex(pending[len(seeds):])
-        for t, merged in new:
-            if merged:
-                rest.take_out(t)
-        pending = [x for x in seeds if x[0] in set(left)] + [x for x in pending[len(seeds):] if x[0] in rest.open]
-    return found
+    found, hand = [], []
+    while rows or hand:
+        n = size = 0
+        while n < len(rows) and size < words:
+            size += len(rows[n][1].split(" "))
+            n += 1
+        now, rows = rows[:n], rows[n:]
+        new, hand = inference.run_blocks(hand, now, not rows, first_block)
+        found += new
+        rows = inference.left_of(rows, [f[:2] for f in new if f[2]], hand)
+    return [t for _, t, _ in sorted(found)]
 
 
 def lines_df(spark, *texts, log="log1"):
@@ -212,13 +197,20 @@ def test_unmatched(spark, rows, limit):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*WORDS, "E", "F", "G"]), min_size=1, max_size=6).map(" ".join), min_size=1, max_size=25),
-       st.sampled_from([1, 4, 10, 40]), st.integers(1, 3))
-def test_rounds_give_what_one_list_gives(shape_list, words, per_word):
-    assert merge_in_rounds(shape_list, words, per_word) == merge_shapes(shape_list)
+       st.sampled_from([1, 4, 10, 40]), st.sampled_from([1, 3, 15]))
+def test_rounds_give_what_one_list_gives(shape_list, words, first_block):
+    shape_list = [collapse(s) for s in shape_list]
+    assert merge_in_rounds(shape_list, words, first_block) == merge_shapes(shape_list)
+
+
+def test_runs_of_words_match_as_the_expression_does():
+    rng = random.Random(4)
+    for _ in range(4000):
+        template, shape = (collapse(" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 7)))) for _ in range(2))
+        assert inference.Template(0, template).covers(shape) == bool(templates.template_matcher(template).fullmatch(shape)), (template, shape)
 
 
 def test_infer_is_the_greedy_rule_at_every_size(spark):
-    rng = random.Random(7)
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["start", "stop", "node", "5", "disk", "is", "full", "10:30", f"w{i % 9}"]) for _ in range(rng.randint(1, 7)))
              for i in range(300)]
@@ -228,8 +220,8 @@ def test_infer_is_the_greedy_rule_at_every_size(spark):
     for key, shape in templates.shapes(df).select("verb_key", "shape").collect():
         groups.setdefault(key, []).append(shape)
     expected = sorted({t for group in groups.values() for t in merge_shapes(group)})
-    for words, per_word in ((200_000, 16), (400, 4), (150, 1)):
-        found = templates.infer_templates(df.repartition(7), words, per_word)
+    for words in (200_000, 400, 150):
+        found = templates.infer_templates(df.repartition(7), words)
         assert sorted(r.pattern for r in found.collect()) == expected
     assert templates.unmatched_lines(df, found).count() == 0
     assert templates.unmatched_lines(df, found, 0).count() == 0
@@ -237,6 +229,20 @@ def test_infer_is_the_greedy_rule_at_every_size(spark):
     assert ids == list(range(len(ids)))
 
 
+def test_seeds_that_wait_are_decided_by_reservations(spark):
+    """Seeds whose partners stand far behind, more than a task may hold; some words are shared by seeds, some partners have only a wildcard in common."""
+    rng = random.Random(11)
+    texts = [f"x{i} a{i}" for i in range(12)] + [f"x{i} b{i} c{i} d{i} e{i % 5} f" for i in range(0, 12, 2)] + [f"e{i} 5" for i in range(5)]
+    texts += [" ".join(rng.choice(["5", "u", "v", f"w{i % 6}"]) for _ in range(rng.randint(1, 4))) for i in range(20)] + ["7 z", "z 8", "9 z q 5"]
+    df = lines_df(spark, *texts)
+    groups = {}
+    for key, shape in templates.shapes(df).select("verb_key", "shape").collect():
+        groups.setdefault(key, []).append(shape)
+    expected = sorted({t for group in groups.values() for t in merge_shapes(group)})
+    for words in (9, 25):
+        assert sorted(r.pattern for r in templates.infer_templates(df, words).collect()) == expected
+
+
 def test_infer_golden(spark, rows):
     found = templates.infer_templates(lines_df(spark, "Sent 3 rows", "Sent 4 rows", "alpha beta"))
     assert rows(found, "pattern") == [("Sent <*> rows",), ("alpha beta",)]
