@@ -109,45 +109,47 @@ def _node_rows(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _costs_between(candidates: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+def _gains_between(candidates: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """What each candidate saves the members, whose distances to the kept medoid are known."""
     d = sets.distance_matrix(candidates["items"].tolist(), members["items"].tolist())
-    capped = np.minimum(d, members["kept_distance"].to_numpy()[None, :])
+    saved = np.maximum(members["kept_distance"].to_numpy()[None, :] - d, 0)
     return pd.DataFrame({
         "cluster_id": candidates["cluster_id"].to_numpy(),
         "pattern_id": candidates["pattern_id"].to_numpy(),
         "items": candidates["items"].to_numpy(),
-        "cost": capped @ members["weight"].to_numpy(),
+        "gain": saved @ members["weight"].to_numpy(),
     })
 
 
+def useful_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs of a block with candidates and a block with a member that may be nearer to one of them than to the kept medoid."""
+    return sets.block_pairs(blocks).filter("a_candidates > 0 and at_least < b_kept")
+
+
 def _improve(nodes: DataFrame, part: str, kept: str, current: str) -> DataFrame:
     """Per cluster the medoid that replaces ``current``: a member of ``part`` (a condition)
-    with the smallest cost beside the medoid ``kept``, or ``current`` if none is cheaper."""
+    with the smallest cost beside the medoid ``kept``, or ``current`` if none is cheaper.
+
+    Beside ``kept`` a candidate costs what ``kept`` alone costs less what it saves, and it saves nothing in a block whose members are all nearer to
+    ``kept`` than the pivots allow the candidate to be: such pairs of blocks are not visited.
+    """
     members = nodes.select(
-        "cluster_id", "block", "items", "weight", set_distance(F.col("items"), F.col(kept)).alias("kept_distance")
-    )
-    candidates = nodes.filter(part).select("cluster_id", "block", "items", "pattern_id")
-    pairs = (
-        candidates.select("cluster_id", F.col("block").alias("a_block")).distinct()
-        .join(members.select("cluster_id", F.col("block").alias("b_block")).distinct(), "cluster_id")
-    )
-    costs = (
-        sets.visit_pairs(candidates, members, pairs, _costs_between,
-                         "cluster_id string, pattern_id string, items array<bigint>, cost bigint")
-        .groupBy("cluster_id", "pattern_id").agg(F.sum("cost").alias("cost"), F.first("items").alias("items"))
-    )
-    now = nodes.groupBy("cluster_id").agg(
-        F.sum(F.col("weight") * F.least(
-            set_distance(F.col("items"), F.col(kept)), set_distance(F.col("items"), F.col(current))
-        )).alias("cost_now"),
-        F.first(current).alias("_current"),
-    )
-    best = costs.groupBy("cluster_id").agg(
-        F.min("cost").alias("best_cost"), F.min_by("items", F.struct("cost", "items")).alias("_best")
-    )
-    return now.join(best, "cluster_id", "left").select(
-        "cluster_id", F.when(F.col("best_cost") < F.col("cost_now"), F.col("_best")).otherwise(F.col("_current")).alias(current)
+        "cluster_id", "block", "items", "weight", "dp", "dq", F.expr(part).alias("_part"), "pattern_id",
+        set_distance(F.col("items"), F.col(kept)).alias("kept_distance"), set_distance(F.col("items"), F.col(current)).alias("now_distance"), kept, current)
+    blocks = sets.block_table(members, F.max("kept_distance").alias("kept"), F.count_if("_part").alias("candidates"))
+    gains = (
+        sets.visit_pairs(members.filter("_part").select("cluster_id", "block", "items", "pattern_id"),
+                         members.select("cluster_id", "block", "items", "weight", "kept_distance"), useful_pairs(blocks), _gains_between,
+                         "cluster_id string, pattern_id string, items array<bigint>, gain bigint")
+        .groupBy("cluster_id", "pattern_id").agg(F.sum("gain").alias("gain"), F.first("items").alias("items"))
     )
+    now = members.groupBy("cluster_id").agg(
+        F.sum(F.col("weight") * F.col("kept_distance")).alias("alone"),
+        F.sum(F.col("weight") * F.least("kept_distance", "now_distance")).alias("cost_now"), F.first(current).alias("_current"))
+    best = gains.groupBy("cluster_id").agg(
+        F.max("gain").alias("best_gain"), F.min_by("items", F.struct(-F.col("gain"), F.col("items"))).alias("_best"))
+    cheaper = F.col("alone") - F.col("best_gain") < F.col("cost_now")
+    return now.join(best, "cluster_id", "left").select("cluster_id", F.when(cheaper, F.col("_best")).otherwise(F.col("_current")).alias(current))
 
 
 def _split_large(nodes: DataFrame, limit: int) -> DataFrame:
@@ -172,6 +174,14 @@ def _split_large(nodes: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _equal_vectors(distinct: DataFrame) -> DataFrame:
+    """One node per distinct vector."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return distinct.select(
+        F.col("pattern_id").alias("node_id"), "pattern_id", zero.alias("diameter"), F.col("parent_diameter"),
+        F.col("pattern_id").alias("medoid_log_id"), F.col("weight").alias("n_logs"), one.alias("n_patterns"))
+
+
 # -- public ---------------------------------------------------------------------------------
 
 def cluster_tree(vectors: DataFrame, thresholds: list[float], patterns_per_task: int = PATTERNS_PER_TASK) -> DataFrame:
@@ -179,7 +189,8 @@ def cluster_tree(vectors: DataFrame, thresholds: list[float], patterns_per_task:
     node and pattern.
 
     Distances are whole numbers, so only the whole part of a threshold matters. A node is a
-    cluster at t when its diameter is at most t and its parent's is above t.
+    cluster at t when its diameter is at most t and its parent's is above t. Below 1 the clusters are the
+    groups of equal vectors: no tree is built, and ``parent_diameter`` is not worked out.
     """
     floors = tuple(sorted({math.floor(t) for t in thresholds if t > 0}))
     if not floors:
@@ -189,6 +200,8 @@ def cluster_tree(vectors: DataFrame, thresholds: list[float], patterns_per_task:
         F.col("template_ids").cast("array<bigint>").alias("items"), F.col("weight").cast("bigint").alias("weight"),
         F.lit(NO_PARENT).cast("bigint").alias("parent_diameter"),
     )
+    if floors == (0,):
+        return _equal_vectors(open_)
     finish = _finish_subtree(floors)
     parts: list[DataFrame] = []
     while True:

@@ -30,6 +30,30 @@ def keyword_minute(posts: DataFrame, kind: str) -> DataFrame:
     return post_keywords(posts, kind).groupBy(F.date_trunc("minute", "ts").alias("minute"), "keyword").agg(*sums)
 
 
+def both_keywords(posts: DataFrame) -> DataFrame:
+    """One row per keyword occurrence of reddit and twitter posts, in one pass: the counters of the other source are null.
+
+    Posts of other types are not filtered out but have no keywords: a filter would be pushed below a watermark, which all posts should move.
+    """
+    text, counters = F.lit(None).cast("string"), []
+    for kind, fields in COUNTERS.items():
+        own = F.col("type") == kind
+        text = F.when(own, F.col(TEXT_FIELD[kind])).otherwise(text)
+        counters += [F.when(own, F.col(field)).alias(f"{kind}_{name}") for field, name in fields.items()]
+    return posts.select("ts", "type", *counters, F.explode_outer(keywords(text)).alias("keyword")).filter("keyword is not null")
+
+
+def both_sums() -> list:
+    """Sums of the counters of both sources and the number of occurrences in each."""
+    sums = [F.sum(f"{kind}_{name}").alias(name) for kind, fields in COUNTERS.items() for name in fields.values()]
+    return sums + [F.count_if(F.col("type") == kind).alias(f"n_{kind}") for kind in COUNTERS]
+
+
+def both_minutes(posts: DataFrame) -> DataFrame:
+    """Counters of both sources per minute and keyword, from one scan and one shuffle."""
+    return both_keywords(posts).groupBy(F.date_trunc("minute", "ts").alias("minute"), "keyword").agg(*both_sums())
+
+
 def upsert_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key in the given order."""
     rest = [c for c in df.columns if c not in keys]

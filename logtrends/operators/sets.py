@@ -2,16 +2,20 @@
 
 Distances are symmetric-difference sizes. Nothing here writes one row per pair: a cluster is
 cut into blocks of bounded size, a task holds two blocks as 0/1 matrices and returns only the
-extreme value per block or per set. Which block pairs have to be visited follows from the
-triangle inequality: every block knows the range of its distances to two pivots, and a pair
-is skipped when these ranges show that it cannot change the result. Results are exact.
+extreme value per block or per set. Results are exact.
+
+Farthest: which block pairs have to be visited follows from the triangle inequality: every block knows the range of its distances to two
+pivots, and a pair is skipped when these ranges show that it cannot change the result.
+
+Nearest: the own block gives a bound b. A set at a distance below b lacks less than b items of this one, so it holds one of any b of them:
+only the sets that share one of the b rarest items are looked up, in an inverted index, and only those whose size differs by less than b.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.functions.vectors import set_distance
@@ -20,6 +24,7 @@ from logtrends.session import cut_lineage
 SETS_PER_TASK = 2_000
 _SHELLS_PER_PIVOT = 16
 _COLUMNS_AT_ONCE = 4_096
+_SALTS = 32
 
 
 def distance_matrix(left: list, right: list) -> np.ndarray:
@@ -88,7 +93,10 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     def gap(p: str) -> Column:
         return F.greatest(F.col(f"a_{p}_lo") - F.col(f"b_{p}_hi"), F.col(f"b_{p}_lo") - F.col(f"a_{p}_hi"), F.lit(0))
 
-    return side("a").join(side("b"), "cluster_id").withColumn("at_least", F.greatest(gap("p"), gap("q"))).withColumn(
+    # a cluster's blocks meet in several tasks
+    salted = side("a").withColumn("_salt", F.pmod(F.xxhash64("a_block"), F.lit(_SALTS)).cast("int"))
+    every = side("b").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(every, ["cluster_id", "_salt"]).drop("_salt").withColumn("at_least", F.greatest(gap("p"), gap("q"))).withColumn(
         "at_most", F.least(F.col("a_p_hi") + F.col("b_p_hi"), F.col("a_q_hi") + F.col("b_q_hi"))
     )
 
@@ -154,9 +162,82 @@ def _nearest_inside(pdf: pd.DataFrame) -> pd.DataFrame:
     return _nearest_rows(pdf, nearest, nearest != far)
 
 
-def _nearest_between(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    d = distance_matrix(left["items"].tolist(), right["items"].tolist())
-    return _nearest_rows(left, d.min(axis=1), np.ones(len(left), dtype=bool))
+def nearest_listed(probes: list[tuple[int, np.ndarray, int]], listed: list[tuple[int, np.ndarray]], limit: int = 512) -> tuple[dict[int, int], int]:
+    """Of sets (id, items, bound) that look up an item and the sets (id, items) that hold it: (nearest distance below the bound by id, pairs looked at).
+
+    Both sides are taken in order of size, so that a piece meets only the pieces of fitting sizes.
+    """
+    probes, listed = sorted(probes, key=lambda p: len(p[1])), sorted(listed, key=lambda p: len(p[1]))
+    sizes = np.array([len(items) for _, items in listed])
+    found: dict[int, int] = {}
+    visited = 0
+    for at in range(0, len(probes), limit):
+        some = probes[at : at + limit]
+        widest = max(bound for _, _, bound in some)
+        low = int(np.searchsorted(sizes, len(some[0][1]) - widest, "right"))
+        high = int(np.searchsorted(sizes, len(some[-1][1]) + widest, "left"))
+        own, bounds = np.array([i for i, _, _ in some]), np.array([b for _, _, b in some])
+        for start in range(low, high, limit):
+            others = listed[start : min(start + limit, high)]
+            d = distance_matrix([items for _, items, _ in some], [items for _, items in others])
+            visited += d.size
+            d[own[:, None] == np.array([i for i, _ in others])[None, :]] = 2**62
+            for i, least in zip(own[(low_ := d.min(axis=1)) < bounds].tolist(), low_[low_ < bounds].tolist(), strict=True):
+                found[i] = min(least, found.get(i, least))
+    return found, visited
+
+
+def _look_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All look-ups of one task: per set the nearest of those that share the looked-up items."""
+    by_item: dict[tuple, tuple[list, list]] = {}
+    for cluster, item, sid, items, bound in zip(pdf["cluster_id"], pdf["item"], pdf["sid"], pdf["items"], pdf["bound"], strict=True):
+        probes, listed = by_item.setdefault((cluster, item), ([], []))
+        if bound >= 0:
+            probes.append((sid, items, bound))
+        else:
+            listed.append((sid, items))
+    best: dict[int, int] = {}
+    for probes, listed in by_item.values():
+        for sid, d in nearest_listed(probes, listed)[0].items():
+            best[sid] = min(d, best.get(sid, d))
+    return pd.DataFrame({"sid": pd.Series(list(best), dtype="int64"), "nn": pd.Series(list(best.values()), dtype="int64")})
+
+
+def rarest_items(bounded: DataFrame) -> DataFrame:
+    """(cluster_id, sid, item): of every set the ``bound`` items that the fewest sets of its cluster hold; input cluster_id, sid, items, bound."""
+    held = bounded.select("cluster_id", "sid", "bound", F.explode("items").alias("item"))
+    count = held.groupBy("cluster_id", "item").agg(F.count(F.lit(1)).alias("n"))
+    ranked = held.join(count, ["cluster_id", "item"]).groupBy("cluster_id", "sid").agg(
+        F.first("bound").alias("bound"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))  # the items of one set
+    kept = F.slice("ranked", F.lit(1), F.greatest(F.least(F.col("bound"), F.size("ranked").cast("long")), F.lit(0)).cast("int"))
+    return ranked.select("cluster_id", "sid", F.explode(kept).alias("r")).select("cluster_id", "sid", F.col("r.item").alias("item"))
+
+
+def nearest_by_index(bounded: DataFrame, limit: int) -> DataFrame:
+    """(sid, nn): distances below ``bound``; input cluster_id, sid, items, bound, every cluster large.
+
+    A popular item is looked up by many sets and held by many: both sides are dealt into parts of about ``limit`` sets, which meet pairwise.
+    """
+    asked = cut_lineage(rarest_items(bounded).join(bounded, ["cluster_id", "sid"]))
+    wanted = asked.select("cluster_id", "item").distinct()
+    listed = bounded.select("cluster_id", "sid", "items", F.explode("items").alias("item")).join(wanted, ["cluster_id", "item"], "left_semi")
+    parts = asked.groupBy("cluster_id", "item").agg(F.count(F.lit(1)).alias("p")).join(
+        listed.groupBy("cluster_id", "item").agg(F.count(F.lit(1)).alias("l")), ["cluster_id", "item"]).select(
+        "cluster_id", "item", F.ceil(F.col("p") / limit).cast("int").alias("p"), F.ceil(F.col("l") / limit).cast("int").alias("l"), (F.col("p") + F.col("l")).alias("n"))
+    parts = cut_lineage(parts)
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    tasks = max(bounded.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * limit)))
+    part = F.pmod(F.xxhash64("sid"), F.col("p")).cast("int")
+    own = F.pmod(F.xxhash64("sid"), F.col("l")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = asked.join(parts, ["cluster_id", "item"]).select("cluster_id", "item", "sid", "items", "bound", part.alias("i"), F.explode(upto("l")).alias("j"), "p", "l")
+    right = listed.join(parts, ["cluster_id", "item"]).select(
+        "cluster_id", "item", "sid", "items", F.lit(-1).cast("long").alias("bound"), F.explode(upto("p")).alias("i"), own.alias("j"), "p", "l")
+    rows = left.unionByName(right)
+    alone = (F.col("p") == 1) & (F.col("l") == 1)
+    rows = rows.select("cluster_id", "item", "sid", "items", "bound", F.when(alone, F.pmod(F.xxhash64("cluster_id", "item"), F.lit(tasks))).alias("shared"),
+                       F.when(~alone, F.struct("cluster_id", "item", "i", "j")).alias("large"))
+    return rows.groupBy("shared", "large").applyInPandas(_look_up, "sid long, nn long").groupBy("sid").agg(F.min("nn").alias("nn"))
 
 
 def nearest(distinct: DataFrame, limit: int = SETS_PER_TASK) -> DataFrame:
@@ -175,15 +256,17 @@ def nearest(distinct: DataFrame, limit: int = SETS_PER_TASK) -> DataFrame:
         blocked.withColumn("_cluster", F.col("cluster_id"))
         .groupBy("_cluster", "block").applyInPandas(lambda pdf: _nearest_inside(pdf), _NEAREST)
     )
+    # sets that share nothing are as far apart as both are large: the two smallest sets of a cluster bound what the index does not see
+    smallest = blocked.select("cluster_id", F.size("items").cast("long").alias("n")).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("n"))).filter("rank <= 2").groupBy("cluster_id").agg(
+        F.min("n").alias("_one"), F.max("n").alias("_two"))
+    own = F.size("items").cast("long")
+    apart = own + F.when(own == F.col("_one"), F.col("_two")).otherwise(F.col("_one"))
     # a pivot itself is at distance 0 from itself, so its distance is no bound for it
-    bounded = blocked.join(inside, ["cluster_id", "items"]).withColumn(
-        "bound", F.least("nn", *[F.when(F.col(c) > 0, F.col(c)) for c in ("dp", "dq")])
-    )
-    bounded = cut_lineage(bounded.drop("nn"))
-    blocks = block_table(bounded, F.max(F.coalesce("bound", F.lit(2**62))).alias("worst"))
-    pairs = block_pairs(blocks).filter("a_block <> b_block and at_least < a_worst")
-    sets = bounded.select("cluster_id", "block", "items")
-    found = visit_pairs(sets, sets, pairs, _nearest_between, _NEAREST)
-    bounds = bounded.select("cluster_id", "items", F.col("bound").alias("nn"))
-    both = bounds.unionByName(found).groupBy("cluster_id", "items").agg(F.min("nn").alias("nn"))
+    bounded = blocked.join(inside, ["cluster_id", "items"]).join(smallest, "cluster_id").select(
+        "cluster_id", "items", F.monotonically_increasing_id().alias("sid"),
+        F.least("nn", apart, *[F.when(F.col(c) > 0, F.col(c).cast("long")) for c in ("dp", "dq")]).alias("bound"))
+    bounded = cut_lineage(bounded)
+    found = nearest_by_index(bounded, limit)
+    both = bounded.join(found, "sid", "left").select("cluster_id", "items", F.coalesce("nn", "bound").alias("nn"))
     return result.unionByName(both)

@@ -34,6 +34,19 @@ def minute_scores(reddit: DataFrame, twitter: DataFrame, as_of: Column, merge: s
     return both.groupBy("minute", "keyword").agg(merged.alias("score"))
 
 
+def merged_score(merge: str = "overwrite") -> Column:
+    """The score of a row that holds the counters of both sources and, per source, the number of occurrences."""
+    reddit, twitter = (
+        F.when(F.col(f"n_{kind}") > 0, weighted_score(weights)) for kind, weights in (("reddit", REDDIT_WEIGHTS), ("twitter", TWITTER_WEIGHTS)))
+    zero = F.lit(0).cast("bigint")
+    return {"overwrite": F.coalesce(twitter, reddit), "sum": F.coalesce(reddit, zero) + F.coalesce(twitter, zero)}[merge].alias("score")
+
+
+def scores_of(counters: DataFrame, merge: str = "overwrite") -> DataFrame:
+    """``minute_scores`` from one table with the counters of both sources."""
+    return counters.select("minute", "keyword", merged_score(merge))
+
+
 def keyword_totals(scores: DataFrame, *period: str) -> DataFrame:
     return scores.groupBy(*period, "keyword").agg(F.sum("score").alias("score"))
 

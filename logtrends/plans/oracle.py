@@ -158,6 +158,21 @@ dclusters AS (
   SELECT min(log_id) OVER (PARTITION BY ids) AS cluster_id, log_id, count(*) OVER (PARTITION BY ids) AS size FROM dvec
 )"""
 
+# The same with the rich templates, whose transitions make long paths, and clusters of up to 60 logs compared with every baseline.
+RICH_GRAPHS = RICH + """,
+assigned AS (SELECT log_id, line_no, arg_min(template_id, (-n_literals) * 1000 + template_id) AS template_id FROM hits GROUP BY log_id, line_no),
+vec AS (SELECT log_id, list_sort(list(DISTINCT template_id)) AS ids FROM hits GROUP BY log_id),
+""" + GRAPHS[GRAPHS.index("steps AS ("):]
+RICH_MISSING = _outliers(60).replace(GRAPHS, RICH_GRAPHS) + """,
+normal AS (SELECT DISTINCT src, dst FROM edges WHERE log_id IN (SELECT cluster_id FROM clusters WHERE size > 60)),
+rmissing AS (
+  SELECT o.log_id, e.src, e.dst FROM outliers o JOIN edges e ON e.log_id = o.log_id
+  WHERE NOT EXISTS (SELECT 1 FROM edges b WHERE b.log_id = o.cluster_id AND b.src = e.src AND b.dst = e.dst)
+  UNION ALL
+  SELECT e.log_id, e.src, e.dst FROM clusters c JOIN edges e ON e.log_id = c.log_id
+  WHERE size <= 60 AND NOT EXISTS (SELECT 1 FROM normal n WHERE n.src = e.src AND n.dst = e.dst)
+)"""
+
 # -- posts ----------------------------------------------------------------------------------
 
 POSTS = r"""
@@ -365,3 +380,14 @@ ORACLE: dict[str, str] = {
     "stream_dedup": f"SELECT event_id AS post_id, strftime(ts, {MICROS}) AS ts, event_type AS type FROM events",
 }
 ORACLE["stream_keyword_minute"] = ORACLE["twitter_minute"]
+ORACLE["merge_counters"] = ORACLE["twitter_minute"]
+ORACLE["stream_minute_scores"] = ORACLE["minute_scores"]
+ORACLE["stream_trend_hour"] = f"""SELECT h.* FROM ({ORACLE['trend_hour']}) h, (SELECT max(ts) AS as_of FROM events)
+    WHERE h.period < strftime(as_of, '%Y-%m-%d-%H')"""
+ORACLE["difflog_missing_rich"] = f"WITH {RICH_MISSING} SELECT log_id, src, dst FROM rmissing"
+ORACLE["difflog_path_steps"] = ORACLE["difflog_missing_rich"]
+ORACLE["common_path_steps"] = f"""WITH {RICH_MISSING},
+    dvec AS (SELECT log_id, list_sort(list(DISTINCT v)) AS ids
+      FROM (SELECT log_id, src AS v FROM rmissing UNION ALL SELECT log_id, dst FROM rmissing) GROUP BY log_id),
+    dclusters AS (SELECT min(log_id) OVER (PARTITION BY ids) AS cluster_id, log_id, count(*) OVER (PARTITION BY ids) AS size FROM dvec)
+    SELECT cluster_id, src, dst FROM dclusters d JOIN rmissing m ON m.log_id = d.log_id GROUP BY cluster_id, src, dst HAVING count(*) = max(size)"""

@@ -17,6 +17,7 @@ from logtrends.plans import analysis, bindings as B
 from logtrends.session import cut_lineage, scratch_path
 from logtrends.sources import logs, posts as S
 from logtrends.streaming import live
+from logtrends.streaming.store import CounterStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -308,6 +309,39 @@ def difflog_paths(spark, sf):
     return _paths(spark, sf)[1].select("log_id", "path_id", _joined("path", ">"))
 
 
+def _deep(spark, sf):
+    """Difflogs under the rich templates and the small-cluster rule at ``SMALL``, whose paths have many vertices: (missing transitions, paths, clusters)."""
+    vectors_, nodes, edges = analysis.behaviour(B.event_lines(spark, sf), B.rich_templates(spark, sf))
+    clusters, abnormal = analysis.find_abnormal(vectors_, edges, [THRESHOLD], SMALL)
+    missing = cut_lineage(analysis.all_difflog_edges(abnormal, clusters, edges))
+    return missing, cut_lineage(difflog.difflog_paths(missing, edges, difflog.normal_vertices(abnormal, clusters, nodes)))
+
+
+def _steps(paths: DataFrame, *keys: str) -> DataFrame:
+    """Neighbours on paths."""
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.col("path")[i - 1].alias("src"), F.col("path")[i].alias("dst"))))
+    return paths.select(*keys, pair.alias("p")).select(*keys, "p.src", "p.dst").distinct()
+
+
+@query
+def difflog_path_steps(spark, sf):
+    """Neighbours on the paths of each difflog: its missing transitions, neither more nor less."""
+    return _steps(_deep(spark, sf)[1], "log_id")
+
+
+@query
+def difflog_missing_rich(spark, sf):
+    return _deep(spark, sf)[0].select("log_id", "src", "dst")
+
+
+@query
+def common_path_steps(spark, sf):
+    """Neighbours on the common sequences of each difflog cluster: its common transitions, neither more nor less."""
+    missing, paths = _deep(spark, sf)
+    groups = cut_lineage(analysis.cluster_difflogs(missing, [THRESHOLD], [THRESHOLD]))
+    return _steps(difflog.common_paths(groups, missing, paths), "cluster_id")
+
+
 @query
 def difflog_clusters(spark, sf):
     groups = analysis.cluster_difflogs(_missing(spark, sf)[-1], [THRESHOLD], [THRESHOLD])
@@ -465,9 +499,8 @@ def meetup_latest(spark, sf):
 # -- trends ---------------------------------------------------------------------------------
 
 def _minute_scores(spark, sf, merge="overwrite"):
-    table = B.posts_table(spark, sf)
     newest = _latest(B.table(spark, sf, "events"))
-    return trends.minute_scores(P.keyword_minute(table, "reddit"), P.keyword_minute(table, "twitter"), newest, merge), newest
+    return trends.scores_of(trends.closed_before(P.both_minutes(B.posts_table(spark, sf)), newest), merge), newest
 
 
 @query
@@ -518,6 +551,35 @@ def stream_keyword_minute(spark, sf):
     return _counts(spark, sf, "twitter")
 
 
+@query
+def merge_counters(spark, sf):
+    """Counters of even and of odd posts by two runs into one store: the second adds to the first; a batch delivered twice counts once."""
+    store = CounterStore(spark, scratch_path(spark, "counters"), list(P.COUNTERS["twitter"].values()))
+    posts_ = B.posts_table(spark, sf)
+    half = F.pmod(F.floor(F.col("post_id") / 4), F.lit(2))
+    for run in (0, 1):
+        counts = cut_lineage(P.keyword_minute(posts_.filter(half == run), "twitter"))
+        for _ in range(2):
+            store.commit(counts, batch_id=0, run=f"run {run}")
+    return store.read().withColumn("minute", scores.minute_key(F.col("minute")))
+
+
+@query
+def stream_minute_scores(spark, sf):
+    """Minutes that the watermark has closed, both sources in one aggregation."""
+    path, checkpoint = scratch_path(spark, "minutes"), scratch_path(spark, "minutes-state")
+    live.start_minute_scores(_post_stream(spark, sf), path, checkpoint, delay="0 seconds").awaitTermination()
+    return live.read_minute_scores(spark, path).withColumn("minute", scores.minute_key(F.col("minute")))
+
+
+@query
+def stream_trend_hour(spark, sf):
+    """The ranking of every hour that the watermark has closed."""
+    path, checkpoint = scratch_path(spark, "hours"), scratch_path(spark, "hours-state")
+    live.start_hourly_trend(_post_stream(spark, sf), path, checkpoint, delay="0 seconds").awaitTermination()
+    return live.read_hourly_trend(spark, path).withColumn("period", scores.hour_key(F.col("period")))
+
+
 @query
 def stream_dedup(spark, sf):
     """Every event delivered twice, kept once."""

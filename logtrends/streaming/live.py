@@ -1,4 +1,4 @@
-"""Live keyword counters, duplicates and rankings with Structured Streaming."""
+"""Live keyword counters, closed minutes, rankings and duplicates with Structured Streaming."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logtrends.operators.posts import COUNTERS, post_keywords, upsert_latest
-from logtrends.operators.trends import minute_scores, replace_ranking, trend_now
+from logtrends.operators.posts import COUNTERS, both_keywords, both_sums, post_keywords
+from logtrends.operators.trends import merged_score, minute_scores, replace_ranking, top_per_period, trend_now
+from logtrends.streaming.store import CounterStore
 
 
 def keyword_counts(posts: DataFrame, kind: str, delay: str = "10 minutes") -> DataFrame:
@@ -30,40 +31,33 @@ def drop_replays(posts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return posts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["post_id"])
 
 
-def _counts_schema(kind: str) -> str:
-    counters = ", ".join(f"{name} bigint" for name in COUNTERS[kind].values())
-    return f"minute timestamp, keyword string, {counters}, batch bigint, day string"
+def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+# -- running counters -------------------------------------------------------------------------
+
+def counter_store(spark: SparkSession, kind: str, path: str) -> CounterStore:
+    return CounterStore(spark, path, list(COUNTERS[kind].values()))
 
 
 def start_counts(posts: DataFrame, kind: str, path: str, checkpoint: str, delay: str = "10 minutes",
                  available_now: bool = True) -> StreamingQuery:
-    """Keep the running counters in ``path``.
-
-    Each micro-batch has its own folder, so a replayed batch replaces its first attempt.
-    Days are folders too and files are sorted by minute, so the current ranking reads little
-    more than the current hour.
-    """
+    """Keep the running counters in the store at ``path``. The query's id, which lives in the checkpoint, is the run."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        daily = batch.withColumn("day", F.date_format("minute", "yyyy-MM-dd")).sortWithinPartitions("day", "minute")
-        daily.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        counter_store(batch.sparkSession, kind, path).commit(batch, batch_id, run)
 
-    writer = (
-        keyword_counts(posts, kind, delay).writeStream.outputMode("update")
-        .foreachBatch(store).option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _start(keyword_counts(posts, kind, delay).writeStream.outputMode("update").foreachBatch(store), checkpoint, available_now)
 
 
 def read_counts(spark: SparkSession, kind: str, path: str, hour: datetime | None = None) -> DataFrame:
-    """Latest counters per minute and keyword, of everything or of the hour of ``hour``."""
-    versions = spark.read.schema(_counts_schema(kind)).parquet(path)
-    if hour is not None:
-        start = F.date_trunc("hour", F.lit(hour).cast("timestamp"))
-        versions = versions.filter(
-            (F.col("day") == hour.strftime("%Y-%m-%d"))
-            & (F.col("minute") >= start) & (F.col("minute") < start + F.expr("INTERVAL 1 HOUR"))
-        )
-    return upsert_latest(versions.drop("day"), ["minute", "keyword"], ["batch"]).drop("batch")
+    """Counters per minute and keyword, of everything or of the hour of ``hour``."""
+    if hour is None:
+        return counter_store(spark, kind, path).read()
+    start = F.date_trunc("hour", F.lit(hour).cast("timestamp"))
+    return counter_store(spark, kind, path).read(start, start + F.expr("INTERVAL 1 HOUR"))
 
 
 def refresh_trend(spark: SparkSession, reddit_path: str, twitter_path: str, as_of: datetime, out: str, merge: str = "overwrite") -> None:
@@ -75,6 +69,50 @@ def refresh_trend(spark: SparkSession, reddit_path: str, twitter_path: str, as_o
     replace_ranking(trend_now(scores, now), out)
 
 
+# -- closed periods ---------------------------------------------------------------------------
+
+def closed_minutes(posts: DataFrame, delay: str = "10 minutes", merge: str = "overwrite") -> DataFrame:
+    """Scores of minutes that the watermark has closed: both sources in one aggregation, one pass over the posts, each minute once.
+
+    ``ts`` is the event time of the minute for a further aggregation.
+    """
+    counted = both_keywords(posts.withWatermark("ts", delay)).groupBy(F.window("ts", "1 minute").alias("_w"), "keyword").agg(*both_sums())
+    return counted.select(F.window_time("_w").alias("ts"), F.col("_w.start").alias("minute"), "keyword", merged_score(merge))
+
+
+def start_minute_scores(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", merge: str = "overwrite",
+                        available_now: bool = True) -> StreamingQuery:
+    """Write each closed minute once, in append mode."""
+    closed = closed_minutes(posts, delay, merge).drop("ts")
+    return _start(closed.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, available_now)
+
+
+def read_minute_scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("minute timestamp, keyword string, score bigint").parquet(path)
+
+
+def start_hourly_trend(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", merge: str = "overwrite",
+                       available_now: bool = True) -> StreamingQuery:
+    """Rank each hour when the watermark closes it.
+
+    Closed minutes feed a second aggregation to totals per hour, which leaves the state as it is emitted. An hour comes out whole in one micro-batch,
+    so the batch ranks it; batches have folders of their own, so that a batch that is repeated replaces its first attempt.
+    """
+    hours = closed_minutes(posts, delay, merge).groupBy(F.window("ts", "1 hour").alias("_w"), "keyword").agg(F.sum("score").alias("score"))
+    totals = hours.select(F.col("_w.start").alias("period"), "keyword", "score")
+
+    def rank(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ranked = top_per_period(batch, "period").select("keyword", "period", "score", "rank")
+        ranked.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+    return _start(totals.writeStream.outputMode("append").foreachBatch(rank), checkpoint, available_now)
+
+
+def read_hourly_trend(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("keyword string, period timestamp, score bigint, rank int, run string, batch bigint").parquet(path).drop("run", "batch")
+
+
 def start_dedup(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
     return (
         drop_replays(posts, delay).writeStream.outputMode("append").format("parquet")

@@ -89,6 +89,43 @@ def test_diameter_and_nearest(spark, rows, seed, limit):
             assert nearest[c, tuple(a)] == (min(others) if others else None)
 
 
+def test_nearest_of_skewed_sets(spark):
+    """Items of very different popularity, one of them in nearly every set; many look-ups per popular item, in parts of 8 sets."""
+    rng = random.Random(9)
+    weights = [1 / (i + 1) for i in range(300)]
+    data = {"c": [sorted({0, *rng.choices(range(300), weights, k=rng.randint(3, 25))}) for _ in range(150)] + [[], [299]], "d": [[1, 2], [3]], "e": [[5]]}
+    nearest = {(r.cluster_id, tuple(r["items"])): r.nn for r in sets.nearest(sets_df(spark, data), 8).collect()}
+    for c, ss in data.items():
+        for i, a in enumerate(ss):
+            others = [len(set(a) ^ set(b)) for j, b in enumerate(ss) if j != i]
+            assert nearest[c, tuple(a)] == (min(others) if others else None)
+
+
+def test_few_pairs_are_looked_at():
+    """Sets with near twins among many strangers: looking up rare items visits a small share of all pairs."""
+    rng = random.Random(10)
+    weights = [1 / (i + 1) for i in range(2000)]
+    base = [sorted(set(rng.choices(range(2000), weights, k=30))) for _ in range(400)]
+    all_sets = base + [sorted(set(s) ^ {rng.randrange(2000)}) for s in base]
+    count = {}
+    for s in all_sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    by_item, visited, found = {}, 0, {}
+    for i, s in enumerate(all_sets):
+        for x in s:
+            by_item.setdefault(x, ([], []))[1].append((i, s))
+        for x in sorted(s, key=lambda x: (count[x], x))[:4]:
+            by_item[x][0].append((i, s, 4))
+    for probes, listed in by_item.values():
+        some, pairs = sets.nearest_listed(probes, listed)
+        visited += pairs
+        for i, d in some.items():
+            found[i] = min(d, found.get(i, d))
+    want = [min(len(set(a) ^ set(b)) for j, b in enumerate(all_sets) if j != i) for i, a in enumerate(all_sets)]
+    assert all(found.get(i, 4) == min(4, w) for i, w in enumerate(want)) and visited < len(all_sets) ** 2 / 10
+
+
 def test_distance_matrix_many_columns(monkeypatch):
     rng = random.Random(4)
     a, b = [[sorted(rng.sample(range(40), rng.randint(0, 20))) for _ in range(8)] for _ in range(2)]
@@ -154,6 +191,28 @@ def test_distributed_splits_are_the_same(spark, rows):
     assert rows(cluster.cluster_tree(df, thresholds, 5)) == rows(cluster.cluster_tree(df, thresholds))
 
 
+def test_equal_vectors_need_no_tree(spark, rows):
+    df = vectors_df(spark, seed=4, n=80, universe=4)
+    columns = ["pattern_id", "node_id", "diameter", "medoid_log_id", "n_logs", "n_patterns"]
+    assert rows(cluster.cluster_tree(df, [0.5]), *columns) == rows(cluster.cluster_tree(df, [0.5, 1.0]).filter("diameter = 0 and n_patterns = 1"), *columns)
+    assert rows(cluster.cut_tree(cluster.cluster_tree(df, [0.5]), df, [0.5])) == rows(
+        cluster.cut_tree(cluster.cluster_tree(df, [0.5, 3.0]), df, [0.5, 3.0]).filter("threshold = 0.5"))
+
+
+def test_blocks_that_save_nothing_are_not_visited(spark):
+    """Two far groups around their medoids: candidates of one never meet the members of the other."""
+    near = [(f"n{i:02d}", sorted({1, 2, 3, 4, 5, 6, 7, 8} ^ {i % 8 + 1})) for i in range(8)]
+    far = [(f"f{i:02d}", sorted({101, 102, 103, 104, 105, 106, 107, 108} ^ {i % 8 + 101})) for i in range(8)]
+    df = spark.createDataFrame([("c", n, s, 1) for n, s in near + far], "cluster_id string, pattern_id string, items array<bigint>, weight bigint")
+    blocked = sets.into_blocks(sets.with_pivots(df), 2)
+    medoid = F.array(*[F.lit(x).cast("bigint") for x in range(1, 9)])
+    kept = blocked.withColumn("kept_distance", F.size(F.array_except("items", medoid)) + F.size(F.array_except(medoid, "items"))).withColumn("_far", F.col("items")[0] > 100)
+    table = sets.block_table(kept, F.max("kept_distance").alias("kept"), F.count_if("_far").alias("candidates"))
+    pairs = cluster.useful_pairs(table).count()
+    candidates = table.filter("candidates > 0").count()
+    assert 0 < pairs <= candidates * table.filter("kept > 2").count() < candidates * table.count()
+
+
 def test_cut_golden(spark, rows):
     df = spark.createDataFrame([("a", [1]), ("b", [1, 2]), ("c", [1, 2, 3, 4])], "log_id string, template_ids array<int>")
     cut = cluster.cut_tree(cluster.cluster_tree(df, [0.5, 1.0, 3.0]), df, [0.5, 1.0, 3.0])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from logtrends.functions.keywords import keywords
 from logtrends.operators import posts as P, trends
 from logtrends.sources import posts as S
-from logtrends.streaming import live
+from logtrends.streaming import live, store as store_module
+from logtrends.streaming.store import CounterStore
 
 T0 = "2024-01-01 10:00:30"
 
@@ -101,7 +102,7 @@ def test_stream_equals_batch_and_late_posts(spark, rows, tmp_path):
     assert rows(found, *columns) == rows(batch, *columns) and found.count() == 3
     twitter = live.read_counts(spark, "reddit", out).limit(0).selectExpr(
         "minute", "keyword", "score retweets", "score favorites", "score replies")
-    twitter.withColumn("day", F.lit("x")).write.parquet(str(tmp_path / "tw" / "batch=0"))
+    live.counter_store(spark, "twitter", str(tmp_path / "tw")).commit(twitter, 0, "none")
     live.refresh_trend(spark, out, str(tmp_path / "tw"), datetime(2024, 1, 1, 10, 20), str(tmp_path / "rank"))
     assert rows(spark.read.parquet(str(tmp_path / "rank")), "keyword", "score", "rank") == [("rain", 4, 1)]
 
@@ -114,3 +115,63 @@ def test_replays_are_dropped(spark, rows, tmp_path):
         write_posts(source, f"{i}.json", [{"post_id": p, "ts": T0, "type": "reddit"} for p in (1, 2, 2)])
         live.start_dedup(S.read_posts(spark, str(source), streaming=True), out, state).awaitTermination()
     assert rows(spark.read.parquet(out), "post_id") == [(1,), (2,)]
+
+
+def counts_df(spark, **values):
+    at = datetime(2024, 1, 1, 10)
+    return spark.createDataFrame([(at, k, v) for k, v in values.items()], "minute timestamp, keyword string, score bigint")
+
+
+def test_counter_store(spark, rows, tmp_path, monkeypatch):
+    """Replayed batches, several runs, merges by level and a manifest that was cut off."""
+    monkeypatch.setattr(store_module, "FAN", 3)
+    path = str(tmp_path / "store")
+    store = CounterStore(spark, path, ["score"])
+    assert store.read().count() == 0
+    assert store.commit(counts_df(spark, a=1, b=2), 0, "one") and not store.commit(counts_df(spark, a=50), 0, "one")
+    for batch in range(1, 12):
+        store.commit(counts_df(spark, a=1 + batch, **{f"k{batch}": batch}), batch, "one")
+        assert len(store._names("manifest")) <= 2
+    want = [("a", 12), ("b", 2), *((f"k{i}", i) for i in range(1, 12))]
+    assert rows(store.read(), "keyword", "score") == sorted(want, key=repr)
+    segments = store._manifest()[1]["segments"]
+    assert len(segments) <= 4 and max(s["level"] for s in segments) == 2 and len(store._names("segments")) <= 8
+    # a fresh checkpoint on the old path starts with batch 0 again: another run, added to what is there
+    assert CounterStore(spark, path, ["score"]).commit(counts_df(spark, a=5, z=1), 0, "two")
+    assert dict(rows(store.read(), "keyword", "score"))["a"] == 17
+    number = store._manifest()[0]
+    (tmp_path / "store" / "manifest" / f"{number + 1:020d}").write_text('{"segments": [{"fol')
+    assert store._manifest()[0] == number and dict(rows(store.read(), "keyword", "score"))["z"] == 1
+    assert not store.commit(counts_df(spark, a=9), 11, "one")
+    hour = F.lit("2024-01-01 11:00:00").cast("timestamp")
+    assert store.read(hour, hour + F.expr("INTERVAL 1 HOUR")).count() == 0
+
+
+def test_closed_minutes_and_hours(spark, rows, tmp_path):
+    """Both sources in one stream: each closed minute once, the ranking of each closed hour, whatever the micro-batches."""
+    source = tmp_path / "in"
+    source.mkdir()
+    post = lambda i, ts, kind, **more: {"post_id": i, "ts": f"2024-01-01 {ts}", "type": kind, **more}
+    steps = [
+        [post(1, "10:00:10", "reddit", title="rain", score=10, num_comments=5), post(2, "10:00:20", "twitter", text="rain", retweet_count=4, favorite_count=10, reply_count=0)],
+        [post(3, "10:59:59", "reddit", title="sun and rain", score=5, num_comments=0), post(4, "10:00:30", "reddit", title="fog", score=None, num_comments=1)],
+        [post(5, "11:20:00", "twitter", text="snow", retweet_count=10, favorite_count=0, reply_count=0)],
+        [post(6, "12:30:00", "meetup", name="rain")],
+    ]
+    for merge, rain in (("overwrite", 5), ("sum", 14)):
+        out, hours = str(tmp_path / f"minutes-{merge}"), str(tmp_path / f"hours-{merge}")
+        for i, step in enumerate(steps):
+            write_posts(source, f"{i}.json", step)
+            stream = lambda: S.read_posts(spark, str(source), streaming=True)
+            live.start_minute_scores(stream(), out, f"{out}-state", merge=merge).awaitTermination()
+            live.start_hourly_trend(stream(), hours, f"{hours}-state", merge=merge).awaitTermination()
+        batch = trends.scores_of(P.both_minutes(S.read_posts(spark, str(source))), merge)
+        found = live.read_minute_scores(spark, out)
+        assert rows(found, "minute", "keyword", "score") == rows(batch, "minute", "keyword", "score") and found.count() == 5
+        two = trends.minute_scores(*(P.keyword_minute(S.read_posts(spark, str(source)), k) for k in ("reddit", "twitter")), F.lit("2024-01-02").cast("timestamp"), merge)
+        assert rows(two, "minute", "keyword", "score") == rows(batch, "minute", "keyword", "score")
+        ranked = live.read_hourly_trend(spark, hours).filter("hour(period) = 10")
+        assert rows(ranked, "rank", "keyword", "score") == [(1, "rain", rain + 4), (2, "sun", 4), (3, "fog", 0)]
+        assert rows(live.read_hourly_trend(spark, hours).filter("hour(period) = 11"), "keyword", "score") == [("snow", 5)]
+        for i in range(len(steps)):
+            (source / f"{i}.json").unlink()
