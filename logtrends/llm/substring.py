@@ -9,6 +9,7 @@ paths and not words. The steps:
 3. Nodes that follow each other at their sources and occur equally often are joined edge by edge into longer paths; a document's
    pieces of one path become one span when their coordinates, compared with the source's, leave no gap.
 4. A minimizer with several contents is a branching node: its paths are taken apart into single windows and each window has its own source.
+   Spans and windows that follow each other, in the document and at one source, are one span in the end.
 
 5. The source verifies: each different span found is read there once more, and a document loses a span only if its own words have the same
    cryptographic digest as the words at the coordinates of the source.
@@ -137,7 +138,18 @@ def repeated_spans(docs: DataFrame, window: int, work: Workspace, minimizer: int
     sources = work.store(sources, "sources")
     later = single.join(sources, ["anchor", "w"]).where(~_is_source()).select(
         "doc_id", "uid", "start", F.lit(1).alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.uid").alias("src_uid"), F.col("src.start").alias("src_start"))
-    return spans.unionByName(later)
+    return glued(spans.unionByName(later))
+
+
+def glued(spans: DataFrame) -> DataFrame:
+    """Spans of a document that overlap or follow each other, and whose places at the source do as well, as one span."""
+    line = ["doc_id", "uid", "src_doc", "src_uid", "shift"]
+    along = Window.partitionBy(*line).orderBy("start")
+    ends = F.max(F.col("start") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("shift", F.col("start") - F.col("src_start")).withColumn("opens", (F.coalesce(ends, F.lit(-1)) < F.col("start")).cast("int"))
+    runs = opened.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy(*line, "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
+    return whole.select("doc_id", "uid", "start", (F.col("end") - F.col("start")).alias("n"), "src_doc", "src_uid", (F.col("start") - F.col("shift")).alias("src_start"))
 
 
 def span_digest(words: list[bytes], start: int, n: int, window: int) -> bytes:
@@ -181,7 +193,7 @@ def with_kept(docs: DataFrame, window: int, key: str = "doc_id", text: str = "te
     work = Workspace(docs.sparkSession, "substring")
     keyed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("uid"), F.col(text).cast("string").alias("text"))
     rows = keyed.select("doc_id", "uid", "text")
-    spans = work.store(repeated_spans(rows, window, work).distinct(), "spans")
+    spans = work.store(repeated_spans(rows, window, work), "spans")
     work.drop("often", "nodes", "seen", "marks", "sources")
     marks = work.store(verified(rows, spans, window), "verified").groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(
         F.array_sort(F.collect_list(F.struct("start", "n", "digest"))).alias("spans"))
