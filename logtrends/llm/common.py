@@ -83,27 +83,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash_of_word(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-_WORD_HASHES = WordCache(_hash_of_word)
+#: Random values for each byte at each place of a word; longer words are hashed by a cryptographic function.
+_VALUES = np.random.default_rng(20_240_601).integers(0, 1 << 64, (64, 256), np.uint64)
 
 
 def word_hashes(data: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
-    """64 bits of a cryptographic hash per word of UTF-8 bytes, in order. Long texts are walked in pieces cut at white space."""
+    """One 64-bit hash per word of UTF-8 bytes, in order. Long texts are walked in pieces cut at white space.
+
+    The sum of random values drawn for each byte at its place, mixed with the length: no pattern of letters makes two words agree.
+    """
     found, at = [], 0
     while at < len(data):
         end = min(len(data), at + piece)
         while end < len(data) and not _SPACE[data[end]]:
             stop = np.flatnonzero(_SPACE[data[end : end + piece]])
             end += int(stop[0]) if len(stop) else min(piece, len(data) - end)
-        words = data[at:end].tobytes().split()  # bytes are split at ASCII white space only
-        found.append(np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words)))
+        found.append(_hash_words(data[at:end]))
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+def _hash_words(part: np.ndarray) -> np.ndarray:
+    inside = np.zeros(len(part) + 2, bool)
+    np.logical_not(_SPACE[part], out=inside[1:-1])
+    bounds = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = bounds[::2], bounds[1::2] - bounds[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    letters = part[inside[1:-1]].astype(np.int32)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+    values = _VALUES.ravel()[(np.minimum(place, 63) << 8) + letters]
+    hashes = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(_ODD))
+    for i in np.flatnonzero(lengths > 64).tolist():
+        word = part[starts[i] : starts[i] + lengths[i]].tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return hashes
+
+
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of two runs that follow each other; for one side held fixed, a bijection of the other."""
     h = left * np.uint64(_ODD) + right
@@ -112,21 +129,24 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive words, by its first word; none if there are fewer words.
-
-    Runs of 1, 2, 4 ... words are joined pairwise; the binary digits of ``n`` say which of them make up a run.
-    """
-    count = len(words) - n + 1
-    if n < 1 or count < 1:
-        return np.empty(0, np.uint64)
-    power, size, total, done = mix(words), 1, None, 0
-    while True:
-        if n & size:
-            here = power[done : done + count]
-            total, done = here if total is None else _joined(total, here), done + size
-        if 2 * size > n:
-            return mix(total + np.uint64(n))
-        power, size = _joined(power[:-size], power[size:]), 2 * size
+    """Hash of every run of ``n`` consecutive words, by its first word; none if there are fewer words."""
+    return runs_of(words, n)[0]
+
+
+def runs_of(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """``run_hashes`` for several sizes. Runs of 1, 2, 4 ... words are joined pairwise; the binary digits of a size say which of them make up a run."""
+    counts = [max(0, len(words) - n + 1) if n > 0 else 0 for n in sizes]
+    made, done = [np.empty(0, np.uint64)] * len(sizes), [0] * len(sizes)
+    power, size, largest = mix(words), 1, max([n for n, c in zip(sizes, counts, strict=True) if c], default=0)
+    while size <= largest:
+        for i, (n, count) in enumerate(zip(sizes, counts, strict=True)):
+            if count and n & size:
+                here = power[done[i] : done[i] + count]
+                made[i], done[i] = _joined(made[i], here) if done[i] else here, done[i] + size
+        if 2 * size <= largest:
+            power = _joined(power[:-size], power[size:])
+        size *= 2
+    return [mix(h + np.uint64(n)) if len(h) else h for h, n in zip(made, sizes, strict=True)]
 
 
 def text_bytes(column: pa.Array) -> Iterator[np.ndarray]:

@@ -13,8 +13,7 @@ Band and row counts are chosen for a target recall at the threshold. The steps:
 
 Defined cases: a null or blank text has no n-grams and is linked with nothing, not even with other blank texts; ids may be null or
 repeat (rows of equal id and text are copies); a class is named by its smallest id, nulls last; an empty table gives no rows; other columns take no part
-and, where they are carried, may have any names. N-grams are known by 64-bit hashes made of cryptographic hashes of their words, sets of
-them by 128 bits, vertices by the first 64 of these.
+and, where they are carried, may have any names. N-grams are known by 64-bit hashes, sets of them by 128 bits, vertices by the first 64 of these.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ paths and not words. The steps:
 Nothing is capped: hot contents are aggregated before the shuffle, joins have one row per content on the other side, and sources that many
 spans ask for are read in as many tasks as the requests need.
 
-On the way a window is known by its minimizer's hash and its own, of 64 bits each, made of cryptographic hashes of the words. Two different windows
+On the way a window is known by its minimizer's hash and its own, of 64 bits each. Two different windows
 that agree in both are told apart by step 5; a later copy of the second of them then stays as well. With D different windows that share one minimizer this
 is to be expected for D^2 / 2^65 of them (3e-5 for 36 million).
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, byte_slices, run_hashes, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, byte_slices, runs_of, text_bytes, word_hashes
 
 #: Words of a minimizer; bytes of a window's hash, all of which are kept.
 MINIMIZER, WIDTH = 8, 8
@@ -52,10 +52,10 @@ def paths_of(words: np.ndarray, window: int, minimizer: int) -> tuple[np.ndarray
     if n < 1:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint8)
-    small = run_hashes(words, minimizer)
+    small, wide = runs_of(words, minimizer, window)
     places = np.lib.stride_tricks.sliding_window_view(small, window - minimizer + 1).argmin(axis=1) + np.arange(n)
-    first = np.flatnonzero(np.diff(places, prepend=-1))
-    return small[places[first]].view(np.int64), first, np.diff(first, append=n), run_hashes(words, window).view(np.uint8)
+    first = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+    return small[places[first]].view(np.int64), first, np.concatenate([first[1:], [n]]) - first, wide.view(np.uint8)
 
 
 def paths(docs: DataFrame, window: int, minimizer: int) -> DataFrame:

@@ -220,7 +220,7 @@ def test_repeated_spans_of_few_words(spark):
 def test_windows_are_known_by_all_bits_of_their_hash(spark):
     """Two windows with one minimizer whose hashes agree in 40 bits: as the only ones of a node, and window by window in a branching node."""
     base = " ".join(f"w{i}" for i in range(19))
-    one, two = (f"{base} v{i}" for i in (813258, 717063))
+    one, two = (f"{base} v{i}" for i in (627941, 346004))
     hashes = [run_hashes(word_hashes(np.frombuffer(t.encode(), np.uint8)), 20)[0].tobytes() for t in (one, two)]
     assert hashes[0][:5] == hashes[1][:5] and hashes[0] != hashes[1]
     for docs in ([(1, one), (2, two)], [(1, one), (2, two), (3, f"{base} x"), (4, two)]):
