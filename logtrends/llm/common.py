@@ -98,27 +98,45 @@ def word_hashes(data: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
         while end < len(data) and not _SPACE[data[end]]:
             stop = np.flatnonzero(_SPACE[data[end : end + piece]])
             end += int(stop[0]) if len(stop) else min(piece, len(data) - end)
-        found.append(_hash_words(data[at:end]))
+        found.append(_hash_words(data[at:end])[0])
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def _hash_words(part: np.ndarray) -> np.ndarray:
+def hashes_of_texts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts one after another, and how many each text has. Meant for a slice of small texts or one long text."""
+    if len(texts) == 1:
+        hashes = word_hashes(texts[0])
+        return hashes, np.array([len(hashes)])
+    joined = np.frombuffer(b"\n".join([t.data for t in texts]), np.uint8)
+    hashes, starts = _hash_words(joined)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _hash_words(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words of a piece. Words are walked place by place, longest first, so that those with a place are a prefix."""
     inside = np.zeros(len(part) + 2, bool)
     np.logical_not(_SPACE[part], out=inside[1:-1])
     bounds = np.flatnonzero(inside[1:] != inside[:-1])
     starts, lengths = bounds[::2], bounds[1::2] - bounds[::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    letters = part[inside[1:-1]].astype(np.int32)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
-    values = _VALUES.ravel()[(np.minimum(place, 63) << 8) + letters]
-    hashes = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(_ODD))
+    places = np.minimum(lengths, 64).astype(np.uint8)
+    order = np.argsort(64 - places, kind="stable")
+    at, sums = starts[order], np.zeros(len(starts), np.uint64)
+    having = len(starts) - np.cumsum(np.bincount(places, minlength=65))
+    for place in range(64):
+        n = having[place]
+        if not n:
+            break
+        sums[:n] += _VALUES[place][part[at[:n]]]
+        at[:n] += 1
+    hashes = np.empty(len(starts), np.uint64)
+    hashes[order] = sums
+    hashes = mix(hashes + lengths.astype(np.uint64) * np.uint64(_ODD))
     for i in np.flatnonzero(lengths > 64).tolist():
         word = part[starts[i] : starts[i] + lengths[i]].tobytes()
         hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return hashes
+    return hashes, starts
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -37,53 +37,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, byte_slices, runs_of, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, byte_slices, hashes_of_texts, runs_of, text_bytes
 
 #: Words of a minimizer; bytes of a window's hash, all of which are kept.
 MINIMIZER, WIDTH = 8, 8
-#: Spans that one task reads in one source; bytes of texts worked on at once.
-ASKED, SLICE = 10_000, 1 << 24
+#: Spans that one task reads in one source; bytes of texts worked on at once, and of texts whose words are hashed together.
+ASKED, SLICE, TOGETHER = 10_000, 1 << 24, 1 << 19
 PATHS = "anchor long, doc_id long, uid long, start int, n int, windows binary"
 
 
-def paths_of(words: np.ndarray, window: int, minimizer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer hashes, first windows, numbers of windows, bytes of all windows) of one document's paths."""
-    n = len(words) - window + 1
-    if n < 1:
-        none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint8)
+def paths_of(words: np.ndarray, counts: np.ndarray, window: int, minimizer: int) -> tuple[np.ndarray, ...]:
+    """(minimizer hashes, texts, first windows, numbers of windows, hashes of all windows) of the paths of several texts with ``counts`` words each."""
     small, wide = runs_of(words, minimizer, window)
-    places = np.lib.stride_tricks.sliding_window_view(small, window - minimizer + 1).argmin(axis=1) + np.arange(n)
-    first = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
-    return small[places[first]].view(np.int64), first, np.concatenate([first[1:], [n]]) - first, wide.view(np.uint8)
+    ends = np.cumsum(counts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    at = np.flatnonzero(text[: len(wide)] == text[window - 1 :]) if len(wide) else np.empty(0, np.int64)
+    if not len(at):
+        none = np.empty(0, np.int64)
+        return none, none, none, none, np.empty(0, np.uint64)
+    lowest, width, n = small, 1, window - minimizer + 1
+    while 2 * width <= n:
+        lowest, width = np.minimum(lowest[:-width], lowest[width:]), 2 * width
+    if width < n:
+        lowest = np.minimum(lowest[: width - n], lowest[n - width :])
+    # the place of the minimizer changes where another value is the smallest, and behind the first word that has it
+    opens = np.ones(len(lowest), bool)
+    opens[1:] = (lowest[1:] != lowest[:-1]) | (small[: len(lowest) - 1] == lowest[:-1])
+    opens = opens[at]
+    opens[0] = True
+    opens[1:] |= np.diff(at) != 1
+    first = np.flatnonzero(opens)
+    heads = at[first]
+    return lowest[heads].view(np.int64), text[heads], heads - (ends - counts)[text[heads]], np.diff(first, append=len(at)), wide[at]
 
 
 def paths(docs: DataFrame, window: int, minimizer: int) -> DataFrame:
     """All paths of (doc_id, uid, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found, held = [], [], 0
-            for row, raw in enumerate(text_bytes(batch.column(2))):
-                one = paths_of(word_hashes(raw), window, minimizer)
-                if len(one[0]):
-                    rows.append(row)
-                    found.append(one)
-                    held += len(one[3])
-                if held > 1 << 24:
-                    yield build(batch, rows, found)
-                    rows, found, held = [], [], 0
-            if rows:
-                yield build(batch, rows, found)
-
-    def build(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
-        anchors, starts, counts, raw = (np.concatenate([f[i] for f in found]) for i in range(4))
-        of = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * WIDTH
-        windows = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchors), batch.column(0).take(of), batch.column(1).take(of), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), windows],
-            ["anchor", "doc_id", "uid", "start", "n", "windows"])
+        for batch in byte_slices(batches, 2, TOGETHER):
+            anchors, of, starts, counts, wide = paths_of(*hashes_of_texts(list(text_bytes(batch.column(2)))), window, minimizer)
+            ends = np.concatenate([[0], np.cumsum(counts)]) * WIDTH
+            windows = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(wide.view(np.uint8))])
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), windows],
+                ["anchor", "doc_id", "uid", "start", "n", "windows"])
 
     return docs.mapInArrow(run, PATHS)
 
