@@ -114,6 +114,25 @@ def hashes_of_texts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
+def hashed_texts(texts: Iterator[np.ndarray], size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``hashes_of_texts`` of successive groups of texts, of about ``size`` bytes or one text each."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > size:
+            yield hashes_of_texts(group)
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield hashes_of_texts(group)
+
+
+def words_of_texts(texts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The word hashes of each text; those of small texts are made together."""
+    for words, counts in hashed_texts(texts):
+        yield from np.split(words, np.cumsum(counts)[:-1])
+
+
 def _hash_words(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first bytes) of the words of a piece. Words are walked place by place, longest first, so that those with a place are a prefix."""
     inside = np.zeros(len(part) + 2, bool)

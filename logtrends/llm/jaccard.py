@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, byte_slices, components, mix, run_hashes, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, byte_slices, components, hashed_texts, mix, run_hashes, text_bytes
 
 #: N-grams of one block of a family; columns of the block products.
 BLOCK, COLUMNS = 1 << 20, 4_096
@@ -40,10 +40,13 @@ def band_plan(threshold: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def ngram_set(raw: np.ndarray, n: int) -> np.ndarray:
-    """Sorted different n-gram hashes of a lower-case text."""
-    words = word_hashes(raw)
-    return np.unique(run_hashes(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
+def ngram_sets(texts: Iterator[np.ndarray], n: int) -> Iterator[np.ndarray]:
+    """Sorted different n-gram hashes of each lower-case text."""
+    for words, counts in hashed_texts(texts):
+        runs = run_hashes(words, n)
+        for end, count in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+            whole = run_hashes(words[end - count : end], count) if count < n else runs[end - count : end - n + 1]
+            yield np.unique(whole)
 
 
 def signature(grams: np.ndarray, keys: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -76,8 +79,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         number = np.arange(bands, dtype=np.uint64)
         for batch in byte_slices(batches, 2, SLICE):
             out: list[list] = [[], [], [], []]
-            for raw in text_bytes(batch.column(2)):
-                grams = ngram_set(raw, n)
+            for grams in ngram_sets(text_bytes(batch.column(2)), n):
                 marks: list[int] = []
                 if len(grams):
                     least = signature(grams, keys, factors).reshape(bands, rows)
@@ -101,9 +103,9 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, 1, SLICE):
             v, sets, held = [], [], 0
-            for key, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            for key, grams in zip(batch.column(0).to_pylist(), ngram_sets(text_bytes(batch.column(1)), n), strict=True):
                 v.append(key)
-                sets.append(ngram_set(raw, n).tobytes())
+                sets.append(grams.tobytes())
                 held += len(sets[-1])
                 if held > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(sets, pa.binary())], ["v", "grams"])

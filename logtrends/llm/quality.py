@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, byte_slices, text_bytes, word_hashes
+from logtrends.llm.common import Workspace, byte_slices, text_bytes, word_hashes, words_of_texts
 
 #: Labelled documents that the models are fitted on, at most; the evidence that a word of toxic documents has to bring (its log odds, once for
 #: each of these documents). All words with so much evidence are listed: the sample alone bounds their number.
@@ -87,9 +87,9 @@ def _shares(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.concatenate([chars, [once, twice, diversity(words), min(30.0, n / w)]])
 
 
-def features(raw: np.ndarray) -> np.ndarray:
-    """Of the whole text, and the largest and the smallest of each over its parts."""
-    words = word_hashes(raw)
+def features(raw: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """Of the whole text, and the largest and the smallest of each over its parts; ``words`` are its word hashes, if they are known."""
+    words = word_hashes(raw) if words is None else words
     whole = _shares(raw, words)
     if len(raw) <= PART:
         return np.concatenate([whole, whole, whole])
@@ -255,8 +255,8 @@ def evidence(docs: DataFrame, model: Model, carry: list[str], text: str, host: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, texts, SLICE):
             good, toxic = [], []
-            for raw in text_bytes(texts(batch)):
-                good.append(model.good(features(raw)) if len(raw) else 0.0)
+            for raw, words in zip(text_bytes(texts(batch)), words_of_texts(text_bytes(texts(batch))), strict=True):
+                good.append(model.good(features(raw, words)) if len(raw) else 0.0)
                 toxic.append(model.toxic(lower_words(raw)) if model.words and len(raw) else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], ["row", "_host", "_path", "_good", "_toxic"])
