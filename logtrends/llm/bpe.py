@@ -172,8 +172,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def word_merger(vocab: Vocabulary) -> Callable[[str], list[int]]:
-    """Word -> ids, merged by the compiled merger of tiktoken.
+def byte_merger(vocab: Vocabulary) -> Callable[[bytes], list[int]]:
+    """The bytes of a word, or of a fragment where words have no ends -> ids, merged by the compiled merger of tiktoken.
 
     It merges bytes by the rank of what they make. So each first symbol (a byte; with word ends, also a byte that ends a word) is written as a
     character of two bytes, which rank before all merges. What a pair makes decides as the pair itself would: every token has one merge.
@@ -195,14 +195,19 @@ def word_merger(vocab: Vocabulary) -> Callable[[str], list[int]]:
     ranks |= {bytes([b]): len(ids) + b for b in range(256)}
     merge = tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def of_word(word: str) -> list[int]:
-        raw = word.encode()
+    def of_bytes(raw: bytes) -> list[int]:
         if not raw:
             return []
         last = signs[256 + raw[-1]] if ends else signs[raw[-1]]
         return [ids[rank] for rank in merge("".join([signs[b] for b in raw[:-1]]) + last)]
 
-    return of_word
+    return of_bytes
+
+
+def word_merger(vocab: Vocabulary) -> Callable[[str], list[int]]:
+    """Word -> ids."""
+    merge = byte_merger(vocab)
+    return lambda word: merge(word.encode())
 
 
 def text_coder(vocab: Vocabulary, of_word: Callable[[str], bytes], kind: str = "I") -> Callable[[str | None], bytes]:

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.bpe import Vocabulary, text_coder, vocabulary
+from logtrends.llm.bpe import Vocabulary, byte_merger, text_coder, vocabulary
 from logtrends.llm.common import WordCache, byte_slices
 
 
 #: Bytes of texts, or of ids, that are worked on at once.
 SLICE = 1 << 22
+#: Fragments up to this length go to the compiled merger, whose time grows with the square of the length, longer ones to the heap; the ids are the same.
+SHORT = 256
 
 
 def joined_pairs(vocab: Vocabulary) -> set[bytes]:
@@ -45,8 +47,11 @@ def text_encoder(path: str):
         raise ValueError("a vocabulary with word ends changes the last symbol of a word; fragments need one without")
     joined = joined_pairs(vocab)
 
+    merge = byte_merger(vocab)
+
     def of_fragment(raw: bytes) -> bytes:
-        return array("I", vocab.merge([vocab.first[b] for b in raw])[1]).tobytes()
+        ids = merge(raw) if len(raw) <= SHORT else vocab.merge([vocab.first[b] for b in raw])[1]
+        return array("I", ids).tobytes()
 
     known = WordCache(of_fragment)
 
