@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtrends.llm.bpe import Vocabulary, byte_merger, text_coder, vocabulary
-from logtrends.llm.common import WordCache, byte_slices
+from logtrends.llm.common import byte_slices
 
 
 #: Bytes of texts, or of ids, that are worked on at once.
@@ -53,10 +53,8 @@ def text_encoder(path: str):
         ids = merge(raw) if len(raw) <= SHORT else vocab.merge([vocab.first[b] for b in raw])[1]
         return array("I", ids).tobytes()
 
-    known = WordCache(of_fragment)
-
     def of_word(word: str) -> bytes:
-        return b"".join(map(known.__getitem__, fragments(word.encode(), joined)))
+        return b"".join(map(of_fragment, fragments(word.encode(), joined)))
 
     return text_coder(vocab, of_word)
 
