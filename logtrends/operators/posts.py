@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtrends.functions.keywords import keywords
@@ -16,6 +16,52 @@ COUNTERS = {
 TEXT_FIELD = {"reddit": "title", "twitter": "text"}
 
 
+#: Posts whose keywords one task holds, about; posts of a period above which its keywords are dealt out to parts; the most parts. None changes a result.
+POSTS_PER_TASK, POSTS_PER_PART, PARTS = 4_000, 2_000, 64
+#: Stands between the keywords of a post on the way; no keyword holds it.
+_BAR = "|"
+
+
+def _packed(words: Column) -> Column:
+    """Keywords as one string, null if there are none."""
+    return F.nullif(F.array_join(words, _BAR), F.lit(""))
+
+
+def _unpacked() -> Column:
+    return F.explode(F.split("_words", r"\|")).alias("keyword")
+
+
+def _dealt(words: Column, parts: Column) -> Column:
+    """Keywords by part, packed; equal keywords have the same part."""
+    marked = F.transform(words, lambda w: F.struct(w.alias("w"), F.pmod(F.xxhash64(w), parts).alias("p")))
+    own = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: F.struct(
+        i.alias("part"), _packed(F.transform(F.filter(marked, lambda m: m["p"] == i), lambda m: m["w"])).alias("_words")))
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), _packed(words).alias("_words")))
+    return F.filter(F.when(parts > 1, own).otherwise(whole), lambda d: d["_words"].isNotNull())
+
+
+def gathered(posts: DataFrame, period: Column, words: Column, *columns: str | Column) -> tuple[DataFrame, int]:
+    """``period, part, _words`` and ``columns`` of posts with keywords, and the number of partitions: all occurrences of a keyword in a period are in one.
+
+    Posts move once, before they become a row per keyword: what is grouped by period, part and more needs no further shuffle. The keywords of
+    a period with many posts are dealt out to parts, so that a task holds about as much at every size and however the posts lie in time. The posts of each period are
+    counted first; the list of those with many is short, as each stands for ``POSTS_PER_PART`` posts.
+    """
+    sizes = posts.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    many = F.collect_list(F.when(F.col("n") > POSTS_PER_PART, F.struct("period", F.least(F.ceil(F.col("n") / POSTS_PER_PART), F.lit(PARTS)).alias("parts"))))
+    total, large = sizes.agg(F.sum("n"), many).first()
+    spark, one = posts.sparkSession, F.lit(1).cast("bigint")
+    tasks = max(-(-(total or 0) // POSTS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = posts.select(period.alias("period"), *columns, words.alias("_all"))
+    if large:
+        listed = spark.createDataFrame(large, "period timestamp, parts bigint").withColumnRenamed("period", "_period")
+        found = found.join(listed, F.col("period").eqNullSafe(F.col("_period")), "left").drop("_period").withColumn("parts", F.coalesce("parts", one))
+    else:
+        found = found.withColumn("parts", one)
+    own = [c for c in found.columns if c not in ("_all", "parts")]
+    return found.select(*own, F.inline(_dealt(F.col("_all"), F.col("parts")))).repartition(tasks, "period", "part"), tasks
+
+
 def post_keywords(posts: DataFrame, kind: str) -> DataFrame:
     """One row per keyword occurrence of the posts of one source, with its counters."""
     counters = [F.col(field).alias(name) for field, name in COUNTERS[kind].items()]
@@ -26,21 +72,31 @@ def post_keywords(posts: DataFrame, kind: str) -> DataFrame:
 
 def keyword_minute(posts: DataFrame, kind: str) -> DataFrame:
     """Additive counters per minute and keyword."""
+    counters = [F.col(field).alias(name) for field, name in COUNTERS[kind].items()]
     sums = [F.sum(name).alias(name) for name in COUNTERS[kind].values()]
-    return post_keywords(posts, kind).groupBy(F.date_trunc("minute", "ts").alias("minute"), "keyword").agg(*sums)
+    own = posts.filter(F.col("type") == kind)
+    packed, _ = gathered(own, F.date_trunc("minute", "ts"), keywords(F.col(TEXT_FIELD[kind])), *counters)
+    found = packed.select("period", "part", *COUNTERS[kind].values(), _unpacked())
+    return found.groupBy("period", "part", "keyword").agg(*sums).select(F.col("period").alias("minute"), "keyword", *COUNTERS[kind].values())
 
 
-def both_keywords(posts: DataFrame) -> DataFrame:
-    """One row per keyword occurrence of reddit and twitter posts, in one pass: the counters of the other source are null.
-
-    Posts of other types are not filtered out but have no keywords: a filter would be pushed below a watermark, which all posts should move.
-    """
+def _both(posts: DataFrame) -> tuple[Column, list[Column]]:
+    """Keywords of a reddit or twitter post, null for others, and the counters of both: those of the other source are null."""
     text, counters = F.lit(None).cast("string"), []
     for kind, fields in COUNTERS.items():
         own = F.col("type") == kind
         text = F.when(own, F.col(TEXT_FIELD[kind])).otherwise(text)
         counters += [F.when(own, F.col(field)).alias(f"{kind}_{name}") for field, name in fields.items()]
-    return posts.select("ts", "type", *counters, F.explode_outer(keywords(text)).alias("keyword")).filter("keyword is not null")
+    return keywords(text), counters
+
+
+def both_keywords(posts: DataFrame) -> DataFrame:
+    """One row per keyword occurrence of reddit and twitter posts, in one pass: the counters of the other source are null.
+
+    Posts of other types are not filtered out but have no keywords: a filter would be pushed below a watermark, which all posts should move.
+    """
+    words, counters = _both(posts)
+    return posts.select("ts", "type", *counters, F.explode_outer(words).alias("keyword")).filter("keyword is not null")
 
 
 def both_sums() -> list:
@@ -49,9 +105,20 @@ def both_sums() -> list:
     return sums + [F.count_if(F.col("type") == kind).alias(f"n_{kind}") for kind in COUNTERS]
 
 
-def both_minutes(posts: DataFrame) -> DataFrame:
-    """Counters of both sources per minute and keyword, from one scan and one shuffle."""
-    return both_keywords(posts).groupBy(F.date_trunc("minute", "ts").alias("minute"), "keyword").agg(*both_sums())
+def both_minutes(posts: DataFrame, width: str | None = None) -> DataFrame:
+    """Counters of both sources per minute and keyword, from one scan and one shuffle.
+
+    With ``width``, a number of minutes such as ``1 hour``, there are two further columns: ``period``, the start of the window of that width, and ``part``.
+    All minutes of a window and a keyword lie in one partition: what is grouped by period, part and more needs no further shuffle.
+    """
+    words, counters = _both(posts)
+    minute = F.date_trunc("minute", "ts")
+    period = F.window(minute, width)["start"] if width else minute
+    names = [f"{kind}_{name}" for kind, fields in COUNTERS.items() for name in fields.values()]
+    packed, _ = gathered(posts.filter(F.col("type").isin(*COUNTERS)), period, words, *[minute.alias("minute")] * bool(width), "type", *counters)
+    keys = ["period", "part", *["minute"] * bool(width), "keyword"]
+    found = packed.select(*keys[:-1], "type", *names, _unpacked()).groupBy(*keys).agg(*both_sums())
+    return found if width else found.withColumnRenamed("period", "minute").drop("part")
 
 
 def upsert_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -71,8 +138,23 @@ def meetup_keywords(posts: DataFrame) -> DataFrame:
 
 
 def meetup_latest(posts: DataFrame) -> DataFrame:
-    """Latest meetup per minute and keyword."""
-    return upsert_latest(meetup_keywords(posts), ["minute", "keyword"], ["ts", "post_id"])
+    """Latest meetup per minute and keyword.
+
+    The contest is held among times and ids only. The keywords that a meetup has won come back to it in one row, to meet its attributes, which
+    (a name may be a long text) are never repeated on the way.
+    """
+    own, minute = posts.filter("type = 'meetup'"), F.date_trunc("minute", "ts")
+    key = F.struct(minute.alias("minute"), "ts", "post_id").alias("_key")  # a struct: null times and ids meet as well
+    shown = ["city", "state", "country", "category", "name", "venue"]
+    words = F.array_distinct(F.concat(keywords(F.col("name")), keywords(F.col("description"))))
+    packed, tasks = gathered(own, minute, words, "ts", "post_id")
+    found = packed.select("period", "part", "ts", "post_id", _unpacked())
+    latest = found.groupBy("period", "part", "keyword").agg(F.max(F.struct("ts", "post_id")).alias("_last"))
+    won = latest.groupBy("period", "part", "_last").agg(F.array_join(F.collect_list("keyword"), _BAR).alias("_words"))
+    won = won.select(F.struct(F.col("period").alias("minute"), "_last.ts", "_last.post_id").alias("_key"), "_words")
+    attributes = meetup_fields(own).drop("venue").withColumnRenamed("venue_text", "venue").select(key, *shown)
+    one = attributes.repartition(tasks, "_key").dropDuplicates(["_key"])  # a meetup that came twice
+    return won.repartition(tasks, "_key").join(one, "_key").select("_key.minute", _unpacked(), "_key.ts", "_key.post_id", *shown)
 
 
 def merge_counters(batch: DataFrame, target: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:

@@ -73,6 +73,24 @@ def test_meetup(spark, rows):
     assert rows(P.meetup_latest(df), "keyword", "city") == [("board", "Oslo"), ("chess night", "Oslo")]
 
 
+def exchanged(df):
+    """Hash exchanges in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_meetups_move_before_their_keywords(spark, rows):
+    """No row per keyword is shuffled, and no long name stands in more than one row on the way; a meetup that came twice counts once."""
+    name = "long name " + "x" * 1000
+    text = " and ".join(f"w{i}" for i in range(50))
+    meetup = lambda i, **more: {"post_id": i, "type": "meetup", "name": name, "description": text, "group": {"city": f"c{i}", "country": "it"}, **more}
+    df = posts_df(spark, meetup(1), meetup(2), meetup(2), meetup(3, description="w7"), meetup(None, ts=None))
+    found = P.meetup_latest(df)
+    assert exchanged(found) and not any("keyword" in line for line in exchanged(found))
+    assert found.filter("post_id = 2").count() == 49 and found.filter("post_id is null").count() == 51
+    assert rows(found.filter("keyword = 'w7'"), "post_id", "city", "name") == [(3, "c3", name), (None, "cNone", name)]
+
+
 def test_merge_counters(spark, rows):
     old = spark.createDataFrame([("m", "a", 1), ("m", "b", 2)], "minute string, keyword string, score bigint")
     new = spark.createDataFrame([("m", "a", 5), ("m", "c", None)], "minute string, keyword string, score bigint")
