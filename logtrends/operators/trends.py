@@ -43,17 +43,17 @@ def merged_score(merge: str = "overwrite") -> Column:
 
 
 def scores_of(counters: DataFrame, merge: str = "overwrite") -> DataFrame:
-    """``minute_scores`` from one table with the counters of both sources."""
-    return counters.select("minute", "keyword", merged_score(merge))
+    """``minute_scores`` from one table with the counters of both sources; columns ``period`` and ``part`` stay."""
+    return counters.select(*[c for c in counters.columns if c in ("period", "part")], "minute", "keyword", merged_score(merge))
 
 
 def keyword_totals(scores: DataFrame, *period: str) -> DataFrame:
     return scores.groupBy(*period, "keyword").agg(F.sum("score").alias("score"))
 
 
-def top_per_period(totals: DataFrame, period: str, k: int = TOP) -> DataFrame:
+def top_per_period(totals: DataFrame, *period: str, k: int = TOP) -> DataFrame:
     """The k best keywords of each period, ties by keyword."""
-    best = Window.partitionBy(period).orderBy(F.col("score").desc(), "keyword")
+    best = Window.partitionBy(*period).orderBy(F.col("score").desc(), "keyword")
     return totals.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -66,9 +66,15 @@ def trend_now(scores: DataFrame, as_of: Column, k: int = TOP) -> DataFrame:
 
 
 def trend_windows(scores: DataFrame, width: str, k: int = TOP) -> DataFrame:
-    """Ranking of every tumbling window of the given width, e.g. ``5 minutes`` or ``1 hour``."""
-    windowed = scores.withColumn("period", F.window("minute", width)["start"])
-    return top_per_period(keyword_totals(windowed, "period"), "period", k).select("keyword", "period", "score", "rank")
+    """Ranking of every tumbling window of the given width, e.g. ``5 minutes`` or ``1 hour``.
+
+    Scores that have the start of that window as ``period``, and a ``part`` that depends on the keyword only, are added up and ranked within their parts where they are.
+    """
+    if "part" in scores.columns:
+        totals = top_per_period(keyword_totals(scores, "period", "part"), "period", "part", k=k).drop("rank")
+    else:
+        totals = keyword_totals(scores.withColumn("period", F.window("minute", width)["start"]), "period")
+    return top_per_period(totals, "period", k=k).select("keyword", "period", "score", "rank")
 
 
 def replace_ranking(ranking: DataFrame, path: str) -> None:

@@ -498,9 +498,9 @@ def meetup_latest(spark, sf):
 
 # -- trends ---------------------------------------------------------------------------------
 
-def _minute_scores(spark, sf, merge="overwrite"):
+def _minute_scores(spark, sf, merge="overwrite", width=None):
     newest = _latest(B.table(spark, sf, "events"))
-    return trends.scores_of(trends.closed_before(P.both_minutes(B.posts_table(spark, sf)), newest), merge), newest
+    return trends.scores_of(trends.closed_before(P.both_minutes(B.posts_table(spark, sf), width), newest), merge), newest
 
 
 @query
@@ -523,13 +523,13 @@ def trend_5min(spark, sf):
 
 @query
 def trend_5min_tumbling(spark, sf):
-    ranked = trends.trend_windows(_minute_scores(spark, sf)[0], "5 minutes")
+    ranked = trends.trend_windows(_minute_scores(spark, sf, width="5 minutes")[0], "5 minutes")
     return ranked.withColumn("period", scores.minute_key(F.col("period")))
 
 
 @query
 def trend_hour(spark, sf):
-    ranked = trends.trend_windows(_minute_scores(spark, sf)[0], "1 hour")
+    ranked = trends.trend_windows(_minute_scores(spark, sf, width="1 hour")[0], "1 hour")
     return ranked.withColumn("period", scores.hour_key(F.col("period")))
 
 
