@@ -91,6 +91,22 @@ def test_meetups_move_before_their_keywords(spark, rows):
     assert rows(found.filter("keyword = 'w7'"), "post_id", "city", "name") == [(3, "c3", name), (None, "cNone", name)]
 
 
+def test_keywords_of_crowded_periods_are_dealt_out(spark, rows, monkeypatch):
+    """Counters and rankings need no shuffle of keywords, and parts change no result."""
+    text = lambda i: " and ".join(f"w{(i * 7 + j) % 40}" for j in range(25))
+    df = posts_df(
+        spark, *[{"post_id": i, "ts": f"2024-01-01 10:0{i % 3}:05", "type": "reddit", "title": text(i), "score": i, "num_comments": 1} for i in range(20)],
+        *[{"post_id": 50 + i, "ts": "2024-01-01 10:01:30", "type": "twitter", "text": text(i) + " and w3", "reply_count": 1, "retweet_count": i, "favorite_count": 2} for i in range(9)])
+    plain = trends.trend_windows(trends.scores_of(P.both_minutes(df)), "1 hour")
+    want = [rows(x) for x in (P.keyword_minute(df, "twitter"), P.both_minutes(df), plain)]
+    for size in (2_000, 3, 1):
+        monkeypatch.setattr(P, "POSTS_PER_PART", size)
+        counted, both = P.keyword_minute(df, "twitter"), P.both_minutes(df)
+        ranked = trends.trend_windows(trends.scores_of(P.both_minutes(df, "1 hour")), "1 hour")
+        assert [rows(x) for x in (counted, both, ranked)] == want
+        assert not any("keyword" in line for x in (counted, both, ranked) for line in exchanged(x))
+
+
 def test_merge_counters(spark, rows):
     old = spark.createDataFrame([("m", "a", 1), ("m", "b", 2)], "minute string, keyword string, score bigint")
     new = spark.createDataFrame([("m", "a", 5), ("m", "c", None)], "minute string, keyword string, score bigint")
