@@ -558,7 +558,7 @@ def merge_counters(spark, sf):
     posts_ = B.posts_table(spark, sf)
     half = F.pmod(F.floor(F.col("post_id") / 4), F.lit(2))
     for run in (0, 1):
-        counts = cut_lineage(P.keyword_minute(posts_.filter(half == run), "twitter"))
+        counts = P.keyword_minute(posts_.filter(half == run), "twitter")
         for _ in range(2):
             store.commit(counts, batch_id=0, run=f"run {run}")
     return store.read().withColumn("minute", scores.minute_key(F.col("minute")))

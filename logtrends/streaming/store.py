@@ -7,6 +7,7 @@ logarithm of the number of commits.
 
 Counters are running totals of a run, that is of a query with its checkpoint. Of one run the last batch counts per key; a batch that is delivered again
 is passed over. A query that starts with a fresh checkpoint is another run: its counters are added to those that are there, and nothing is lost.
+Segments of what a batch adds (``added``) are summed instead; their rows name no run.
 
 Folders that the last two manifests do not name are removed, so that a reader may finish what it has begun.
 """
@@ -95,26 +96,55 @@ class CounterStore:
         last = F.max_by(F.struct(*self.counters, "batch"), "batch").alias("last")
         return rows.groupBy(*KEYS, "run").agg(last).select(*KEYS, *[f"last.{c}" for c in self.counters], "run", "last.batch")
 
-    def commit(self, rows: DataFrame, batch_id: int, run: str) -> bool:
-        """Store the counters of a micro-batch; False if this batch of the run, or a later one, is in the store already."""
+    def _sum(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in self.counters])
+
+    def _merged(self, segments: list[dict]) -> DataFrame:
+        """One row per key (and run) of segments that are all ``added`` or all not."""
+        rows = self._segments(segments)
+        if segments[0].get("added"):
+            return self._sum(rows).withColumns({"run": F.lit(None).cast("string"), "batch": F.lit(None).cast("bigint")})
+        return self._last_of_run(rows)
+
+    def commit(self, rows: DataFrame, batch_id: int, run: str, added: bool = False) -> bool:
+        """Store the counters of a micro-batch; False if this batch of the run, or a later one, is in the store already.
+
+        The counters are running totals of the run or, with ``added``, what this batch adds to them. A run keeps to one of the two.
+        """
         number, content = self._manifest()
         if content["batches"].get(run, -1) >= batch_id:
             return False
-        named = rows.select(*KEYS, *self.counters, F.lit(run).alias("run"), F.lit(batch_id).cast("bigint").alias("batch"))
-        segments = [*content["segments"], {"folder": self._write(named), "level": 0}]
-        level = 0
-        while len(same := [s for s in segments if s["level"] == level]) >= FAN:
-            merged = {"folder": self._write(self._last_of_run(self._segments(same))), "level": level + 1}
-            segments = [s for s in segments if s["level"] != level] + [merged]
+        at = [F.lit(None if added else run).cast("string").alias("run"), F.lit(None if added else batch_id).cast("bigint").alias("batch")]
+        new = {"folder": self._write(rows.select(*KEYS, *self.counters, *at)), "level": 0, "runs": [run], "added": added}
+        segments, level = [*content["segments"], new], 0
+        while len(same := [s for s in segments if s["level"] == level and s.get("added", False) == added]) >= FAN:
+            runs = sorted({r for s in same for r in s["runs"]}) if all("runs" in s for s in same) else None
+            merged = {"folder": self._write(self._merged(same)), "level": level + 1, "added": added, **({"runs": runs} if runs else {})}
+            segments = [s for s in segments if s not in same] + [merged]
             level += 1
         self._commit(number + 1, {"segments": segments, "batches": {**content["batches"], run: batch_id}})
         self._clean()
         return True
 
     def read(self, start=None, end=None) -> DataFrame:
-        """Counters per minute and keyword, all of them or from ``start`` (a column) up to ``end``."""
-        rows = self._segments(self._manifest()[1]["segments"])
+        """Counters per minute and keyword, all of them or from ``start`` (a column) up to ``end``.
+
+        Within a segment a key stands once (and once per run): totals of a run are compared only if several segments may have some, and
+        a single segment of what batches added is the result as it is.
+        """
+        segments = self._manifest()[1]["segments"]
+        totals, added = ([s for s in segments if bool(s.get("added")) == kind] for kind in (False, True))
+        runs = [r for s in totals for r in s.get("runs", [None, None])]
+        found = self._segments([]) if not segments else None
+        if totals:
+            found = self._segments(totals)
+        if added:
+            found = found.unionByName(self._segments(added)) if totals else self._segments(added)
         if start is not None:
-            rows = rows.filter((F.col("minute") >= start) & (F.col("minute") < end))
-        last = self._last_of_run(rows)
-        return last.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in self.counters])
+            found = found.filter((F.col("minute") >= start) & (F.col("minute") < end))
+        if len(set(runs)) < len(runs):
+            old = found.filter("batch is not null")
+            found = self._last_of_run(old).unionByName(found.filter("batch is null")) if added else self._last_of_run(old)
+        if len(segments) == 1 and added:
+            return found.select(*KEYS, *self.counters)
+        return self._sum(found)
