@@ -90,15 +90,6 @@ def _both(posts: DataFrame) -> tuple[Column, list[Column]]:
     return keywords(text), counters
 
 
-def both_keywords(posts: DataFrame) -> DataFrame:
-    """One row per keyword occurrence of reddit and twitter posts, in one pass: the counters of the other source are null.
-
-    Posts of other types are not filtered out but have no keywords: a filter would be pushed below a watermark, which all posts should move.
-    """
-    words, counters = _both(posts)
-    return posts.select("ts", "type", *counters, F.explode_outer(words).alias("keyword")).filter("keyword is not null")
-
-
 def both_sums() -> list:
     """Sums of the counters of both sources and the number of occurrences in each."""
     sums = [F.sum(f"{kind}_{name}").alias(name) for kind, fields in COUNTERS.items() for name in fields.values()]

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logtrends.operators.posts import COUNTERS, both_keywords, both_sums, post_keywords
-from logtrends.operators.trends import merged_score, minute_scores, replace_ranking, top_per_period, trend_now
+from logtrends.operators.posts import COUNTERS, TEXT_FIELD, both_minutes, keyword_minute
+from logtrends.operators.trends import minute_scores, replace_ranking, scores_of, trend_now, trend_windows
 from logtrends.streaming.store import CounterStore
 
 
-def keyword_counts(posts: DataFrame, kind: str, delay: str = "10 minutes") -> DataFrame:
-    """Streaming form of ``keyword_minute``; posts later than ``delay`` are dropped.
-
-    Update mode shows running counters, append mode shows a minute once it is closed.
-    """
-    sums = [F.sum(name).alias(name) for name in COUNTERS[kind].values()]
-    return (
-        post_keywords(posts.withWatermark("ts", delay), kind)
-        .groupBy(F.window("ts", "1 minute").alias("_w"), "keyword").agg(*sums)
-        .select(F.col("_w.start").alias("minute"), "keyword", *COUNTERS[kind].values())
-    )
-
-
 def drop_replays(posts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Posts without those that were delivered again within the watermark."""
     return posts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["post_id"])
@@ -36,6 +24,69 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+# -- minutes that are open -------------------------------------------------------------------
+
+class OpenPosts:
+    """What a stream of posts keeps between micro-batches: how far its time has come and the posts of periods that are not over.
+
+    The rules are those of a watermark: it is the newest time of all batches so far less ``delay``; a post of a minute that ended before the batch is dropped, and
+    a period is closed once its end is reached. Posts are kept, not a row per keyword, and only those of open periods: whatever a batch
+    closes itself is never stored. Each batch has a folder of its own beside the query's checkpoint, so that one that is delivered again starts from where it started before.
+    """
+
+    def __init__(self, spark: SparkSession, checkpoint: str, delay: str):
+        self.spark, self.root, self.delay = spark, f"{checkpoint.rstrip('/')}/open", F.expr(f"INTERVAL {delay}")
+
+    def _folder(self, batch_id: int):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{batch_id}")
+        return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+    def _mark(self, batch_id: int) -> Column:
+        """The watermark after a batch; null before the first one."""
+        fs, path = self._folder(batch_id)
+        found = self.spark.read.schema("mark string").parquet(f"{path}/mark").first()[0] if fs.exists(path) else None
+        return F.lit(found).cast("timestamp")
+
+    def arrived(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, Column]:
+        """The posts of a batch that are not too late, and the watermark after it."""
+        before = self._mark(batch_id - 1)
+        after = batch.agg(F.greatest(F.max("ts") - self.delay, before).cast("string")).first()[0]
+        over = F.date_trunc("minute", "ts") + F.expr("INTERVAL 1 MINUTE") <= before
+        return batch.filter(F.col("ts").isNotNull() & ~F.coalesce(over, F.lit(False))), F.lit(after).cast("timestamp")
+
+    def with_open(self, posts: DataFrame, batch_id: int) -> DataFrame:
+        """``posts`` and those that the batch before has left."""
+        fs, path = self._folder(batch_id - 1)
+        return posts.unionByName(self.spark.read.schema(posts.schema).parquet(f"{path}/posts")) if fs.exists(path) else posts
+
+    def store(self, batch_id: int, mark: Column, posts: DataFrame | None = None) -> None:
+        """End of a batch: the posts that are still open, the watermark; what no batch can start from any more is removed."""
+        if posts is not None:
+            posts.write.mode("overwrite").parquet(f"{self.root}/{batch_id}/posts")
+        self.spark.range(1).select(mark.cast("string").alias("mark")).write.mode("overwrite").parquet(f"{self.root}/{batch_id}/mark")
+        fs, path = self._folder(batch_id - 2)
+        fs.delete(path, True)
+
+
+def _start_closing(posts: DataFrame, work: Callable[[DataFrame], DataFrame], width: str, path: str, checkpoint: str, delay: str,
+                   available_now: bool) -> StreamingQuery:
+    """Write ``work`` on the posts of all periods that a batch closes. Batches have folders of their own, so that one that is repeated replaces its first attempt."""
+    texts, fields = TEXT_FIELD.values(), [f for kind in COUNTERS.values() for f in kind]
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        kept = OpenPosts(batch.sparkSession, checkpoint, delay)
+        new, mark = kept.arrived(batch, batch_id)
+        known = new.filter(F.col("type").isin(*COUNTERS)).select("ts", "type", *texts, *fields)
+        every, end = kept.with_open(known, batch_id), F.window("ts", width)["end"]
+        closed = F.coalesce(end <= mark, F.lit(False))
+        work(every.filter(closed)).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+        kept.store(batch_id, mark, every.filter(~closed))
+
+    return _start(posts.writeStream.foreachBatch(close), checkpoint, available_now)
+
+
 # -- running counters -------------------------------------------------------------------------
 
 def counter_store(spark: SparkSession, kind: str, path: str) -> CounterStore:
@@ -44,12 +95,15 @@ def counter_store(spark: SparkSession, kind: str, path: str) -> CounterStore:
 
 def start_counts(posts: DataFrame, kind: str, path: str, checkpoint: str, delay: str = "10 minutes",
                  available_now: bool = True) -> StreamingQuery:
-    """Keep the running counters in the store at ``path``. The query's id, which lives in the checkpoint, is the run."""
+    """Keep the running counters in the store at ``path``: each micro-batch adds its own. The query's id, which lives in the checkpoint, is the run."""
     def store(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        counter_store(batch.sparkSession, kind, path).commit(batch, batch_id, run)
+        kept = OpenPosts(batch.sparkSession, checkpoint, delay)
+        new, mark = kept.arrived(batch, batch_id)
+        counter_store(batch.sparkSession, kind, path).commit(keyword_minute(new, kind), batch_id, run, added=True)
+        kept.store(batch_id, mark)
 
-    return _start(keyword_counts(posts, kind, delay).writeStream.outputMode("update").foreachBatch(store), checkpoint, available_now)
+    return _start(posts.writeStream.foreachBatch(store), checkpoint, available_now)
 
 
 def read_counts(spark: SparkSession, kind: str, path: str, hour: datetime | None = None) -> DataFrame:
@@ -71,42 +125,23 @@ def refresh_trend(spark: SparkSession, reddit_path: str, twitter_path: str, as_o
 
 # -- closed periods ---------------------------------------------------------------------------
 
-def closed_minutes(posts: DataFrame, delay: str = "10 minutes", merge: str = "overwrite") -> DataFrame:
-    """Scores of minutes that the watermark has closed: both sources in one aggregation, one pass over the posts, each minute once.
-
-    ``ts`` is the event time of the minute for a further aggregation.
-    """
-    counted = both_keywords(posts.withWatermark("ts", delay)).groupBy(F.window("ts", "1 minute").alias("_w"), "keyword").agg(*both_sums())
-    return counted.select(F.window_time("_w").alias("ts"), F.col("_w.start").alias("minute"), "keyword", merged_score(merge))
-
-
 def start_minute_scores(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", merge: str = "overwrite",
                         available_now: bool = True) -> StreamingQuery:
-    """Write each closed minute once, in append mode."""
-    closed = closed_minutes(posts, delay, merge).drop("ts")
-    return _start(closed.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, available_now)
+    """Write each closed minute once, both sources in one aggregation."""
+    return _start_closing(posts, lambda closed: scores_of(both_minutes(closed), merge), "1 minute", path, checkpoint, delay, available_now)
 
 
 def read_minute_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("minute timestamp, keyword string, score bigint").parquet(path)
+    return spark.read.schema("minute timestamp, keyword string, score bigint, run string, batch bigint").parquet(path).drop("run", "batch")
 
 
 def start_hourly_trend(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", merge: str = "overwrite",
                        available_now: bool = True) -> StreamingQuery:
-    """Rank each hour when the watermark closes it.
-
-    Closed minutes feed a second aggregation to totals per hour, which leaves the state as it is emitted. An hour comes out whole in one micro-batch,
-    so the batch ranks it; batches have folders of their own, so that a batch that is repeated replaces its first attempt.
-    """
-    hours = closed_minutes(posts, delay, merge).groupBy(F.window("ts", "1 hour").alias("_w"), "keyword").agg(F.sum("score").alias("score"))
-    totals = hours.select(F.col("_w.start").alias("period"), "keyword", "score")
-
-    def rank(batch: DataFrame, batch_id: int) -> None:
-        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        ranked = top_per_period(batch, "period").select("keyword", "period", "score", "rank")
-        ranked.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+    """Rank each hour when the watermark closes it. An hour comes out whole in one micro-batch, so the batch ranks it."""
+    def rank(closed: DataFrame) -> DataFrame:
+        return trend_windows(scores_of(both_minutes(closed, "1 hour"), merge), "1 hour")
 
-    return _start(totals.writeStream.outputMode("append").foreachBatch(rank), checkpoint, available_now)
+    return _start_closing(posts, rank, "1 hour", path, checkpoint, delay, available_now)
 
 
 def read_hourly_trend(spark: SparkSession, path: str) -> DataFrame:

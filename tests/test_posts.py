@@ -209,3 +209,37 @@ def test_closed_minutes_and_hours(spark, rows, tmp_path):
         assert rows(live.read_hourly_trend(spark, hours).filter("hour(period) = 11"), "keyword", "score") == [("snow", 5)]
         for i in range(len(steps)):
             (source / f"{i}.json").unlink()
+
+
+def test_streams_keep_posts_of_open_periods_only(spark, rows, tmp_path):
+    """No state per keyword: what a batch closes is not stored, what is open is stored as posts."""
+    source = tmp_path / "in"
+    source.mkdir()
+    post = lambda i, ts: {"post_id": i, "ts": f"2024-01-01 {ts}", "type": "reddit", "title": "rain and sun", "score": 10, "num_comments": 0}
+    write_posts(source, "0.json", [post(i, f"10:{i:02d}:10") for i in range(40)] + [post(50, "11:05:00"), {"type": "reddit", "title": "fog"}])
+    stream = lambda: S.read_posts(spark, str(source), streaming=True)
+    for start, read, name, left, found in (
+            (live.start_minute_scores, live.read_minute_scores, "minutes", 1, 80), (live.start_hourly_trend, live.read_hourly_trend, "hours", 1, 2)):
+        out, state = str(tmp_path / name), str(tmp_path / f"{name}-state")
+        for _ in range(2):  # the second finds nothing new
+            start(stream(), out, state, delay="0 seconds").awaitTermination()
+        assert not (tmp_path / f"{name}-state" / "state").exists()
+        assert spark.read.parquet(f"{state}/open/0/posts").count() == left and read(spark, out).count() == found
+    out, state = str(tmp_path / "counts"), str(tmp_path / "counts-state")
+    live.start_counts(stream(), "reddit", out, state).awaitTermination()
+    assert not (tmp_path / "counts-state" / "state").exists()
+    assert live.read_counts(spark, "reddit", out).count() == 82
+
+
+def test_batches_that_add(spark, rows, tmp_path, monkeypatch):
+    """Sums of what batches add, beside running totals of another run; a key of a single segment is not shuffled."""
+    monkeypatch.setattr(store_module, "FAN", 3)
+    store = CounterStore(spark, str(tmp_path / "store"), ["score"])
+    assert store.commit(counts_df(spark, a=1, b=None), 0, "one", added=True) and not exchanged(store.read())
+    assert rows(store.read(), "keyword", "score") == [("a", 1), ("b", None)]
+    for batch in range(1, 5):
+        assert store.commit(counts_df(spark, a=10), batch, "one", added=True) and not store.commit(counts_df(spark, a=10), batch, "one", added=True)
+    store.commit(counts_df(spark, a=100), 0, "two")
+    store.commit(counts_df(spark, a=300, c=7), 1, "two")
+    assert rows(store.read(), "keyword", "score") == [("a", 341), ("b", None), ("c", 7)]
+    assert len(store._manifest()[1]["segments"]) <= 5
