@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +98,25 @@ def missing_paths(rows: list[tuple[int, int, bool, bool]], order: list[int]) ->
     return list(paths)
 
 
-def _paths_of_log(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["first_pos", "src", "dst"])
-    rows = list(zip(pdf["src"], pdf["dst"], pdf["missing"], pdf["dst_normal"]))
-    order = list(dict.fromkeys(pdf["src"].tolist()))
-    found = missing_paths(rows, order)
-    return pd.DataFrame({
-        "threshold": pdf["threshold"].iloc[0], "log_id": pdf["log_id"].iloc[0],
-        "path_id": range(len(found)), "path": [list(map(int, p)) for p in found],
-    })
+def _paths_of_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of many logs, one row each with its transitions as lists in first-seen order."""
+    for batch in batches:
+        out: list[tuple] = []
+        columns = [batch.column(name).to_pylist() for name in ("threshold", "log_id", "src", "dst", "missing", "dst_normal")]
+        for threshold, log, src, *rest in zip(*columns, strict=True):
+            found = missing_paths(list(zip(src, *rest, strict=True)), list(dict.fromkeys(src)))
+            out += [(threshold, log, i, list(path)) for i, path in enumerate(found)]
+        fields = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(fields, (pa.float64(), pa.string(), pa.int32(), pa.list_(pa.int32())), strict=True)],
+                                         names=["threshold", "log_id", "path_id", "path"])
 
 
 def difflog_paths(difflog: DataFrame, edges: DataFrame, normal_vertices: DataFrame) -> DataFrame:
     """Missing transitions of each log put together to paths.
 
     ``normal_vertices``: (threshold, log_id, template_id) of what the log is compared with.
-    A group is the transition graph of one log, which is bounded by the square of the number
-    of templates and not by the length of the log.
+    The transition graph of one log is one row; it is bounded by the square of the number of templates and not by the length of the log.
+    Many logs share a call.
     """
     logs = difflog.select("threshold", "log_id").distinct()
     flagged = (
@@ -126,9 +130,10 @@ def difflog_paths(difflog: DataFrame, edges: DataFrame, normal_vertices: DataFra
                 F.coalesce("missing", F.lit(False)).alias("missing"),
                 F.coalesce("dst_normal", F.lit(False)).alias("dst_normal"))
     )
-    return flagged.groupBy("threshold", "log_id").applyInPandas(
-        _paths_of_log, "threshold double, log_id string, path_id int, path array<int>"
-    )
+    values = ["src", "dst", "missing", "dst_normal"]
+    graphs = flagged.groupBy("threshold", "log_id").agg(F.array_sort(F.collect_list(F.struct("first_pos", *values))).alias("_steps"))
+    listed = graphs.select("threshold", "log_id", *[F.col("_steps")[name].alias(name) for name in values])
+    return listed.mapInArrow(_paths_of_logs, "threshold double, log_id string, path_id int, path array<int>")
 
 
 def normal_vertices(abnormal: DataFrame, clusters: DataFrame, nodes: DataFrame) -> DataFrame:

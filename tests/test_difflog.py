@@ -184,3 +184,14 @@ def test_infer_then_assign(spark):
     found = templates.infer_templates(lines)
     assert templates.match_lines(lines, found).select("line_no").distinct().count() == 4
     assert templates.match_lines(lines, found).filter(F.col("template_id").isNull()).count() == 0
+
+
+def test_paths_of_many_logs_share_a_call(spark, rows):
+    """Paths come from one row per log, not from a call per log; the order of first seen transitions holds."""
+    steps = [(f"l{i:03d}", 1 + k, s, d, n) for i in range(300) for n, (s, d) in enumerate([(9, 1), (1, 5 + i % 3), (5 + i % 3, 2), (2, 8)]) for k in [n]]
+    edges = spark.createDataFrame([(log, s, d, at) for log, at, s, d, _ in steps], "log_id string, src int, dst int, first_pos bigint")
+    missing = edges.filter("src not in (2, 9)").selectExpr("double(0.5) threshold", "log_id", "src", "dst")
+    normal = spark.createDataFrame([(0.5, f"l{i:03d}", t) for i in range(300) for t in (9, 1, 2, 8)], "threshold double, log_id string, template_id int")
+    found = difflog.difflog_paths(missing, edges, normal)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r[1:] for r in rows(found)] == [(f"l{i:03d}", 0, [1, 5 + i % 3, 2]) for i in range(300)]
