@@ -161,6 +161,32 @@ class Cover:
                     break
         return before
 
+    def all_of(self, shape: str, words: frozenset[str]) -> list[int]:
+        """The seeds of all templates that cover the shape."""
+        near = (template for word in words & self.by_word.keys() for template in self.by_word[word])
+        return [template.seed for template in near if template.needed <= words and template.covers(shape)]
+
+
+class Matcher:
+    """Templates in the order of preference, to be looked up by the words of a line."""
+
+    def __init__(self, texts: list[str], lines: Iterable[str]):
+        """``lines`` tell which words are rare; a share of those to be matched will do."""
+        count: Counter = Counter()
+        for line in lines:
+            count.update(frozenset(line.split(" ")))
+        found = [Template(at, text) for at, text in enumerate(texts)]
+        self.universal = [t.seed for t in found if not t.needed]
+        self.cover = Cover([t for t in found if t.needed], count)
+
+    def first(self, line: str, before: int = NEVER) -> int:
+        """The first template that matches, ``before`` if none stands in front of that."""
+        before = min([before, *self.universal[:1]])
+        return self.cover.taken(NEVER, line, frozenset(line.split(" ")), before)
+
+    def every(self, line: str) -> list[int]:
+        return sorted([*self.universal, *self.cover.all_of(line, frozenset(line.split(" ")))])
+
 
 class Waiting:
     """The words of seeds that wait, each with the earliest of them."""

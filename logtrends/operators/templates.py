@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.functions import text as T
-from logtrends.operators.inference import NEVER, common_template, lcs_table, left_of, run_blocks, template_matcher  # noqa: F401
+from logtrends.operators.inference import NEVER, Matcher, common_template, lcs_table, left_of, run_blocks, template_matcher  # noqa: F401
 from logtrends.operators.order import number_all
 from logtrends.session import Scratch
 
@@ -17,6 +19,8 @@ from logtrends.session import Scratch
 WORDS_PER_TASK, PARTS = 1_000_000, 4_096
 MERGED, ALONE, LEFT = "merged", "alone", "left"
 INLINE_TEMPLATES = 256
+#: Bytes of the lines and words of the templates with wildcards that one task matches. Neither changes a result.
+LINE_BYTES, TEMPLATE_WORDS = 8_000_000, 1_000_000
 POLICIES = ("first", "last", "most_specific")
 
 
@@ -268,7 +272,7 @@ def match_lines(lines: DataFrame, templates: DataFrame, policy: str = "most_spec
     lines = _with_texts(lines)
     small = _small_table(templates, inline_limit)
     if small is None:
-        matched = _match_by_anchor(lines, templates, policy).withColumn("template_id", F.col("template_ids")[0])
+        matched = _match_many(lines, templates, policy, one=True).withColumn("template_id", F.col("template_ids")[0])
         return matched.drop("template_ids", "_text", "_spaced")
     tests = _tests(small, policy)
     chosen = F.coalesce(*tests) if tests else F.lit(None).cast("int")
@@ -282,14 +286,15 @@ def match_sets(lines: DataFrame, templates: DataFrame, policy: str = "most_speci
     preferred one first.
 
     A template table of at most ``inline_limit`` rows becomes part of the projection: no
-    join, no shuffle, and each regular expression is compiled once. A larger table is
+    join, no shuffle, and each regular expression is compiled once. A larger table of
+    inferred templates is looked up by words (``_match_by_words``). Any other is
     joined on the anchor of each template, so a line meets only templates whose anchor it
     contains; Spark broadcasts that table if it is small enough.
     """
     lines = _with_texts(lines)
     small = _small_table(templates, inline_limit)
     if small is None:
-        return _match_by_anchor(lines, templates, policy).drop("_text", "_spaced")
+        return _match_many(lines, templates, policy).drop("_text", "_spaced")
     found = F.array_compact(F.array(*_tests(small, policy))) if small else F.array().cast("array<int>")
     kept = F.explode(F.filter(F.array(found), lambda ids: F.size(ids) > 0))  # see match_lines
     return lines.withColumn("template_ids", kept).drop("_text", "_spaced")
@@ -328,6 +333,60 @@ def _grams(line: Column, n: int) -> Column:
     return F.array_compact(F.array_distinct(pieces))
 
 
+def _match_many(lines: DataFrame, templates: DataFrame, policy: str, one: bool = False) -> DataFrame:
+    """``template_ids`` of lines that match; with ``one``, only the first of them is sure to be there."""
+    by_words = "single_spaced" in templates.columns and "pattern" in templates.columns and templates.filter(
+        ~F.col("single_spaced") | F.concat(F.lit(" "), "pattern", F.lit(" ")).contains(f" {T.WILDCARD} {T.WILDCARD} ")).isEmpty()
+    return _match_by_words(lines, templates, policy, one) if by_words else _match_by_anchor(lines, templates, policy)
+
+
+def _match_by_words(lines: DataFrame, templates: DataFrame, policy: str, one: bool) -> DataFrame:
+    """Matches of inferred templates.
+
+    A template without wildcard is equal to the lines it matches: a join. The others (far fewer) are looked up by their rarest word in tasks that hold a part of the
+    lines and a share of these templates; a line moves once for each share, of which there is one up to ``TEMPLATE_WORDS`` words, and never as a row per word.
+    """
+    columns, one_row = lines.columns, ["log_id", "line_no"]
+    prefers = [c.alias(f"o{i}") for i, c in enumerate(_preference(policy, F.col("template_id"), F.col("n_literals")))]
+    ranked = templates.select(F.struct(*prefers, F.col("template_id").alias("id")).alias("rank"), "pattern")
+    wild = F.array_contains(F.split("pattern", " "), T.WILDCARD)
+    equal = ranked.filter(~wild).groupBy("pattern").agg(F.array_sort(F.collect_list("rank")).alias("_equal"))
+    known = lines.join(equal, F.col("_spaced") == F.col("pattern"), "left").drop("pattern")
+    n_words = ranked.filter(wild).agg(F.sum(F.size(F.split("pattern", " ")))).first()[0] or 0
+    n_bytes = lines.agg(F.sum(F.octet_length("_spaced"))).first()[0] or 0
+    shares = max(1, -(-n_words // TEMPLATE_WORDS))
+    parts = max(-(-n_bytes // LINE_BYTES), lines.sparkSession.sparkContext.defaultParallelism)
+    numbers = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (shares, parts)]
+    dealt = known.withColumn("_part", F.pmod(F.xxhash64(*one_row), F.lit(parts)).cast("int")).withColumn("_share", numbers[0])
+    told = ranked.filter(wild).withColumn("_share", F.pmod(F.xxhash64("rank"), F.lit(shares)).cast("int")).withColumn("_part", numbers[1])
+    schema = dealt.select(*columns, F.col("_equal").alias("_found")).schema
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        texts, equals = rows.column("_spaced").to_pylist(), rows.column("_equal").to_pylist()
+        found = sorted(zip([tuple(r.values()) for r in own.column("rank").to_pylist()], own.column("rank").to_pylist(), own.column("pattern").to_pylist(), strict=True), key=lambda f: f[0])
+        order, ranks, matcher = [f[0] for f in found], [f[1] for f in found], Matcher([f[2] for f in found], texts[::8])
+        seen: dict[str, list] = {}
+        for text, same in zip(texts, equals, strict=True):
+            if text in seen or text is None:
+                continue
+            if one:
+                before = bisect_left(order, tuple(same[0].values())) if same else len(order)
+                at = matcher.first(text, before)
+                seen[text] = [ranks[at]] if at < before else (same or [])[:1]
+            else:
+                seen[text] = (same or []) + [ranks[at] for at in matcher.every(text)]
+        ids = [seen.get(text) or None for text in texts]
+        result = rows.select(columns).append_column("_found", pa.array(ids, rows.schema.field("_equal").type))
+        return result.filter(result.column("_found").is_valid())
+
+    pairs = dealt.groupBy("_part", "_share").cogroup(told.groupBy("_part", "_share")).applyInArrow(run, schema)
+    if shares > 1:  # equal templates come with every share
+        rest = [c for c in columns if c not in one_row]
+        every = F.array_distinct(F.flatten(F.collect_list("_found"))).alias("_found")
+        pairs = pairs.groupBy(*one_row).agg(every, *[F.first(c).alias(c) for c in rest])
+    return pairs.select(*columns, F.transform(F.array_sort("_found"), lambda f: f["id"].cast("int")).alias("template_ids"))
+
+
 def _match_by_anchor(lines: DataFrame, templates: DataFrame, policy: str) -> DataFrame:
     words = F.transform(F.array_distinct(F.split("_text", " +")), lambda w: F.concat(F.lit("w:"), w))
     grams = [

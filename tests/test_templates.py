@@ -188,6 +188,27 @@ def test_policies(spark, rows, limit):
         assert set(df.columns) <= set(found.columns)
 
 
+@pytest.mark.parametrize("words", [1_000_000, 60])
+def test_inferred_templates_are_looked_up_by_words(spark, rows, monkeypatch, words):
+    """The same ids as by regular expressions, one line at a time, without a row per word of each line."""
+    monkeypatch.setattr(templates, "TEMPLATE_WORDS", words)
+    rng = random.Random(5)
+    made = {" ".join(rng.choice(["A", "B", "C", "D", "E", "the", "the", "<*>"]) for _ in range(rng.randint(1, 6))) for _ in range(70)}
+    made = sorted({re.sub(r"<\*>( <\*>)+", "<*>", m) for m in made} | {"<*>", "A B C"})
+    lines = [" ".join(rng.choice(["A", "B", "C", "D", "E", "the", "x7"]) for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["  A   B C ", "A\tB C", "x7", "x7"]
+    df, table = lines_df(spark, *lines), templates.number_templates(spark.createDataFrame([(m,) for m in made], "shape string")).cache()
+    known = rows(table, "template_id", "pattern", "n_literals")
+    expected = {
+        at: [(i, n) for i, pattern, n in known if templates.template_matcher(pattern).fullmatch(re.sub(" {2,}", " ", line.strip(" ")))]
+        for at, line in enumerate(lines, start=1)}
+    monkeypatch.setattr(templates, "_match_by_anchor", None)
+    for policy, order in {"first": lambda t: t[0], "last": lambda t: -t[0], "most_specific": lambda t: (-t[1], t[0])}.items():
+        best = {at: sorted(found, key=order) for at, found in expected.items()}
+        assert dict(rows(templates.match_lines(df, table, policy, inline_limit=0), "line_no", "template_id")) == {at: f[0][0] for at, f in best.items() if f}
+        every = templates.match_sets(df, table, policy, inline_limit=0)
+        assert dict(rows(every, "line_no", "template_ids")) == {at: [i for i, _ in f] for at, f in best.items() if f} and every.columns == [*df.columns, "template_ids"]
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_unmatched(spark, rows, limit):
     df = lines_df(spark, "job 7", "idle", "job")
