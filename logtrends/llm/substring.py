@@ -194,8 +194,10 @@ def with_kept(docs: DataFrame, window: int, key: str = "doc_id", text: str = "te
     rows = keyed.select("doc_id", "uid", "text")
     spans = work.store(repeated_spans(rows, window, work), "spans")
     work.drop("often", "nodes", "seen", "marks", "sources")
-    marks = work.store(verified(rows, spans, window), "verified").groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "n", "digest"))).alias("spans"))
+    # a document that repeats a span (words in turn, again and again) asks once for it; its starts are no more than its words
+    once = spans.groupBy("doc_id", "uid", "src_doc", "src_uid", "src_start", "n").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    marks = work.store(verified(rows, once, window), "verified").groupBy(F.col("doc_id").alias("d"), F.col("uid").alias("u")).agg(
+        F.array_sort(F.collect_list(F.struct("starts", "n", "digest"))).alias("spans"))
     joined = keyed.join(marks, F.expr("doc_id <=> d and uid = u"), "left").select("row", "text", "spans")
     kind = joined.schema["row"].dataType.simpleString()
 
@@ -207,10 +209,10 @@ def with_kept(docs: DataFrame, window: int, key: str = "doc_id", text: str = "te
                 total.append(len(words))
                 if marked:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    for span in marked:
-                        if span_digest(words, span["start"], span["n"], window) == span["digest"]:
-                            edges[span["start"]] += 1
-                            edges[min(len(words), span["start"] + span["n"] + window - 1)] -= 1
+                    for start, n, digest in ((start, span["n"], span["digest"]) for span in marked for start in span["starts"]):
+                        if span_digest(words, start, n, window) == digest:
+                            edges[start] += 1
+                            edges[min(len(words), start + n + window - 1)] -= 1
                     stays = np.cumsum(edges[:-1]) == 0
                     words = [words[i] for i in np.flatnonzero(stays).tolist()]
                 gone.append(total[-1] - len(words))

@@ -254,6 +254,15 @@ def test_sources_verify(spark, monkeypatch):
         assert (substring.span_digest(own, r["start"], r["n"], 20) == bytes(r["digest"])) == true
 
 
+def test_a_span_is_asked_for_once_by_each_document(spark, monkeypatch):
+    """Two words in turn make a span of two windows after the other, all with one place at the source."""
+    asked, verified = [], substring.verified
+    monkeypatch.setattr(substring, "verified", lambda docs, spans_, window: asked.append(spans_.count()) or verified(docs, spans_, window))
+    docs = [(i, f"w{i} " + "over under " * (60 + i)) for i in range(6)]
+    assert spans(spark.createDataFrame(docs, "doc_id long, text string")) == sorted(brute.repeated(docs), key=repr)
+    assert asked[0] <= 3 * len(docs)
+
+
 CLASHES = ("_key _uid _d _u _spans _n_words _n_removed _kept _keep_id _keep_uid _each _host _path _good _toxic _u_good _u_toxic s_n s_good s_host s_path s_r_good _p_good _p_toxic "
            "_rejected row uid id each blank keep_id keep_uid d u spans n_words n_removed kept start n words good toxic h_n r_good quality _text _id").split()
 
