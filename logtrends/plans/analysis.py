@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -106,10 +107,18 @@ def analyze(lines: DataFrame, templates_: DataFrame | None = None, thresholds: S
 
 def sweep(lines: DataFrame, templates_: DataFrame, labelled: DataFrame, thresholds: list[float] = list(SWEEP),
           small: int = 4, k: float = 2.0) -> DataFrame:
-    """True and false positives for many thresholds."""
+    """True and false positives for many thresholds.
+
+    Distances are whole numbers, so thresholds with the same whole part have the same clusters and the same abnormal logs: these are found and counted once for all of them.
+    """
     vectors_, _, edges = behaviour(lines, templates_)
-    _, abnormal = find_abnormal(vectors_, edges, thresholds, small, k=k)
-    return difflog.detection_counts(abnormal, labelled, thresholds)
+    first: dict[int, float] = {}
+    tried = [first.setdefault(math.floor(t), t) if t > 0 else t for t in thresholds]
+    _, abnormal = find_abnormal(vectors_, edges, list(dict.fromkeys(tried)), small, k=k)
+    counts = difflog.detection_counts(abnormal, labelled, list(dict.fromkeys(tried)))
+    alike = F.map_from_entries(F.array(*[
+        F.struct(F.lit(float(tried_)), F.array(*[F.lit(float(t)) for t, own in zip(thresholds, tried, strict=True) if own == tried_])) for tried_ in dict.fromkeys(tried)]))
+    return counts.select(F.explode(alike[F.col("threshold")]).alias("threshold"), "true_positive", "false_positive")
 
 
 def labelled_by_line(lines: DataFrame, word: str = "error") -> DataFrame:

@@ -120,6 +120,16 @@ def test_whole_analysis(spark, rows):
     assert rows(counts) == [(0.5, 2, 0), (2.9, 2, 0)]
 
 
+def test_thresholds_with_one_whole_part_are_analysed_once(spark, rows, monkeypatch):
+    lines, table = make_lines(spark, normal_and_strange()), pattern_df(spark, "close *", "open *", "work *")
+    labelled, thresholds = analysis.labelled_by_name(lines), [0.5, 2.9, 0.9, 0.0, 2.0, 1.5, 0.5]
+    alone = [rows(analysis.sweep(lines, table, labelled, [t], small=1))[0] for t in thresholds if t]
+    tried, find = [], analysis.find_abnormal
+    monkeypatch.setattr(analysis, "find_abnormal", lambda v, e, of, *rest, **named: tried.extend(of) or find(v, e, of, *rest, **named))
+    assert sorted(rows(analysis.sweep(lines, table, labelled, thresholds, small=1))) == sorted([*alone, (0.0, 0, 0)])
+    assert sorted(tried) == [0.0, 0.5, 1.5, 2.9]
+
+
 def test_several_thresholds_are_one_analysis_each(spark, rows):
     lines, table = make_lines(spark, normal_and_strange()), pattern_df(spark, "close *", "open *", "work *")
     both = analysis.analyze(lines, table, [0.5, 1.5], [0.5, 2.5], small=1)
