@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from logtrends.operators.order import number_rows
 from logtrends.operators.templates import compile_templates
 
+#: Events that one task gives their documents. Does not change a result.
+EVENTS_PER_TASK = 100_000
+
 
 def few_splits(df: DataFrame) -> bool:
     """Whether a scan has fewer tasks than there are cores, as with one small file."""
@@ -116,8 +119,10 @@ def posts_from(events: DataFrame, documents: DataFrame, n_docs: int) -> DataFram
 
 
 def posts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return posts_from(table(spark, sf_dir, "events"), documents, documents.count())
+    """Events that meet their documents in tasks of about ``EVENTS_PER_TASK``: each gets a whole text, so tasks made by the size of the events alone would grow large."""
+    documents, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    n_docs, tasks = documents.count(), max(-(-events.count() // EVENTS_PER_TASK), spark.sparkContext.defaultParallelism)
+    return posts_from(events.repartition(tasks, F.pmod("event_id", F.lit(n_docs))), documents, n_docs)
 
 
 def post_records(posts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtrends.functions.keywords import keywords
 from logtrends.operators import posts as P, trends
+from logtrends.plans import bindings
 from logtrends.sources import posts as S
 from logtrends.streaming import live, store as store_module
 from logtrends.streaming.store import CounterStore
@@ -243,3 +244,11 @@ def test_batches_that_add(spark, rows, tmp_path, monkeypatch):
     store.commit(counts_df(spark, a=300, c=7), 1, "two")
     assert rows(store.read(), "keyword", "score") == [("a", 341), ("b", None), ("c", 7)]
     assert len(store._manifest()[1]["segments"]) <= 5
+
+
+def test_posts_are_made_in_more_tasks_for_more_events(spark, monkeypatch):
+    """Events are small and get whole texts: adaptive execution would join them in a few tasks."""
+    monkeypatch.setattr(bindings, "EVENTS_PER_TASK", 20)
+    made = bindings.posts_table(spark, "/root/testdata/sf0.001")
+    tasks = made.filter("type = 'reddit'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert made.count() == 1000 and tasks > 25
