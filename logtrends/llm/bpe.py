@@ -1,6 +1,6 @@
 """Byte-pair vocabularies read from a tokenizer file, and their merging rule on plain symbols.
 
-The file's path is a parameter; it is read once per Python worker and never copied.
+The file's path is a parameter; it is read once by a Python worker, which keeps it until tasks of another kind call ``forget``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import regex
 
-from logtrends.llm.common import WordCache
+from logtrends.llm.common import WordCache, kept_by_worker
 
 #: White space beyond ASCII; ``_agrees`` checks it against the library like every other character.
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,7 +28,7 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache
+@kept_by_worker
 def library(path: str):
     """The tokenizers library's own reading of the file, without truncation and padding."""
     from tokenizers import Tokenizer
@@ -167,7 +167,7 @@ class Vocabulary:
         return done, [x for x in ids if x >= 0] if keep else []
 
 
-@lru_cache
+@kept_by_worker
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -222,7 +222,7 @@ def text_coder(vocab: Vocabulary, of_word: Callable[[str], bytes], kind: str = "
     return encode
 
 
-@lru_cache
+@kept_by_worker
 def library_encoder(path: str, kind: str = "I") -> Callable[[str | None], bytes]:
     """Text -> its ids as the tokenizers library gives them, without added tokens, special strings as it does by default.
 

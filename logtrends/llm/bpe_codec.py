@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtrends.llm.bpe import Vocabulary, byte_merger, text_coder, vocabulary
-from logtrends.llm.common import byte_slices
+from logtrends.llm.common import byte_slices, kept_by_worker
 
 
 #: Bytes of texts, or of ids, that are worked on at once.
@@ -39,7 +38,7 @@ def fragments(raw: bytes, joined: set[bytes]) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)] if cuts else [raw]
 
 
-@lru_cache
+@kept_by_worker
 def text_encoder(path: str):
     """A function from text to its packed ids."""
     vocab = vocabulary(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,26 @@ class Workspace:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# -- what a Python worker keeps ------------------------------------------------------------------
+
+_KEPT: list = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """``make``, whose results a Python worker keeps for its next tasks until one of them calls ``forget``."""
+    _KEPT.append(lru_cache(make))
+    return _KEPT[-1]
+
+
+def forget() -> None:
+    """Give up the vocabularies and word caches that earlier tasks left in this Python worker, which outlives them.
+
+    Called by tasks that need none of them, so that they do not work beside idle caches."""
+    for cache in _KEPT:
+        cache.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 # -- words ---------------------------------------------------------------------------------------
 
 #: Words of one generation of a cache, of which it holds two; longer words are never kept.

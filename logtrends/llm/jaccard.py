@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, byte_slices, components, hashed_texts, mix, run_hashes, text_bytes
+from logtrends.llm.common import Workspace, byte_slices, components, forget, hashed_texts, mix, run_hashes, text_bytes
 
 #: N-grams of one block of a family; columns of the block products.
 BLOCK, COLUMNS = 1 << 20, 4_096
 #: Bytes of texts worked on at once.
-SLICE = 1 << 24
+SLICE = 1 << 21
 KEY, SIGNED = "doc_id long, uid long", "high long, low long, size int, bands array<long>"
 
 
@@ -75,6 +75,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, uid, high, low, size, bands) of (doc_id, uid, text) rows; texts without words have size 0 and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         keys, factors = _functions(bands * rows)
         number = np.arange(bands, dtype=np.uint64)
         for batch in byte_slices(batches, 2, SLICE):
@@ -101,6 +102,7 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     """(v, grams): the sorted n-gram hashes of (v, text) rows, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in byte_slices(batches, 1, SLICE):
             v, sets, held = [], [], 0
             for key, grams in zip(batch.column(0).to_pylist(), ngram_sets(text_bytes(batch.column(1)), n), strict=True):

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from logtrends.llm.bpe import library_encoder
 from logtrends.llm.common import Workspace, byte_slices
 
+#: Bytes of texts, and of their ids, worked on at once.
+SLICE = 1 << 21
+
 
 def binary_lengths(n: int, longest: int) -> list[int]:
     """Powers of two that add up to ``n``, largest first, none above ``longest``."""
@@ -40,7 +43,7 @@ def pack(docs: DataFrame, path: str, longest: int = 1024, end_id: int = 0, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, made = library_encoder(path), TaskContext.get().partitionId(), defaultdict(int)
         end = array("I", [end_id]).tobytes()
-        for batch in byte_slices(batches, 1, 1 << 24):
+        for batch in byte_slices(batches, 1, SLICE):
             rows: list[list] = [[] for _ in range(6)]
             held = 0
             for row, text_ in enumerate(batch.column(1).to_pylist()):
@@ -53,7 +56,7 @@ def pack(docs: DataFrame, path: str, longest: int = 1024, end_id: int = 0, key:
                     made[n] += 1
                     at += n
                 held += len(ids)
-                if held > 1 << 24:
+                if held > SLICE:
                     yield piece_batch(batch, rows, part)
                     rows, held = [[] for _ in range(6)], 0
             yield piece_batch(batch, rows, part)

@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtrends.llm.common import Workspace, byte_slices, hashes_of_texts, runs_of, text_bytes
+from logtrends.llm.common import Workspace, byte_slices, forget, hashes_of_texts, runs_of, text_bytes
 
 #: Words of a minimizer; bytes of a window's hash, all of which are kept.
 MINIMIZER, WIDTH = 8, 8
 #: Spans that one task reads in one source; bytes of texts worked on at once, and of texts whose words are hashed together.
-ASKED, SLICE, TOGETHER = 10_000, 1 << 24, 1 << 19
+ASKED, SLICE, TOGETHER = 10_000, 1 << 21, 1 << 19
 PATHS = "anchor long, doc_id long, uid long, start int, n int, windows binary"
 
 
@@ -75,6 +75,7 @@ def paths(docs: DataFrame, window: int, minimizer: int) -> DataFrame:
     """All paths of (doc_id, uid, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in byte_slices(batches, 2, TOGETHER):
             anchors, of, starts, counts, wide = paths_of(*hashes_of_texts(list(text_bytes(batch.column(2)))), window, minimizer)
             ends = np.concatenate([[0], np.cumsum(counts)]) * WIDTH
@@ -173,6 +174,7 @@ def verified(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     read = found.dropDuplicates(["d", "u", "part"]).select("d", "u", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in byte_slices(batches, 2, SLICE):
             rows = []
             for doc, uid, raw, spans_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
@@ -202,6 +204,7 @@ def with_kept(docs: DataFrame, window: int, key: str = "doc_id", text: str = "te
     kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in byte_slices(batches, 1, SLICE):
             total, gone, kept = [], [], []
             for raw, marked in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):

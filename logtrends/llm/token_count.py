@@ -10,7 +10,6 @@ table gives no rows; other columns of the input, whatever their names, take no p
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtrends.llm.bpe import vocabulary
-from logtrends.llm.common import WordCache, byte_slices
+from logtrends.llm.common import WordCache, byte_slices, kept_by_worker
 
 
-@lru_cache
+@kept_by_worker
 def text_counter(path: str):
     """A function from text to its number of tokens; one per worker, with the words it has seen."""
     vocab = vocabulary(path)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -300,6 +301,41 @@ def test_texts_are_worked_on_in_slices(spark, odd, odd_docs, monkeypatch):
     assert [b.column(0).to_pylist() for b in byte_slices(iter([batch, batch.slice(5)]), 1, 10)] == [[1, 2], [3], [4, 5]]
 
 
+def test_pieces_are_made_in_slices(spark, odd, odd_docs, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 1_000)
+    check_pieces(packing.pack(odd_docs, BYTE).collect(), odd)
+
+
+def test_words_of_the_sample_are_listed_in_slices(monkeypatch):
+    texts = ["Bad words here, " + "x" * n for n in range(50)] + [None, "unjudged"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1] * 52), pa.array([n % 2 for n in range(50)] + [1, None])], ["t", "q", "toxic"])
+    whole = [r for b in quality.listed_words(iter([batch])) for r in b.to_pylist()]
+    assert whole == [{"word": w, "toxic": n % 2} for n, t in enumerate(texts[:50]) for w in sorted(quality.lower_words(np.frombuffer(t.encode(), np.uint8)))]
+    monkeypatch.setattr(quality, "LISTED", 100)
+    parts = list(quality.listed_words(iter([batch])))
+    assert len(parts) > 10 and [r for b in parts for r in b.to_pylist()] == whole
+
+
+class Here:
+    """Stands for a DataFrame whose only batch is worked on in this process."""
+
+    def __init__(self, *columns):
+        self.batch = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_tasks_give_up_what_others_left():
+    """A Python worker outlives its tasks: those that need no vocabulary don't work beside one, nor beside the words it has seen."""
+    ids, texts = pa.array([1]), pa.array(["some words of a text " * 9])
+    for task in (lambda: substring.paths(Here(ids, ids, texts), 20, 8), lambda: jaccard.signed(Here(ids, ids, texts), 5, 2, 6), lambda: jaccard.gram_sets(Here(ids, texts), 5),
+                 lambda: list(quality.listed_words(iter([Here(texts, ids, ids).batch])))):
+        left = [weakref.ref(made) for made in (bpe.library_encoder(BYTE), bpe_codec.text_encoder(BYTE), token_count.text_counter(BYTE), bpe.vocabulary(BYTE))]
+        assert all(made() for made in left)
+        assert task() and not any(made() for made in left)
+
+
 def brute_posteriors(rows, prior):
     """Plain version of the rates of hosts and paths for one kind of evidence: (id, host, path, log odds) -> probability."""
     share = [round(1_000_000 / (1 + math.exp(-(x + quality.logit(prior))))) / 1e6 for _, _, _, x in rows]
