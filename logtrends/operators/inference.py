@@ -14,9 +14,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 
@@ -25,6 +27,9 @@ from logtrends.functions.text import WILDCARD
 NEVER = 2**62
 #: Words of the first block inside a task; every further one is twice as long.
 FIRST_BLOCK = 20_000
+#: Lines that are compared without a look at the order of their words; share of the lines from which a word counts as common. Neither changes a result.
+FEW, COMMON = 3, 32
+NEVER_HERE = 2**30
 Row = tuple[int, str, int]
 
 
@@ -161,31 +166,133 @@ class Cover:
                     break
         return before
 
-    def all_of(self, shape: str, words: frozenset[str]) -> list[int]:
-        """The seeds of all templates that cover the shape."""
-        near = (template for word in words & self.by_word.keys() for template in self.by_word[word])
-        return [template.seed for template in near if template.needed <= words and template.covers(shape)]
 
+class Lines:
+    """Different lines, to be asked for those that a template matches. A set of lines is a whole number with one bit for each.
 
-class Matcher:
-    """Templates in the order of preference, to be looked up by the words of a line."""
-
-    def __init__(self, texts: list[str], lines: Iterable[str]):
-        """``lines`` tell which words are rare; a share of those to be matched will do."""
-        count: Counter = Counter()
-        for line in lines:
-            count.update(frozenset(line.split(" ")))
-        found = [Template(at, text) for at, text in enumerate(texts)]
-        self.universal = [t.seed for t in found if not t.needed]
-        self.cover = Cover([t for t in found if t.needed], count)
-
-    def first(self, line: str, before: int = NEVER) -> int:
-        """The first template that matches, ``before`` if none stands in front of that."""
-        before = min([before, *self.universal[:1]])
-        return self.cover.taken(NEVER, line, frozenset(line.split(" ")), before)
+    A template is first told from its words: the lines with all of them, then those with the right word at a closed end and with each word before the one
+    that follows it in the template. Only the few that are left are compared, so that a line does not meet every template that shares a word with it.
+    """
 
-    def every(self, line: str) -> list[int]:
-        return sorted([*self.universal, *self.cover.all_of(line, frozenset(line.split(" ")))])
+    def __init__(self, texts: list[str]):
+        self.texts, self.codes = texts, {}
+        codes: dict[str, int] = self.codes
+        words, lengths = array("i"), np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = text.split(" ")
+            words.extend([codes.setdefault(w, len(codes)) for w in own])
+            lengths[i] = len(own)
+        code, ends = np.frombuffer(words, np.int32), np.cumsum(lengths)
+        self._ends = {"first": code[ends - lengths], "last": code[ends - 1]} if texts else {}
+        order = np.argsort(code, kind="stable")
+        self._line = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[order]
+        self._place = (np.arange(len(code)) - np.repeat(ends - lengths, lengths)).astype(np.int32)[order]
+        self._from = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(codes)))]).tolist()
+        self._sets: dict[tuple, int] = {}
+        self._places: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _count(self, word: str) -> int:
+        code = self.codes[word]
+        return self._from[code + 1] - self._from[code]
+
+    def _set(self, members: np.ndarray) -> int:
+        if len(members) < 20:
+            found = 0
+            for i in members.tolist():
+                found |= 1 << i
+            return found
+        marks = np.zeros(len(self.texts), bool)
+        marks[members] = True
+        return _number(marks)
+
+    def _own(self, word: str) -> slice:
+        code = self.codes[word]
+        return slice(self._from[code], self._from[code + 1])
+
+    def _with(self, word: str) -> int:
+        if (found := self._sets.get((word,))) is None:
+            found = self._sets[word,] = self._set(self._line[self._own(word)])
+        return found
+
+    def _at_end(self, end: str, word: str) -> int:
+        if (found := self._sets.get((end, word))) is None:
+            found = self._sets[end, word] = self._set(np.flatnonzero(self._ends[end] == self.codes[word]))
+        return found
+
+    def _around(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last place of a word in each line."""
+        if (found := self._places.get(word)) is None:
+            line, place = self._line[self._own(word)], self._place[self._own(word)]
+            found = self._places[word] = np.full(len(self.texts), NEVER_HERE, np.int32), np.full(len(self.texts), -1, np.int32)
+            found[0][line[::-1]], found[1][line] = place[::-1], place
+        return found
+
+    def _before(self, left: str, right: str) -> int:
+        """Lines in which ``left`` stands somewhere before ``right``."""
+        if (found := self._sets.get(("before", left, right))) is None:
+            found = self._sets["before", left, right] = _number(self._around(left)[0] < self._around(right)[1])
+        return found
+
+    def matching(self, template: str, among: int) -> list[int]:
+        """The numbers of the lines of the set ``among`` that the template matches."""
+        words = template.split(" ")
+        needed = set(words)
+        needed.discard(WILDCARD)
+        if not among or not needed <= self.codes.keys():
+            return []
+        for word in sorted(needed, key=self._count):
+            among &= self._with(word)
+            if not among:
+                return []
+        for end, word in (("first", words[0]), ("last", words[-1])):
+            if word != WILDCARD:
+                among &= self._at_end(end, word)
+        if among.bit_count() > FEW:
+            common = len(self.texts) // COMMON
+            plain = [w for w in words if w != WILDCARD]
+            for left, right in set(pairwise(plain)):
+                if self._count(left) > common and self._count(right) > common:
+                    among &= self._before(left, right)
+                    if not among:
+                        return []
+        covers = Template(0, template).covers
+        return [i for i in _members(among) if covers(self.texts[i])]
+
+
+def _number(marks: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+
+
+def _members(found: int) -> list[int]:
+    if found.bit_count() > FEW:
+        raw = np.frombuffer(found.to_bytes(-(-found.bit_length() // 8), "little"), np.uint8)
+        return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+    out = []
+    while found:
+        lowest = found & -found
+        out.append(lowest.bit_length() - 1)
+        found ^= lowest
+    return out
+
+
+def match_all(texts: list[str], templates: Iterable[tuple[tuple, str]], equal: list[tuple | None] | None = None) -> Iterator[tuple[int, tuple]]:
+    """(number of the line, rank of the template) for all different lines and the templates, (rank, text) in the order of their ranks.
+
+    With ``equal``, only the first template of each line, and none unless it stands before the rank that ``equal`` has for the line.
+    """
+    lines, left = Lines(texts), (1 << len(texts)) - 1
+    known = sorted((rank, i) for i, rank in enumerate(equal or []) if rank is not None)
+    known.reverse()
+    for rank, template in templates:
+        while known and known[-1][0] <= rank:
+            left &= ~(1 << known.pop()[1])
+        if not left:
+            break
+        found = _members(left) if template == WILDCARD else lines.matching(template, left)
+        for i in found:
+            yield i, rank
+        if equal is not None and found:
+            left &= ~lines._set(np.array(found))
 
 
 class Waiting:

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtrends.functions import text as T
-from logtrends.operators.inference import NEVER, Matcher, common_template, lcs_table, left_of, run_blocks, template_matcher  # noqa: F401
+from logtrends.operators.inference import NEVER, common_template, lcs_table, left_of, match_all, run_blocks, template_matcher  # noqa: F401
 from logtrends.operators.order import number_all
-from logtrends.session import Scratch
+from logtrends.session import Scratch, scratch_path
 
 #: Words that one task of the template inference looks at; parts of the order in one round. Neither changes a result.
 WORDS_PER_TASK, PARTS = 1_000_000, 4_096
 MERGED, ALONE, LEFT = "merged", "alone", "left"
 INLINE_TEMPLATES = 256
-#: Bytes of the lines and words of the templates with wildcards that one task matches. Neither changes a result.
-LINE_BYTES, TEMPLATE_WORDS = 8_000_000, 1_000_000
+#: Bytes of the lines that a task matches at once; words of the templates with wildcards that it reads at a time, about. Neither changes a result.
+LINE_BYTES, TEMPLATE_WORDS = 16_000_000, 100_000
 POLICIES = ("first", "last", "most_specific")
 
 
@@ -343,50 +345,65 @@ def _match_many(lines: DataFrame, templates: DataFrame, policy: str, one: bool =
 def _match_by_words(lines: DataFrame, templates: DataFrame, policy: str, one: bool) -> DataFrame:
     """Matches of inferred templates.
 
-    A template without wildcard is equal to the lines it matches: a join. The others (far fewer) are looked up by their rarest word in tasks that hold a part of the
-    lines and a share of these templates; a line moves once for each share, of which there is one up to ``TEMPLATE_WORDS`` words, and never as a row per word.
+    A template without wildcard is equal to the lines it matches: a join. The others (far fewer) are written once, in the order of preference, and every task reads
+    them, a few at a time, for each block of its lines. So no line moves for them, and what a task holds depends neither on the lines nor on the templates.
     """
-    columns, one_row = lines.columns, ["log_id", "line_no"]
+    columns, path = lines.columns, scratch_path(lines.sparkSession, "templates")
     prefers = [c.alias(f"o{i}") for i, c in enumerate(_preference(policy, F.col("template_id"), F.col("n_literals")))]
     ranked = templates.select(F.struct(*prefers, F.col("template_id").alias("id")).alias("rank"), "pattern")
     wild = F.array_contains(F.split("pattern", " "), T.WILDCARD)
     equal = ranked.filter(~wild).groupBy("pattern").agg(F.array_sort(F.collect_list("rank")).alias("_equal"))
     known = lines.join(equal, F.col("_spaced") == F.col("pattern"), "left").drop("pattern")
-    n_words = ranked.filter(wild).agg(F.sum(F.size(F.split("pattern", " ")))).first()[0] or 0
-    n_bytes = lines.agg(F.sum(F.octet_length("_spaced"))).first()[0] or 0
-    shares = max(1, -(-n_words // TEMPLATE_WORDS))
-    parts = max(-(-n_bytes // LINE_BYTES), lines.sparkSession.sparkContext.defaultParallelism)
-    numbers = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (shares, parts)]
-    dealt = known.withColumn("_part", F.pmod(F.xxhash64(*one_row), F.lit(parts)).cast("int")).withColumn("_share", numbers[0])
-    told = ranked.filter(wild).withColumn("_share", F.pmod(F.xxhash64("rank"), F.lit(shares)).cast("int")).withColumn("_part", numbers[1])
-    schema = dealt.select(*columns, F.col("_equal").alias("_found")).schema
-
-    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        texts, equals = rows.column("_spaced").to_pylist(), rows.column("_equal").to_pylist()
-        found = sorted(zip([tuple(r.values()) for r in own.column("rank").to_pylist()], own.column("rank").to_pylist(), own.column("pattern").to_pylist(), strict=True), key=lambda f: f[0])
-        order, ranks, matcher = [f[0] for f in found], [f[1] for f in found], Matcher([f[2] for f in found], texts[::8])
-        seen: dict[str, list] = {}
-        for text, same in zip(texts, equals, strict=True):
-            if text in seen or text is None:
-                continue
-            if one:
-                before = bisect_left(order, tuple(same[0].values())) if same else len(order)
-                at = matcher.first(text, before)
-                seen[text] = [ranks[at]] if at < before else (same or [])[:1]
-            else:
-                seen[text] = (same or []) + [ranks[at] for at in matcher.every(text)]
-        ids = [seen.get(text) or None for text in texts]
-        result = rows.select(columns).append_column("_found", pa.array(ids, rows.schema.field("_equal").type))
-        return result.filter(result.column("_found").is_valid())
-
-    pairs = dealt.groupBy("_part", "_share").cogroup(told.groupBy("_part", "_share")).applyInArrow(run, schema)
-    if shares > 1:  # equal templates come with every share
-        rest = [c for c in columns if c not in one_row]
-        every = F.array_distinct(F.flatten(F.collect_list("_found"))).alias("_found")
-        pairs = pairs.groupBy(*one_row).agg(every, *[F.first(c).alias(c) for c in rest])
+    ranked.filter(wild).sort("rank").write.parquet(path)
+    schema = known.select(*columns, F.col("_equal").alias("_found")).schema
+    n_bytes, at_once = LINE_BYTES, max(1, TEMPLATE_WORDS // 32)
+
+    def run(batches):
+        for rows in _blocks(batches, "_spaced", n_bytes):
+            number: dict[str, int] = {}
+            texts, equals = rows.column("_spaced").to_pylist(), rows.column("_equal").to_pylist()
+            own = [None if text is None else number.setdefault(text, len(number)) for text in texts]
+            found: list[list] = [[] for _ in number]
+            for i, same in zip(own, equals, strict=True):
+                if i is not None and not found[i]:
+                    found[i] = list(same or [])
+            names = list(rows.schema.field("_equal").type.value_type)
+            first = [tuple(f[0].values()) if f else None for f in found] if one else None
+            for i, rank in match_all(list(number), _read_ranked(path, at_once), first):
+                told = {field.name: value for field, value in zip(names, rank, strict=True)}
+                found[i] = [told] if one else found[i] + [told]
+            ids = pa.array([(found[i] or None) if i is not None else None for i in own], rows.schema.field("_equal").type)
+            result = rows.select(columns).append_column("_found", ids)
+            yield from result.filter(result.column("_found").is_valid()).to_batches(max_chunksize=10_000)
+
+    pairs = known.mapInArrow(run, schema)
     return pairs.select(*columns, F.transform(F.array_sort("_found"), lambda f: f["id"].cast("int")).alias("template_ids"))
 
 
+def _read_ranked(path: str, at_once: int) -> Iterator[tuple[tuple, str]]:
+    """(rank, pattern) of a sorted table, whose part files are named in order."""
+    files, root = fs.FileSystem.from_uri(path)
+    found = files.get_file_info(fs.FileSelector(root))
+    for part in sorted(f.path for f in found if f.base_name.startswith("part-")):
+        with files.open_input_file(part) as source:
+            for batch in pq.ParquetFile(source).iter_batches(at_once):
+                for rank, pattern in zip(batch.column("rank").to_pylist(), batch.column("pattern").to_pylist(), strict=True):
+                    yield tuple(rank.values()), pattern
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, n_bytes: int) -> Iterator[pa.Table]:
+    """The batches, joined up to tables with about ``n_bytes`` in a column of texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= n_bytes:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _match_by_anchor(lines: DataFrame, templates: DataFrame, policy: str) -> DataFrame:
     words = F.transform(F.array_distinct(F.split("_text", " +")), lambda w: F.concat(F.lit("w:"), w))
     grams = [

@@ -209,6 +209,48 @@ def test_inferred_templates_are_looked_up_by_words(spark, rows, monkeypatch, wor
         assert dict(rows(every, "line_no", "template_ids")) == {at: [i for i, _ in f] for at, f in best.items() if f} and every.columns == [*df.columns, "template_ids"]
 
 
+@pytest.mark.parametrize("few, common", [(3, 32), (0, 10**9), (0, 4)])
+def test_lines_told_from_sets_are_those_that_templates_cover(monkeypatch, few, common):
+    """All matches, and the first one before a given rank, as one comparison at a time gives them."""
+    monkeypatch.setattr(inference, "FEW", few)
+    monkeypatch.setattr(inference, "COMMON", common)
+    rng = random.Random(3)
+    made = sorted({collapse(" ".join(rng.choice([*WORDS, "E", "<*>"]) for _ in range(rng.randint(1, 6)))) for _ in range(300)})
+    lines = sorted({" ".join(rng.choice(["A", "B", "C", "D", "E", "x"]) for _ in range(rng.randint(1, 9))) for _ in range(200)}) + ["", "  "]
+    ranked = [((i,), m) for i, m in enumerate(made)]
+    every = {(i, rank) for rank, m in ranked for i, line in enumerate(lines) if templates.template_matcher(m).fullmatch(line)}
+    assert set(inference.match_all(lines, ranked)) == every
+    equal = [(rng.randrange(300),) if rng.random() < 0.5 else None for _ in lines]
+    first = {}
+    for i, rank in sorted(every):
+        if equal[i] is None or rank < equal[i]:
+            first.setdefault(i, rank)
+    assert dict(inference.match_all(lines, ranked, equal)) == first
+    assert list(inference.match_all([], ranked)) == []
+
+
+def test_a_line_is_compared_with_few_of_the_templates_whose_words_it_has(monkeypatch):
+    """Lines with all the common words meet hardly any of the templates that have these in another order."""
+    calls, covers = [], inference.Template.covers
+    monkeypatch.setattr(inference.Template, "covers", lambda self, text: calls.append(text) or covers(self, text))
+    rng, words = random.Random(9), [f"w{i}" for i in range(10)]
+    made = [" <*> ".join(rng.sample(words, 10)) for _ in range(200)]
+    lines = sorted({" z ".join(rng.sample(words, 10)) for _ in range(200)} | {made[7].replace("<*>", "z")})
+    assert [rank for _, rank in inference.match_all(lines, [((i,), m) for i, m in enumerate(made)])] == [(7,)]
+    assert len(calls) < len(lines) * len(made) / 100
+
+
+def test_lines_do_not_move_for_the_templates_with_wildcards(spark, monkeypatch):
+    """One shuffle by the line, to meet equal templates; none by block and share of the templates."""
+    monkeypatch.setattr(templates, "TEMPLATE_WORDS", 6)
+    made = [f"a{i} <*> b{i}" for i in range(9)] + ["a1 x b1"]
+    table = templates.number_templates(spark.createDataFrame([(m,) for m in made], "shape string")).cache()
+    found = templates.match_lines(lines_df(spark, *[f"a{i} x b{i}" for i in range(9)]), table, "first", inline_limit=0)
+    assert found.count() == 9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_unmatched(spark, rows, limit):
     df = lines_df(spark, "job 7", "idle", "job")
