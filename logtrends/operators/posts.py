@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +42,35 @@ def _dealt(words: Column, parts: Column) -> Column:
     return F.filter(F.when(parts > 1, own).otherwise(whole), lambda d: d["_words"].isNotNull())
 
 
-def gathered(posts: DataFrame, period: Column, words: Column, *columns: str | Column) -> tuple[DataFrame, int]:
+class Sizes(NamedTuple):
+    """Number of posts, and the parts of each period that has many of them: (period, parts)."""
+
+    total: int
+    large: list
+
+    @classmethod
+    def of(cls, posts: DataFrame, period: Column) -> Sizes:
+        """The list of periods is short, as each of them stands for ``POSTS_PER_PART`` posts."""
+        sizes = posts.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"))
+        many = F.collect_list(F.when(F.col("n") > POSTS_PER_PART, F.struct("period", F.least(F.ceil(F.col("n") / POSTS_PER_PART), F.lit(PARTS)).alias("parts"))))
+        total, large = sizes.agg(F.sum("n"), many).first()
+        return cls(total or 0, large)
+
+    def share(self, shares: int) -> Sizes:
+        """Those of one of some shares of the periods, about."""
+        return Sizes(-(-self.total // shares), self.large)
+
+
+def gathered(posts: DataFrame, period: Column, words: Column, *columns: str | Column, sizes: Sizes | None = None) -> tuple[DataFrame, int]:
     """``period, part, _words`` and ``columns`` of posts with keywords, and the number of partitions: all occurrences of a keyword in a period are in one.
 
     Posts move once, before they become a row per keyword: what is grouped by period, part and more needs no further shuffle. The keywords of
     a period with many posts are dealt out to parts, so that a task holds about as much at every size and however the posts lie in time. The posts of each period are
-    counted first; the list of those with many is short, as each stands for ``POSTS_PER_PART`` posts.
+    counted first, unless ``sizes`` tells them.
     """
-    sizes = posts.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    many = F.collect_list(F.when(F.col("n") > POSTS_PER_PART, F.struct("period", F.least(F.ceil(F.col("n") / POSTS_PER_PART), F.lit(PARTS)).alias("parts"))))
-    total, large = sizes.agg(F.sum("n"), many).first()
+    total, large = sizes or Sizes.of(posts, period)
     spark, one = posts.sparkSession, F.lit(1).cast("bigint")
-    tasks = max(-(-(total or 0) // POSTS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(-(-total // POSTS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = posts.select(period.alias("period"), *columns, words.alias("_all"))
     if large:
         listed = spark.createDataFrame(large, "period timestamp, parts bigint").withColumnRenamed("period", "_period")
@@ -96,7 +115,17 @@ def both_sums() -> list:
     return sums + [F.count_if(F.col("type") == kind).alias(f"n_{kind}") for kind in COUNTERS]
 
 
-def both_minutes(posts: DataFrame, width: str | None = None) -> DataFrame:
+def both_sizes(posts: DataFrame, width: str | None = None) -> Sizes:
+    """The posts that ``both_minutes`` counts."""
+    return Sizes.of(posts.filter(F.col("type").isin(*COUNTERS)), _period(width))
+
+
+def _period(width: str | None) -> Column:
+    minute = F.date_trunc("minute", "ts")
+    return F.window(minute, width)["start"] if width else minute
+
+
+def both_minutes(posts: DataFrame, width: str | None = None, sizes: Sizes | None = None) -> DataFrame:
     """Counters of both sources per minute and keyword, from one scan and one shuffle.
 
     With ``width``, a number of minutes such as ``1 hour``, there are two further columns: ``period``, the start of the window of that width, and ``part``.
@@ -104,9 +133,9 @@ def both_minutes(posts: DataFrame, width: str | None = None) -> DataFrame:
     """
     words, counters = _both(posts)
     minute = F.date_trunc("minute", "ts")
-    period = F.window(minute, width)["start"] if width else minute
     names = [f"{kind}_{name}" for kind, fields in COUNTERS.items() for name in fields.values()]
-    packed, _ = gathered(posts.filter(F.col("type").isin(*COUNTERS)), period, words, *[minute.alias("minute")] * bool(width), "type", *counters)
+    own = posts.filter(F.col("type").isin(*COUNTERS))
+    packed, _ = gathered(own, _period(width), words, *[minute.alias("minute")] * bool(width), "type", *counters, sizes=sizes)
     keys = ["period", "part", *["minute"] * bool(width), "keyword"]
     found = packed.select(*keys[:-1], "type", *names, _unpacked()).groupBy(*keys).agg(*both_sums())
     return found if width else found.withColumnRenamed("period", "minute").drop("part")

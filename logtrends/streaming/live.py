@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logtrends.operators.posts import COUNTERS, TEXT_FIELD, both_minutes, keyword_minute
+from logtrends.operators.posts import COUNTERS, TEXT_FIELD, Sizes, both_minutes, both_sizes, keyword_minute
 from logtrends.operators.trends import minute_scores, replace_ranking, scores_of, trend_now, trend_windows
+from logtrends.session import shuffles_dropped
 from logtrends.streaming.store import CounterStore
 
 
@@ -69,20 +70,35 @@ class OpenPosts:
         fs.delete(path, True)
 
 
-def _start_closing(posts: DataFrame, work: Callable[[DataFrame], DataFrame], width: str, path: str, checkpoint: str, delay: str,
+#: Posts of closed periods whose keywords are on the executors' disks at one time, about. Does not change a result.
+POSTS_PER_SLICE = 2_000_000
+
+
+def _start_closing(posts: DataFrame, work: Callable[[DataFrame, Sizes], DataFrame], width: str, path: str, checkpoint: str, delay: str,
                    available_now: bool) -> StreamingQuery:
-    """Write ``work`` on the posts of all periods that a batch closes. Batches have folders of their own, so that one that is repeated replaces its first attempt."""
+    """Write ``work`` on the posts of all periods that a batch closes. Batches have folders of their own, so that one that is repeated replaces its first attempt.
+
+    A batch that closes very many posts (the first one of a stream that has been waiting may hold all of them) does its periods in slices: the shuffle files of a
+    slice are removed before the next one begins. Every slice goes through the posts of the batch again, but only its own become keywords.
+    """
     texts, fields = TEXT_FIELD.values(), [f for kind in COUNTERS.values() for f in kind]
 
     def close(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         kept = OpenPosts(batch.sparkSession, checkpoint, delay)
-        new, mark = kept.arrived(batch, batch_id)
-        known = new.filter(F.col("type").isin(*COUNTERS)).select("ts", "type", *texts, *fields)
-        every, end = kept.with_open(known, batch_id), F.window("ts", width)["end"]
-        closed = F.coalesce(end <= mark, F.lit(False))
-        work(every.filter(closed)).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
-        kept.store(batch_id, mark, every.filter(~closed))
+        with shuffles_dropped(batch.sparkSession):
+            new, mark = kept.arrived(batch, batch_id)
+            known = new.filter(F.col("type").isin(*COUNTERS)).select("ts", "type", *texts, *fields)
+            every, end = kept.with_open(known, batch_id), F.window("ts", width)["end"]
+            over = F.coalesce(end <= mark, F.lit(False))
+            closed = every.filter(over)
+            sizes = both_sizes(closed, width if width != "1 minute" else None)
+            slices = max(1, -(-sizes.total // POSTS_PER_SLICE))
+            for i in range(slices):
+                own = closed.filter(F.pmod(F.xxhash64(end), F.lit(slices)) == i) if slices > 1 else closed
+                found = work(own, sizes.share(slices)).write.mode("append" if i else "overwrite")
+                found.option("compression", "zstd").parquet(f"{path}/run={run}/batch={batch_id}")
+            kept.store(batch_id, mark, every.filter(~over))
 
     return _start(posts.writeStream.foreachBatch(close), checkpoint, available_now)
 
@@ -128,7 +144,7 @@ def refresh_trend(spark: SparkSession, reddit_path: str, twitter_path: str, as_o
 def start_minute_scores(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", merge: str = "overwrite",
                         available_now: bool = True) -> StreamingQuery:
     """Write each closed minute once, both sources in one aggregation."""
-    return _start_closing(posts, lambda closed: scores_of(both_minutes(closed), merge), "1 minute", path, checkpoint, delay, available_now)
+    return _start_closing(posts, lambda closed, sizes: scores_of(both_minutes(closed, sizes=sizes), merge), "1 minute", path, checkpoint, delay, available_now)
 
 
 def read_minute_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -138,8 +154,8 @@ def read_minute_scores(spark: SparkSession, path: str) -> DataFrame:
 def start_hourly_trend(posts: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", merge: str = "overwrite",
                        available_now: bool = True) -> StreamingQuery:
     """Rank each hour when the watermark closes it. An hour comes out whole in one micro-batch, so the batch ranks it."""
-    def rank(closed: DataFrame) -> DataFrame:
-        return trend_windows(scores_of(both_minutes(closed, "1 hour"), merge), "1 hour")
+    def rank(closed: DataFrame, sizes: Sizes) -> DataFrame:
+        return trend_windows(scores_of(both_minutes(closed, "1 hour", sizes), merge), "1 hour")
 
     return _start_closing(posts, rank, "1 hour", path, checkpoint, delay, available_now)
 

@@ -1,6 +1,7 @@
 """Keywords, counters, scores, rankings and streams."""
 
 import json
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -232,6 +233,42 @@ def test_streams_keep_posts_of_open_periods_only(spark, rows, tmp_path):
     assert live.read_counts(spark, "reddit", out).count() == 82
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in files.split("\n") if "/shuffle_" in name}
+
+
+def left_behind(spark, before):
+    """Shuffle files that were not there before; they are removed in the background."""
+    for _ in range(50):
+        if not (found := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    return found
+
+
+def test_closed_periods_are_done_in_slices(spark, rows, tmp_path, monkeypatch):
+    """Slices give what the whole batch gives, a repeated batch replaces all of them, and no slice leaves its shuffle files to the next."""
+    source = tmp_path / "in"
+    source.mkdir()
+    post = lambda i, **more: {"post_id": i, "ts": f"2024-01-01 {10 + i % 7}:{i % 60:02d}:10", **more}
+    write_posts(source, "0.json", [post(i, type="reddit", title=f"rain and w{i % 5}", score=i, num_comments=2) for i in range(60)] + [
+        post(60 + i, type="twitter", text="sun and rain", retweet_count=i, favorite_count=1, reply_count=None) for i in range(9)])
+    for start, read, name in ((live.start_minute_scores, live.read_minute_scores, "minutes"), (live.start_hourly_trend, live.read_hourly_trend, "hours")):
+        want = None
+        for size in (2_000_000, 25):
+            monkeypatch.setattr(live, "POSTS_PER_SLICE", size)
+            out, before = str(tmp_path / f"{name}-{size}"), shuffle_files(spark)
+            for _ in range(2):  # the second time as if the batch had not been finished
+                start(S.read_posts(spark, str(source), streaming=True), out, f"{out}-state", delay="0 seconds").awaitTermination()
+                for done in (tmp_path / f"{name}-{size}-state" / "commits").glob("*0*"):
+                    done.unlink()
+            assert not left_behind(spark, before)
+            found = rows(read(spark, out))
+            assert found == (want or found) and len(found) > 10
+            want = found
+
+
 def test_batches_that_add(spark, rows, tmp_path, monkeypatch):
     """Sums of what batches add, beside running totals of another run; a key of a single segment is not shuffled."""
     monkeypatch.setattr(store_module, "FAN", 3)
