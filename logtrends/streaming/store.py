@@ -16,11 +16,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtrends.session import scratch_path, shuffles_dropped
+
 KEYS = ["minute", "keyword"]
+#: Rows of several segments that are added up at one time, about. Does not change a result.
+ROWS_PER_SLICE = 50_000_000
 #: Segments of a level that are merged; manifests that are kept.
 FAN, KEPT = 8, 2
 
@@ -83,7 +88,8 @@ class CounterStore:
 
     def _write(self, rows: DataFrame) -> str:
         folder = uuid.uuid4().hex
-        rows.sortWithinPartitions("minute").write.parquet(f"{self.path}/segments/{folder}")
+        with shuffles_dropped(self.spark):
+            rows.sortWithinPartitions("minute").write.option("compression", "zstd").parquet(f"{self.path}/segments/{folder}")
         return folder
 
     def _segments(self, segments: list[dict]) -> DataFrame:
@@ -99,6 +105,22 @@ class CounterStore:
     def _sum(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in self.counters])
 
+    def _in_slices(self, rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``work`` on the rows, of which all of a minute are needed together. Many rows are taken by stretches of time (segments are sorted by minute) and what they
+        give is kept in the shared folder: their shuffle files, larger than the segments, are never there all at once."""
+        slices = -(-rows.count() // ROWS_PER_SLICE)
+        if slices < 2:
+            return work(rows)
+        path, at = scratch_path(self.spark, "counted"), F.col("minute")
+        with shuffles_dropped(self.spark):
+            parts = F.percentile_approx(F.unix_micros(at), [i / slices for i in range(1, slices)])
+            edges = [F.timestamp_micros(F.lit(e)) for e in sorted(set(rows.agg(parts).first()[0] or []))]
+            for low, high in zip([None, *edges], [*edges, None], strict=True):
+                own = rows if high is None else rows.filter(at < high if low is not None else (at < high) | at.isNull())
+                own = own.filter(at >= low) if low is not None else own
+                work(own).write.mode("append").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(work(rows).schema).parquet(path)
+
     def _merged(self, segments: list[dict]) -> DataFrame:
         """One row per key (and run) of segments that are all ``added`` or all not."""
         rows = self._segments(segments)
@@ -142,9 +164,14 @@ class CounterStore:
             found = found.unionByName(self._segments(added)) if totals else self._segments(added)
         if start is not None:
             found = found.filter((F.col("minute") >= start) & (F.col("minute") < end))
-        if len(set(runs)) < len(runs):
-            old = found.filter("batch is not null")
-            found = self._last_of_run(old).unionByName(found.filter("batch is null")) if added else self._last_of_run(old)
+        several = len(set(runs)) < len(runs)
+
+        def add_up(rows: DataFrame) -> DataFrame:
+            if several:
+                old = rows.filter("batch is not null")
+                rows = self._last_of_run(old).unionByName(rows.filter("batch is null")) if added else self._last_of_run(old)
+            return self._sum(rows)
+
         if len(segments) == 1 and added:
             return found.select(*KEYS, *self.counters)
-        return self._sum(found)
+        return self._in_slices(found, add_up) if segments else add_up(found)

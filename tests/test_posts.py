@@ -283,6 +283,29 @@ def test_batches_that_add(spark, rows, tmp_path, monkeypatch):
     assert len(store._manifest()[1]["segments"]) <= 5
 
 
+def test_large_stores_are_added_up_in_slices_of_time(spark, rows, tmp_path, monkeypatch):
+    """Totals of runs, what batches add, keys without a minute: slices give what the whole gives and leave no shuffle files, nor do commits."""
+    minute = lambda i: None if i % 7 == 0 else f"2024-01-01 10:{i % 7:02d}:00"
+    made = lambda n: spark.createDataFrame([(minute(i), f"k{i % 11}", i) for i in range(n)], "minute string, keyword string, score bigint").groupBy(
+        F.col("minute").cast("timestamp").alias("minute"), "keyword").agg(F.sum("score").alias("score"))
+    store, before = CounterStore(spark, str(tmp_path / "store"), ["score"]), shuffle_files(spark)
+    for run, batch, n, added in (("one", 0, 20, False), ("one", 1, 50, False), ("two", 0, 40, False), ("three", 0, 60, True), ("three", 1, 30, True)):
+        assert store.commit(made(n), batch, run, added=added)
+    assert not left_behind(spark, before)
+    columns = ("minute", "keyword", "score")
+    start = F.lit("2024-01-01 10:02:00").cast("timestamp")
+    part = lambda: rows(store.read(start, start + F.expr("INTERVAL 2 MINUTES")), *columns)
+    whole, some = rows(store.read(), *columns), part()
+    assert len(whole) == 60 and sum(r[2] for r in whole) == sum(sum(range(n)) for n in (50, 40, 60, 30)) and some
+    before = shuffle_files(spark)
+    for size in (100, 25):
+        monkeypatch.setattr(store_module, "ROWS_PER_SLICE", size)
+        found = store.read()
+        assert not left_behind(spark, before) and not exchanged(found)
+        assert rows(found, *columns) == whole and part() == some
+        before = shuffle_files(spark)
+
+
 def test_posts_are_made_in_more_tasks_for_more_events(spark, monkeypatch):
     """Events are small and get whole texts: adaptive execution would join them in a few tasks."""
     monkeypatch.setattr(bindings, "EVENTS_PER_TASK", 20)
