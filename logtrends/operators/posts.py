@@ -22,6 +22,9 @@ TEXT_FIELD = {"reddit": "title", "twitter": "text"}
 POSTS_PER_TASK, POSTS_PER_PART, PARTS = 4_000, 2_000, 64
 #: Stands between the keywords of a post on the way; no keyword holds it.
 _BAR = "|"
+#: A part and a place among the keywords of a post, in one number.
+_PLACE_BITS = 31
+_PLACES = 2**_PLACE_BITS
 
 
 def _packed(words: Column) -> Column:
@@ -33,13 +36,26 @@ def _unpacked() -> Column:
     return F.explode(F.split("_words", r"\|")).alias("keyword")
 
 
-def _dealt(words: Column, parts: Column) -> Column:
-    """Keywords by part, packed; equal keywords have the same part."""
-    marked = F.transform(words, lambda w: F.struct(w.alias("w"), F.pmod(F.xxhash64(w), parts).alias("p")))
-    own = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: F.struct(
-        i.alias("part"), _packed(F.transform(F.filter(marked, lambda m: m["p"] == i), lambda m: m["w"])).alias("_words")))
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), _packed(words).alias("_words")))
-    return F.filter(F.when(parts > 1, own).otherwise(whole), lambda d: d["_words"].isNotNull())
+def _whole(posts: DataFrame, own: list[str]) -> DataFrame:
+    """``own``, ``part`` and packed keywords of posts whose keywords (``_all``) stay together."""
+    row = F.struct(F.lit(0).cast("bigint").alias("part"), _packed(F.col("_all")).alias("_words"))
+    return posts.select(*own, F.inline(F.filter(F.array(row), lambda d: d["_words"].isNotNull())))
+
+
+def _dealt(posts: DataFrame, own: list[str]) -> DataFrame:
+    """The same of posts whose keywords are dealt to ``parts`` parts; equal keywords have the same part.
+
+    The keywords are put in the order of their parts once, and each part is cut out of that: the work hardly grows with the number of parts.
+    """
+    part = lambda w: F.when(F.col("parts") > 1, F.pmod(F.xxhash64(w), F.col("parts"))).otherwise(F.lit(0).cast("bigint"))
+    place = F.sort_array(F.transform("_all", lambda w, i: part(w) * _PLACES + i))
+    placed = posts.select(*own, "_all", place.alias("_place"))
+    ordered = placed.select(
+        *own, F.transform("_place", lambda k: F.shiftright(k, _PLACE_BITS)).alias("_parts"),
+        F.transform("_place", lambda k: F.get("_all", k.bitwiseAND(F.lit(_PLACES - 1)).cast("int"))).alias("_in_order"))
+    cut = ordered.select(*own, "_parts", "_in_order", F.explode(F.array_distinct("_parts")).alias("part"))
+    first, behind = F.array_position("_parts", F.col("part")).cast("int"), F.array_position(F.reverse("_parts"), F.col("part")).cast("int")
+    return cut.select(*own, "part", F.array_join(F.slice("_in_order", first, F.size("_parts") - behind + 2 - first), _BAR).alias("_words"))
 
 
 class Sizes(NamedTuple):
@@ -72,13 +88,12 @@ def gathered(posts: DataFrame, period: Column, words: Column, *columns: str | Co
     spark, one = posts.sparkSession, F.lit(1).cast("bigint")
     tasks = max(-(-total // POSTS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = posts.select(period.alias("period"), *columns, words.alias("_all"))
+    own = [c for c in found.columns if c != "_all"]
     if large:
         listed = spark.createDataFrame(large, "period timestamp, parts bigint").withColumnRenamed("period", "_period")
         found = found.join(listed, F.col("period").eqNullSafe(F.col("_period")), "left").drop("_period").withColumn("parts", F.coalesce("parts", one))
-    else:
-        found = found.withColumn("parts", one)
-    own = [c for c in found.columns if c not in ("_all", "parts")]
-    return found.select(*own, F.inline(_dealt(F.col("_all"), F.col("parts")))).repartition(tasks, "period", "part"), tasks
+    packed = _dealt(found, own) if large else _whole(found, own)
+    return packed.repartition(tasks, "period", "part"), tasks
 
 
 def post_keywords(posts: DataFrame, kind: str) -> DataFrame:

@@ -109,6 +109,28 @@ def test_keywords_of_crowded_periods_are_dealt_out(spark, rows, monkeypatch):
         assert not any("keyword" in line for x in (counted, both, ranked) for line in exchanged(x))
 
 
+def test_keywords_are_put_in_the_order_of_their_parts_once(spark, monkeypatch):
+    """Every keyword, repeats included, goes to the part of its own, in the order of the post; the parts are cut out of one sorted list, not looked for one by one."""
+    monkeypatch.setattr(P, "POSTS_PER_PART", 1)
+    texts = [" and ".join(f"w{(i * 7 + j * j) % 50}" for j in range(i * 3)) for i in range(40)] + ["the", "", "rain"]
+    df = posts_df(spark, *[{"post_id": i, "ts": T0 if i < 42 else "2024-01-01 12:00:00", "type": "reddit", "title": t} for i, t in enumerate(texts)])
+    packed, _ = P.gathered(df, F.date_trunc("minute", "ts"), keywords(F.col("title")), "post_id")
+    found, part_of = {}, {}
+    for row in packed.collect():
+        for word in row["_words"].split("|"):
+            assert part_of.setdefault((row["period"], word), row["part"]) == row["part"] < 42
+        assert (row["post_id"], row["part"]) not in found
+        found[row["post_id"], row["part"]] = row["_words"].split("|")
+    for i, t in enumerate(texts):
+        words = [w for w in t.split(" and ") if w not in ("the", "")]
+        own = [f for (post, _), f in found.items() if post == i]
+        assert sorted(w for f in own for w in f) == sorted(words)
+        assert all(f == [w for w in words if w in set(f)] for f in own)
+    assert len(set(part_of.values())) > 15 and found[42, 0] == ["rain"]
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("xxhash64(") == 1
+
+
 def test_merge_counters(spark, rows):
     old = spark.createDataFrame([("m", "a", 1), ("m", "b", 2)], "minute string, keyword string, score bigint")
     new = spark.createDataFrame([("m", "a", 5), ("m", "c", None)], "minute string, keyword string, score bigint")
